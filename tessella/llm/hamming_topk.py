@@ -166,7 +166,7 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = """
-WITH c AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 2::HUGEINT ** (i - 1) ELSE 0 END))::HUGEINT::UBIGINT AS code FROM embeddings),
+WITH c AS (SELECT vec_id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0 THEN 1::HUGEINT << (i - 1)::INT ELSE 0::HUGEINT END))::HUGEINT::UBIGINT AS code FROM embeddings),
 d AS (SELECT q.vec_id, c.vec_id AS neighbour_id, bit_count(xor(q.code, c.code)::BIT)::BIGINT AS distance
       FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
 SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS rank, neighbour_id, distance
