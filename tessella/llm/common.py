@@ -2,37 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``).
+from tessella.session import materialize  # noqa: F401  (the operators take it from here)
 
-    Only where the setting is absent, as in tests on one machine, a temporary folder is set.
-    """
-    sc = spark.sparkContext
-    configured = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if configured is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        configured = sc.getCheckpointDir()
-    return configured.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    Cuts lineage: a lost executor makes Spark read the table again, not redo the work.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+A_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
