@@ -170,7 +170,7 @@ def _(spark, d):
 
 
 #: A merge table with heights, derived from the parts: a chain of merges in order of price.
-MERGES = """m AS (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS stage, 0::BIGINT AS a, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS b, p_retailprice / 1000 AS height,
+MERGES = """m AS (SELECT row_number() OVER (ORDER BY p_retailprice, p_partkey) AS stage, 0::BIGINT AS a, row_number() OVER (ORDER BY p_retailprice, p_partkey) - 1 AS b, sqrt(p_retailprice) / 31 AS height,
 p_partkey AS first_a, coalesce(max(p_partkey) OVER (ORDER BY p_retailprice, p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1000000) AS first_b FROM part)"""
 SCHEDULE = f"""WITH {MERGES}, c AS (SELECT *, sum(height * height / 2) OVER (ORDER BY stage ROWS UNBOUNDED PRECEDING) AS coef FROM m),
 s AS (SELECT stage AS "Stage", least(first_a, first_b) AS "Cluster_1", greatest(first_a, first_b) AS "Cluster_2", coef AS "Coefficient", coef / nullif(lag(coef) OVER (ORDER BY stage), 0) - 1 AS "Relative_increase", (SELECT count(*) + 1 FROM m) - stage AS "Clusters_after_stage",
@@ -182,7 +182,7 @@ def _merges(spark, d):
     order = Window.orderBy("p_retailprice", "p_partkey")
     stage = F.row_number().over(order).cast("bigint")
     return fx.table(spark, d, "part").select(
-        stage.alias("stage"), F.lit(0).cast("bigint").alias("a"), (stage - 1).alias("b"), (F.col("p_retailprice") / 1000).alias("height"), F.col("p_partkey").alias("first_a"),
+        stage.alias("stage"), F.lit(0).cast("bigint").alias("a"), (stage - 1).alias("b"), (F.sqrt("p_retailprice") / 31).alias("height"), F.col("p_partkey").alias("first_a"),
         F.coalesce(F.max("p_partkey").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1_000_000)).alias("first_b"),
     )
 
