@@ -72,9 +72,13 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the winning row of every group of equal texts, with the columns of documents."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Keep the winning row of every group of equal texts, with the columns of documents.
+
+    Of repeated rows one stays. A row without doc_id cannot be told from another and goes. The texts
+    are shuffled once more here, by doc_id, and the last step works on that partitioning.
+    """
+    kept = exact_dedup(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 ORACLE = """

@@ -30,6 +30,8 @@ UNDETERMINED = "und"
 LETTER = r"\p{L}"
 #: Bytes of evidence at which the score stops sharpening; keeps scores of long texts comparable.
 EVIDENCE = 64
+#: Column that the pipeline's stage adds and drops again.
+GUESS = "__language_guess"
 #: Bytes scored at a time.
 CHUNK = 1 << 20
 
@@ -203,8 +205,8 @@ def posterior(bits: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return 1.0 / np.exp2(-gap).sum(1)
 
 
-def predict(docs: DataFrame, model: PpmModel | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for every row; see ``identify``."""
+def guessed(docs: DataFrame, model: PpmModel | None, name: str) -> DataFrame:
+    """``docs`` with a struct column ``name`` of lang_pred and score; no shuffle."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -219,13 +221,21 @@ def predict(docs: DataFrame, model: PpmModel | None) -> DataFrame:
             best = np.array(known.languages, dtype=object)[bits.argmin(1)]
             yield pd.DataFrame({"lang_pred": best, "score": posterior(bits, np.array([len(d) for d in data]))})
 
+    nothing = F.struct(F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     lettered = F.coalesce(F.col("text").rlike(LETTER), F.lit(False))
-    return docs.select("doc_id", is_held_out(F.col("doc_id")).alias("_held"), guess("text").alias("_g"), lettered.alias("_ok")).select(
-        "doc_id",
-        F.coalesce("_held", F.lit(False)).alias("held_out"),
-        F.when(F.col("_ok"), F.col("_g.lang_pred")).otherwise(F.lit(UNDETERMINED)).alias("lang_pred"),
-        F.when(F.col("_ok"), F.col("_g.score")).otherwise(F.lit(0.0)).alias("score"),
-    )
+    return docs.withColumn(name, guess("text")).withColumn(name, F.when(lettered, F.col(name)).otherwise(nothing))
+
+
+def predict(docs: DataFrame, model: PpmModel | None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for every row; see ``identify``."""
+    made = guessed(docs.select("doc_id", "text"), model, "_guess")
+    return made.select("doc_id", F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "_guess.lang_pred", "_guess.score")
+
+
+def fit_on(docs: DataFrame, params: PpmParams = PpmParams()) -> PpmModel | None:
+    """Model learned from the rows of ``docs`` that are not held out."""
+    training = docs.where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)))
+    return fit(training.select("doc_id", F.lower("text").alias("text"), "lang"), params)
 
 
 def identify(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFrame:
@@ -237,8 +247,7 @@ def identify(docs: DataFrame, params: PpmParams = PpmParams()) -> DataFrame:
     texts get equal predictions; equal code lengths go to the language first in order. A null doc_id
     counts as not held out but is sampled like any other row. An empty table gives an empty result.
     """
-    training = docs.where(~F.coalesce(is_held_out(F.col("doc_id")), F.lit(False)))
-    return predict(docs, fit(training.select("doc_id", F.lower("text").alias("text"), "lang"), params))
+    return predict(docs, fit_on(docs, params))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,10 +256,8 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
     """Drop documents whose language is undetermined or scores below ``min_score``."""
-    found = identify(docs)
-    ok = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score))
-    kept = ok.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    made = guessed(docs, fit_on(docs), GUESS)
+    return made.where((F.col(f"{GUESS}.lang_pred") != UNDETERMINED) & (F.col(f"{GUESS}.score") >= min_score)).select(*docs.columns)
 
 
 def crc32_mod4(doc_id: int) -> int:

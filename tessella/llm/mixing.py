@@ -52,16 +52,15 @@ def topic_of(text: Column) -> Column:
     return rules.otherwise(OTHER_TOPIC)
 
 
+def _dimensions(text: Column) -> dict[str, Column]:
+    return {"source": F.coalesce("source", F.lit(MISSING)), "lang": F.coalesce("lang", F.lit(MISSING)), "topic": topic_of(text)}
+
+
 def described(docs: DataFrame) -> DataFrame:
     """doc_id, the three dimensions and the number of tokens of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id",
-        F.coalesce("source", F.lit(MISSING)).alias("source"),
-        F.coalesce("lang", F.lit(MISSING)).alias("lang"),
-        topic_of(text).alias("topic"),
-        F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("n_tokens"),
-    )
+    tokens = F.regexp_count(text, F.lit(TOKEN)).cast("bigint").alias("n_tokens")
+    return docs.select("doc_id", *[c.alias(d) for d, c in _dimensions(text).items()], tokens)
 
 
 def target_table(cells: DataFrame, dimension: str, params: MixParams) -> DataFrame:
@@ -104,13 +103,19 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     one doc_id are drawn together. An empty table gives an empty result.
     """
     rows = described(docs)
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens"))
-    raked = rake(cells, params).where("tokens > 0").withColumn("w", F.col("share") / F.col("tokens"))
+    placed = rows.join(odds_table(rows, params), list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
+    return placed.select("doc_id", *DIMENSIONS, "n_tokens", "probability", drawn("doc_id", "probability", params).alias("sampled"))
+
+
+def odds_table(rows: DataFrame, params: MixParams) -> DataFrame:
+    """(source, lang, topic, probability) from ``rows(source, lang, topic, n_tokens)``."""
+    raked = rake(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), params).where("tokens > 0").withColumn("w", F.col("share") / F.col("tokens"))
     top = raked.agg(F.max("w").alias("most"))
-    odds = raked.crossJoin(top).select(*DIMENSIONS, F.round(F.col("w") / F.col("most"), 9).alias("probability"))
-    drawn = hash_uniform(F.concat(F.lit(f"{params.seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(MISSING))))
-    placed = rows.join(odds, list(DIMENSIONS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
-    return placed.select("doc_id", *DIMENSIONS, "n_tokens", "probability", (drawn < F.col("probability")).alias("sampled"))
+    return raked.crossJoin(top).select(*DIMENSIONS, F.round(F.col("w") / F.col("most"), 9).alias("probability"))
+
+
+def drawn(doc_id: str, probability: str, params: MixParams) -> Column:
+    return hash_uniform(F.concat(F.lit(f"{params.seed}|"), F.coalesce(F.col(doc_id).cast("string"), F.lit(MISSING)))) < F.col(probability)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,9 +123,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn, with the columns of documents."""
-    kept = mix(docs).where("sampled").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """The documents drawn, with the columns of documents; only the table of cells meets them."""
+    params = MixParams()
+    odds = odds_table(described(docs), params).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.withColumns({f"__{d}": c for d, c in _dimensions(text).items()})
+    return keyed.join(odds, [f"__{d}" for d in DIMENSIONS]).where(drawn("doc_id", "__probability", params)).select(*docs.columns)
 
 
 def oracle(params: MixParams = MixParams()) -> str:

@@ -176,6 +176,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component."""
-    kept = near_duplicates(docs).select(F.col("component_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """Keep the document with the smallest id of each near-duplicate component, with the columns of documents.
+
+    Of repeated rows one stays; a row without doc_id goes.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
