@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tessella.config import ClusterConfig
@@ -9,6 +11,7 @@ from tessella.functions.hashing import key_hash
 from tessella.operators import impute, prepare, profile
 from tessella.plans import fixtures as fx
 from tessella.plans.registry import R, query
+from tessella.session import shared_dir
 from tessella.sources import delimited, tables
 
 C, G = fx.CUSTOMER, fx.GAPS
@@ -26,6 +29,26 @@ def _(spark, d):
     return tables.read_cases(spark, f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
 
 
+PARTS_TEXT = "SELECT id, round(size, 6) + 0.0 AS size, round(price, 6) + 0.0 AS price, name FROM (SELECT p_partkey::DOUBLE AS id, p_size::DOUBLE AS size, p_retailprice AS price, p_name AS name FROM part)"
+
+
+@query("s2_s3_delimited_text", PARTS_TEXT)
+def _(spark, d):
+    """The parts written as text with semicolons and decimal commas, then read with everything inferred."""
+    price = F.translate(F.format_number("p_retailprice", 2), ".,", ",.")
+    path = f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
+    rows = fx.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias(" size"), price.alias("price"), F.col("p_name").alias("name"))
+    rows.write.option("sep", ";").option("header", True).csv(path)
+    return delimited.read_delimited(spark, path)
+
+
+@query("s8_written_results", "SELECT p_partkey AS id, round(p_retailprice, 6) + 0.0 AS price FROM part")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/results-{uuid.uuid4().hex}"
+    tables.write_results({"Prices": fx.parts(spark, d).select("id", "price")}, ClusterConfig(("price",), "id"), path)
+    return spark.read.option("header", True).schema("id bigint, price double").csv(f"{path}/Prices")
+
+
 @query("s4_decimal_votes", r"""
 SELECT count(*) FILTER (WHERE regexp_matches(s, '^[-+]?(([0-9]{1,3}(\.[0-9]{3})+|[0-9]*),[0-9]+|[0-9]{1,3}(\.[0-9]{3}){2,})$') AND NOT regexp_matches(s, '^[-+]?[0-9]{1,3}[.,][0-9]{3}$')) AS "Comma",
        count(*) FILTER (WHERE regexp_matches(s, '^[-+]?(([0-9]{1,3}(,[0-9]{3})+|[0-9]*)\.[0-9]+|[0-9]{1,3}(,[0-9]{3}){2,})$') AND NOT regexp_matches(s, '^[-+]?[0-9]{1,3}[.,][0-9]{3}$')) AS "Dot"
@@ -48,10 +71,10 @@ def _(spark, d):
 
 @query("s7_with_clusters", f"""
 WITH t AS ({fx.hashed_sql(fx.PARTS_SQL)})
-SELECT id, {R('size')} AS size, {R('price')} AS price, CASE WHEN id % 7 <> 0 THEN cluster % 2 END AS "Cluster_k2", CASE WHEN id % 7 <> 0 THEN cluster % 3 END AS "Cluster_k3" FROM t""")
+SELECT id, {R('size')} AS size, {R('price')} AS price, CASE WHEN size > 3 THEN cluster % 2 END AS "Cluster_k2", CASE WHEN size > 3 THEN cluster % 3 END AS "Cluster_k3" FROM t""")
 def _(spark, d):
     cases = fx.parts(spark, d)
-    fixed = fx.hashed_partition(cases).where("id % 7 <> 0")
+    fixed = fx.hashed_partition(cases).where("size > 3")
     member = fixed.select("id", F.explode(F.array(F.lit(2), F.lit(3))).alias("k"), "cluster").withColumn("cluster", F.col("cluster") % F.col("k"))
     return tables.with_clusters(cases, "id", member, [2, 3])
 
@@ -245,11 +268,11 @@ def _(spark, d):
     return _filled(spark, d)[1]
 
 
-_MEMBERS = f"SELECT i AS imputation, id, ((('0x' || substr(md5('mi|' || i::VARCHAR || '|' || id::VARCHAR), 1, 15))::BIGINT % 40) + 1)::INT AS cluster FROM ({fx.CUSTOMERS_SQL}), range(1, 4) r(i) WHERE (id + i) % 11 <> 0"
+_MEMBERS = f"SELECT i AS imputation, id, ((('0x' || substr(md5('mi|' || i::VARCHAR || '|' || id::VARCHAR), 1, 15))::BIGINT % 40) + 1)::INT AS cluster FROM ({fx.CUSTOMERS_SQL}), range(1, 4) r(i) WHERE acctbal >= 0 OR i <> 2"
 
 
 def _members(spark, d):
-    every = fx.customers(spark, d).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("imputation")).where((F.col("id") + F.col("imputation")) % 11 != 0)
+    every = fx.customers(spark, d).select("id", "acctbal", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("imputation")).where("acctbal >= 0 or imputation <> 2").drop("acctbal")
     return every.withColumn("cluster", (key_hash("mi", F.col("imputation"), F.col("id")) % 40 + 1).cast("int"))
 
 

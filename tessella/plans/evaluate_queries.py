@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import distance as dist
+from tessella.functions.hashing import key_uniform
 from tessella.operators import agreement, evaluate, kmeans, prepare, profile, select
 from tessella.plans import fixtures as fx
-from tessella.plans.registry import R, query
-from tessella.session import materialize
+from tessella.plans.registry import ORACLES, R, query
+from tessella.session import materialize, shared_dir
+from tessella.streaming import scoring
 
 C = fx.CUSTOMER
 VEC = f"WITH v AS ({fx.VECTORS_SQL})"
@@ -26,10 +31,6 @@ def arrays(df, columns):
     return df.select("id", F.array(*columns).alias("x"))
 
 
-def sparse(df, every):
-    return df.where(F.col("id") % every == 0)
-
-
 def _vector_distance(code: str, name: str, sql: str) -> None:
     @query(f"{code}_{name}", f"{VEC}, p AS (SELECT a.id AS i, b.id AS j, {sql} AS d FROM v a JOIN v b ON a.id < b.id) {PER_CASE}")
     def _(spark, d):
@@ -59,7 +60,7 @@ def _(spark, d):
 
 @query("d5_mahalanobis")
 def _(spark, d):
-    return per_case(dist.pairs(sparse(dist.whiten(fx.customers(spark, d), C), 5).select("id", "x"), "euclidean"))
+    return per_case(dist.pairs(dist.whiten(fx.customers(spark, d), C).select("id", "x"), "euclidean"))
 
 
 _MIXED = ["mean_total", "n_orders", "building", "last_priority"]
@@ -67,31 +68,31 @@ _MIXED = ["mean_total", "n_orders", "building", "last_priority"]
 
 @query("d9_gower", f"""WITH t AS ({fx.MIXED_SQL}), g AS (SELECT max(mean_total) - min(mean_total) AS r1, max(n_orders) - min(n_orders) AS r2, max(building) - min(building) AS r3, max(last_priority) - min(last_priority) AS r4 FROM t),
 p AS (SELECT a.id AS i, b.id AS j, (abs(a.mean_total - b.mean_total) / r1 + 2 * abs(a.n_orders - b.n_orders) / r2 + abs(a.building - b.building) / r3 + abs(a.last_priority - b.last_priority) / r4) / 5 AS d
-      FROM t a JOIN t b ON a.id < b.id AND a.id % 3 = 0 AND b.id % 3 = 0, g) {PER_CASE}""")
+      FROM t a JOIN t b ON a.id < b.id, g) {PER_CASE}""")
 def _(spark, d):
     t = fx.mixed(spark, d)
     ranges = {r["Variable"]: r["Scale"] for r in prepare.scale_model(t, _MIXED, "range").collect()}
-    return per_case(dist.pairs(arrays(sparse(t, 3), _MIXED), "gower", weights=[1, 2, 1, 1], ranges=[ranges[v] for v in _MIXED]))
+    return per_case(dist.pairs(arrays(t, _MIXED), "gower", weights=[1, 2, 1, 1], ranges=[ranges[v] for v in _MIXED]))
 
 
 @query("m4_available_gower", f"""WITH t AS ({fx.GAPS_SQL}), g AS (SELECT {', '.join(f'max({v}) - min({v}) AS r_{v}' for v in fx.GAPS)} FROM t WHERE {' OR '.join(f'{v} IS NOT NULL' for v in fx.GAPS)}),
 q AS (SELECT a.id AS i, b.id AS j, ({' + '.join(f'coalesce(abs(a.{v} - b.{v}) / r_{v}, 0)' for v in fx.GAPS)}) / nullif({' + '.join(f'(a.{v} IS NOT NULL AND b.{v} IS NOT NULL)::INT' for v in fx.GAPS)}, 0) AS d
-      FROM t a JOIN t b ON a.id < b.id AND a.id % 4 = 0 AND b.id % 4 = 0 AND ({' OR '.join(f'a.{v} IS NOT NULL' for v in fx.GAPS)}) AND ({' OR '.join(f'b.{v} IS NOT NULL' for v in fx.GAPS)}), g),
+      FROM t a JOIN t b ON a.id < b.id AND ({' OR '.join(f'a.{v} IS NOT NULL' for v in fx.GAPS)}) AND ({' OR '.join(f'b.{v} IS NOT NULL' for v in fx.GAPS)}), g),
 p AS (SELECT i, j, coalesce(d, greatest(1, (SELECT max(d) FROM q))) AS d FROM q)
 SELECT s.*, (SELECT count(*) FROM q WHERE d IS NULL) AS no_overlap FROM ({PER_CASE}) s""")
 def _(spark, d):
     t = profile.keep_cases(fx.customers_with_gaps(spark, d), fx.GAPS, available=True)
     ranges = {r["Variable"]: r["Scale"] for r in prepare.scale_model(t, fx.GAPS, "range").collect()}
-    raw = materialize(dist.pairs(arrays(sparse(t, 4), fx.GAPS), "gower", ranges=[ranges[v] for v in fx.GAPS]))
+    raw = materialize(dist.pairs(arrays(t, fx.GAPS), "gower", ranges=[ranges[v] for v in fx.GAPS]))
     most = raw.agg(F.greatest(F.lit(1.0), F.max("d")).alias("most"), F.count_if(F.col("d").isNull()).alias("no_overlap"))
     filled = raw.crossJoin(F.broadcast(most)).withColumn("d", F.coalesce("d", "most"))
     return per_case(filled).crossJoin(F.broadcast(most.select("no_overlap")))
 
 
 def _flag_distance(code: str, name: str, sql: str) -> None:
-    @query(f"{code}_{name}", f"WITH v AS {FLAG_ARRAY}, p AS (SELECT a.id AS i, b.id AS j, {sql} AS d FROM v a JOIN v b ON a.id < b.id AND a.id % 30 = 0 AND b.id % 30 = 0) {PER_CASE}")
+    @query(f"{code}_{name}", f"WITH v AS {FLAG_ARRAY}, p AS (SELECT a.id AS i, b.id AS j, {sql} AS d FROM v a JOIN v b ON a.id < b.id) {PER_CASE}")
     def _(spark, d):
-        return per_case(dist.pairs(arrays(sparse(fx.order_flags(spark, d), 30), fx.FLAGS), name, weights=[1, 2, 1, 1, 3]))
+        return per_case(dist.pairs(arrays(fx.priority_flags(spark, d), fx.FLAGS), name, weights=[1, 2, 1, 1, 3]))
 
 
 _W = "[1, 2, 1, 1, 3]"
@@ -104,22 +105,20 @@ _flag_distance("d12", "russell_rao", f"1 - {_BOTH} / 8")
 def _count_distance(code: str, name: str, divide: str) -> None:
     chi = "(list_sum(a.x) + list_sum(b.x)) * (list_sum([u[1] ** 2 / ((u[1] + u[2]) * list_sum(a.x)) + u[2] ** 2 / ((u[1] + u[2]) * list_sum(b.x)) FOR u IN list_zip(a.x, b.x) IF u[1] + u[2] > 0]) - 1)"
 
-    @query(f"{code}_{name}", f"WITH v AS {COUNT_ARRAY}, p AS (SELECT a.id AS i, b.id AS j, sqrt(greatest(0, {chi}) {divide}) AS d FROM v a JOIN v b ON a.id < b.id AND a.id % 4 = 0 AND b.id % 4 = 0) {PER_CASE}", digits=5)
+    @query(f"{code}_{name}", f"WITH v AS {COUNT_ARRAY}, p AS (SELECT a.id AS i, b.id AS j, sqrt(greatest(0, {chi}) {divide}) AS d FROM v a JOIN v b ON a.id < b.id) {PER_CASE}", digits=5)
     def _(spark, d):
-        return per_case(dist.pairs(arrays(sparse(fx.priority_counts(spark, d), 4), ["p1", "p2", "p3", "p4", "p5"]), name))
+        return per_case(dist.pairs(arrays(fx.priority_counts(spark, d), ["p1", "p2", "p3", "p4", "p5"]), name))
 
 
 _count_distance("d13", "chi_square", "")
 _count_distance("d14", "phi_square", "/ (list_sum(a.x) + list_sum(b.x))")
 for _code, _name in (("d13", "chi_square"), ("d14", "phi_square")):
-    from tessella.plans.registry import ORACLES
-
     ORACLES[f"{_code}_{_name}"] = ORACLES[f"{_code}_{_name}"].replace("round(min(d), 6)", "round(min(d), 5)").replace("round(max(d), 6)", "round(max(d), 5)")
 
 
 @query("d15_domain_checks", f"SELECT count(*) AS cases, 3 AS refused FROM ({fx.FLAGS_SQL})")
 def _(spark, d):
-    flags, refused = fx.order_flags(spark, d), 0
+    flags, refused = fx.priority_flags(spark, d), 0
     for df, columns, name in ((fx.customers(spark, d), C, "jaccard"), (fx.customers(spark, d), C, "chi_square"), (fx.customers_with_gaps(spark, d), C, "euclidean")):
         try:
             dist.check_domain(df, columns, name)
@@ -129,12 +128,12 @@ def _(spark, d):
     return flags.agg(F.count(F.lit(1)).alias("cases"), F.lit(refused).alias("refused"))
 
 
-@query("d16_subset_gower", f"""WITH t AS ({fx.MIXED_SQL}), g AS (SELECT max(mean_total) - min(mean_total) AS r1, max(n_orders) - min(n_orders) AS r2 FROM t),
-p AS (SELECT a.id AS i, b.id AS j, (abs(a.mean_total - b.mean_total) / r1 + abs(a.n_orders - b.n_orders) / r2) / 2 AS d FROM t a JOIN t b ON a.id < b.id AND a.id % 7 = 0 AND b.id % 7 = 0, g) {PER_CASE}""")
+@query("d16_subset_gower", f"""WITH t AS ({fx.hashed_sql(fx.MIXED_SQL)}), g AS (SELECT max(mean_total) - min(mean_total) AS r1, max(n_orders) - min(n_orders) AS r2 FROM t),
+p AS (SELECT a.id AS i, b.id AS j, (abs(a.mean_total - b.mean_total) / r1 + abs(a.n_orders - b.n_orders) / r2) / 2 AS d FROM t a JOIN t b ON a.id < b.id AND a.cluster = 1 AND b.cluster = 1, g) {PER_CASE}""")
 def _(spark, d):
-    t = fx.mixed(spark, d)
+    t = fx.hashed_partition(fx.mixed(spark, d))
     full = {r["Variable"]: r["Scale"] for r in prepare.scale_model(t, _MIXED[:2], "range").collect()}  # of the full sample
-    return per_case(dist.pairs(arrays(sparse(t, 7), _MIXED[:2]), "gower", ranges=[full[v] for v in _MIXED[:2]]))
+    return per_case(dist.pairs(arrays(t.where("cluster = 1"), _MIXED[:2]), "gower", ranges=[full[v] for v in _MIXED[:2]]))
 
 
 _ZC = ", ".join(f"({v} - avg({v}) OVER ()) / stddev_samp({v}) OVER () AS {v}" for v in C)
@@ -151,8 +150,6 @@ def z_partition(spark, d, k=4):
 
 def first_centres(cases, k, size=5):
     first = cases.orderBy("id").limit(k).select("id", "x")
-    from pyspark.sql import Window
-
     return first.select((F.row_number().over(Window.orderBy("id"))).alias("cluster"), F.col("x").alias("center"))
 
 
@@ -173,6 +170,17 @@ def _(spark, d):
     return kmeans.nearest(cases, first_centres(cases, 4)).select("id", "cluster", "d2")
 
 
+@query("j2_stream_scores", f"WITH {lloyd_sql(4, 0)} SELECT id, cluster, {R('d2')} AS d2 FROM a")
+def _(spark, d):
+    """The cases as a stream of files, scored by the same centres."""
+    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    cases = materialize(standardised(spark, d).select("id", "x"))
+    cases.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(cases.schema).parquet(f"{base}/in")
+    scoring.write_scores(scoring.classify_stream(stream, materialize(first_centres(cases, 4))), f"{base}/out", f"{base}/progress").awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("c1_lloyd_rounds", f"WITH {lloyd_sql(4, 5)} SELECT id, cluster, {R('d2')} AS d2 FROM a")
 def _(spark, d):
     cases = materialize(standardised(spark, d).select("id", "x"))
@@ -287,10 +295,6 @@ _POST = f"SELECT id, cluster, u / sum(u) OVER (PARTITION BY id) AS prob FROM (SE
 SELECT -1234.5::DOUBLE AS "Log_likelihood", 17 AS "Parameters", 2503.0::DOUBLE AS "AIC", {R('2469 + 17 * ln(n)')} AS "BIC", {R('2469 + 17 * ln((n + 2) / 24)')} AS "SABIC", {R('2469 + 17 * (ln(n) + 1)')} AS "CAIC",
        {R('1 - h / (n * ln(3))')} AS "Relative_entropy", {R('top')} AS "Mean_max_posterior" FROM s""")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    from tessella.functions.hashing import key_uniform
-
     u = fx.customers(spark, d).select("id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("cluster")).withColumn("u", 0.05 + key_uniform("post", F.col("id"), F.col("cluster")))
     return evaluate.mixture_criteria(u.select("id", "cluster", (F.col("u") / F.sum("u").over(Window.partitionBy("id"))).alias("prob")), -1234.5, 17)
 
@@ -309,14 +313,12 @@ def _(spark, d):
     return select.comparison(rows).select("K", "N", "Minimum_N", "Singletons", "EESS", "Status").withColumn("K", F.col("K").cast("int"))
 
 
-_TWO = f"WITH a AS ({fx.hashed_sql(fx.CUSTOMERS_SQL)}), b AS (SELECT id, ntile(3) OVER (ORDER BY acctbal, id)::INT AS cluster FROM a WHERE id % 9 <> 0), x AS (SELECT a.cluster AS x, b.cluster AS y, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1, 2)"
+_TWO = f"WITH a AS ({fx.hashed_sql(fx.CUSTOMERS_SQL)}), b AS (SELECT id, ntile(3) OVER (ORDER BY acctbal, id)::INT AS cluster FROM a WHERE acctbal >= 0), x AS (SELECT a.cluster AS x, b.cluster AS y, count(*) AS n FROM a JOIN b USING (id) GROUP BY 1, 2)"
 
 
 def two_partitions(spark, d, k=4):
-    from pyspark.sql import Window
-
     a = materialize(fx.hashed_partition(fx.customers(spark, d), k).select("id", "cluster", "acctbal"))
-    b = a.where("id % 9 <> 0").select("id", F.ntile(3).over(Window.orderBy("acctbal", "id")).alias("cluster"))
+    b = a.where("acctbal >= 0").select("id", F.ntile(3).over(Window.orderBy("acctbal", "id")).alias("cluster"))
     return a, b
 
 
@@ -345,8 +347,6 @@ perm AS (SELECT * FROM (VALUES (1, 2, 3), (1, 3, 2), (2, 1, 3), (2, 3, 1), (3, 1
 n AS (SELECT sum(n) AS n FROM x), rx AS (SELECT x, sum(n) AS n FROM x GROUP BY x), ry AS (SELECT CASE y WHEN p THEN 1 WHEN q THEN 2 ELSE 3 END AS x, sum(n) AS n FROM x, best GROUP BY 1)
 SELECT 0 AS one, {R('(hit / n.n - pe) / (1 - pe)')} AS "Kappa", {R('100 * hit / n.n')} AS "Agreement_pct" FROM best, n, (SELECT sum(rx.n * ry.n) / (SELECT n * n FROM n) AS pe FROM rx JOIN ry USING (x))""")
 def _(spark, d):
-    from pyspark.sql import Window
-
     a = fx.hashed_partition(fx.customers(spark, d), 3).select("id", "cluster", "acctbal")
     b = a.select("id", F.ntile(3).over(Window.orderBy("acctbal", "id")).alias("cluster"))
     return agreement.matched_kappa(agreement.crossed(a, b).withColumn("one", F.lit(0)), ("one",))

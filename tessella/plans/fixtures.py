@@ -9,7 +9,7 @@ from tessella.functions.hashing import key_hash
 
 CUSTOMER = ["acctbal", "n_orders", "mean_price", "mean_qty", "mean_disc"]
 GAPS = ["n_orders", "mean_qty", "mean_disc"]
-FLAGS = ["a", "r", "n", "f", "hd"]
+FLAGS = ["f1", "f2", "f3", "f4", "f5"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
 
@@ -45,22 +45,6 @@ _HOLE = "CASE WHEN ('0x' || substr(md5('F3|' || id::VARCHAR || '|{v}'), 1, 15)):
 GAPS_SQL = f"SELECT id, acctbal, {_HOLE.format(v='n_orders')}, mean_price, {_HOLE.format(v='mean_qty')}, {_HOLE.format(v='mean_disc')} FROM ({CUSTOMERS_SQL})"
 
 
-def order_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five 0/1 variables of every tenth order number."""
-    items = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0)
-    flag = lambda c: F.max(c.cast("double"))
-    return items.groupBy(F.col("l_orderkey").alias("id")).agg(
-        flag(F.col("l_returnflag") == "A").alias("a"), flag(F.col("l_returnflag") == "R").alias("r"), flag(F.col("l_returnflag") == "N").alias("n"),
-        flag(F.col("l_linestatus") == "F").alias("f"), flag(F.col("l_discount") > 0.08).alias("hd"),
-    )
-
-
-FLAGS_SQL = """
-SELECT l_orderkey AS id, max((l_returnflag = 'A')::INT)::DOUBLE AS a, max((l_returnflag = 'R')::INT)::DOUBLE AS r, max((l_returnflag = 'N')::INT)::DOUBLE AS n,
-       max((l_linestatus = 'F')::INT)::DOUBLE AS f, max((l_discount > 0.08)::INT)::DOUBLE AS hd
-FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY l_orderkey"""
-
-
 def priority_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
     return orders.groupBy(F.col("o_custkey").alias("id")).agg(*[F.count_if(F.col("o_orderpriority") == p).cast("double").alias(f"p{i + 1}") for i, p in enumerate(PRIORITIES)])
@@ -69,6 +53,15 @@ def priority_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 COUNTS_SQL = "SELECT o_custkey AS id, " + ", ".join(f"count(*) FILTER (WHERE o_orderpriority = '{p}')::DOUBLE AS p{i + 1}" for i, p in enumerate(PRIORITIES)) + " FROM orders GROUP BY o_custkey"
 
 
+def priority_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five 0/1 variables of every customer: three or more orders of a priority."""
+    counts = priority_counts(spark, sf_dir)
+    return counts.select("id", *[(F.col(f"p{i + 1}") >= 3).cast("double").alias(f) for i, f in enumerate(FLAGS)])
+
+
+FLAGS_SQL = "SELECT id, " + ", ".join(f"(p{i + 1} >= 3)::INT::DOUBLE AS {f}" for i, f in enumerate(FLAGS)) + f" FROM ({COUNTS_SQL})"
+
+
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, mean_total, n_orders, building (0/1), last_priority (1 to 5)."""
     orders = table(spark, sf_dir, "orders")
