@@ -39,13 +39,14 @@ CHUNK = 1 << 20
 @dataclass(frozen=True)
 class PpmParams:
     """docs_per_language bounds the expected number of sampled rows per language; the rows with the
-    smallest hash of doc_id are taken, whole. Contexts longer than ``order`` bytes, seen less than
+    smallest hash of doc_id are taken, whole. The ``max_languages`` most frequent labels are learned. Contexts longer than ``order`` bytes, seen less than
     ``min_count`` times or beyond the ``max_nodes`` most frequent are not kept."""
 
     docs_per_language: int = 400
     order: int = 4
     min_count: int = 4
     max_nodes: int = 8000
+    max_languages: int = 256
 
 
 @dataclass(frozen=True)
@@ -65,12 +66,19 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
-def sample_rows(docs: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` labelled rows of each language, chosen by hash of doc_id."""
+def sample_rows(docs: DataFrame, params: PpmParams) -> DataFrame:
+    """About ``docs_per_language`` labelled rows of each language, chosen by hash of doc_id.
+
+    Only the counts of the languages come to the driver, ``max_languages`` at most; the rows are filtered
+    where they are, without a shuffle.
+    """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    chosen = hash_uniform(F.concat(F.lit("ppm|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) * F.col("_n") < per_language
-    return labelled.join(sizes, "lang").where(chosen).select("lang", "text")
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(params.max_languages).collect()
+    if not sizes:
+        return labelled.limit(0).select("lang", "text")
+    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, params.docs_per_language / r["n"]))])
+    drawn = hash_uniform(F.concat(F.lit("ppm|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return labelled.where(drawn < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0))).select("lang", "text")
 
 
 def _ngrams(order: int):
@@ -104,7 +112,7 @@ def _ngrams(order: int):
 
 def fit(training: DataFrame, params: PpmParams = PpmParams()) -> PpmModel | None:
     """Model of ``training(doc_id, text, lang)``; None if no row has both a language and a text."""
-    grams = sample_rows(training, params.docs_per_language).mapInPandas(_ngrams(params.order), "lang string, size int, gram bigint, n bigint")
+    grams = sample_rows(training, params).mapInPandas(_ngrams(params.order), "lang string, size int, gram bigint, n bigint")
     counted = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     # Bounded: the most frequent n-grams only, the same number whatever the corpus holds.
     kept = counted.where((F.col("size") == 1) | (F.col("n") >= params.min_count))
