@@ -8,6 +8,10 @@ sums alone, without any pairs.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +81,8 @@ def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None =
 
     Columns: a block of cases is replicated to every block it meets, at most ``blocks`` times.
     """
+    if name in KERNELS and not keys:
+        return _block_sums(cases, name, blocks)
     keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = keyed.select(*keys, F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("x").alias("xi"), F.col("b").alias("row"), every.alias("col"))
@@ -87,6 +93,61 @@ def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None =
     )
 
 
+def _block_sums(cases: DataFrame, name: str, blocks: int) -> DataFrame:
+    """``case_cluster_sums`` by matrix arithmetic: a task takes two blocks of cases and gives, for each case of the
+    first and each cluster of the second, the five sums. A block holds about BLOCK_CASES cases."""
+    blocks = max(blocks, math.ceil(cases.count() / BLOCK_CASES))
+    keyed = cases.select("id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = keyed.select("id", "cluster", "x", F.col("b").alias("row"), every.alias("col"))
+    cols = keyed.select(F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2"))
+    kinds = dict(cases.dtypes)
+    measure = KERNELS[name]
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(b):
+            d = measure(np.array(a["x"].tolist(), float), np.array(b["y"].tolist(), float))
+            d[a["id"].to_numpy()[:, None] == b["id2"].to_numpy()[None]] = np.nan  # a case and itself
+            for other, at in b.groupby("other").indices.items():
+                part = d[:, at]
+                known = ~np.isnan(part)
+                zero = np.where(known, part, 0.0)
+                low, high = np.where(known, part, np.inf).min(1), np.where(known, part, -np.inf).max(1)
+                out.append(pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": other, "n": known.sum(1), "d": zero.sum(1), "d2": (zero * zero).sum(1), "low": low, "high": high}))
+        made = pd.concat(out) if out else pd.DataFrame(columns=["id", "cluster", "other", "n", "d", "d2", "low", "high"])
+        return made[made["n"] > 0]
+
+    schema = f"id {kinds['id']}, cluster {kinds['cluster']}, other {kinds['cluster']}, n bigint, d double, d2 double, low double, high double"
+    parts = rows.groupBy("row", "col").cogroup(cols.groupBy("row2", "col2")).applyInPandas(run, schema)
+    return parts.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(_squares(a, b))
+
+
+def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum((a[:, j, None] - b[None, :, j]) ** 2 for j in range(a.shape[1]))
+
+
+def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.abs(a[:, j, None] - b[None, :, j]) for j in range(a.shape[1]))
+
+
+def _maximum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = np.abs(a[:, 0, None] - b[None, :, 0])
+    for j in range(1, a.shape[1]):
+        out = np.maximum(out, np.abs(a[:, j, None] - b[None, :, j]))
+    return out
+
+
+#: Distances with a matrix form; the others go through the expression of ``functions.distance``.
+KERNELS = {"euclidean": _euclidean, "minkowski": _euclidean, "sqeuclidean": _squares, "manhattan": _manhattan, "maximum": _maximum}
+#: Cases of a block: a task holds a few matrices of this size squared.
+BLOCK_CASES = 1000
+
+
 def squared_sums(cases: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, cluster, other, n, d) for squared Euclidean distance, from cluster sums: no pairs."""
     size = dimensions(cases)

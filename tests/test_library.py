@@ -157,3 +157,13 @@ def test_stream_scores_equal_batch_scores(spark, example, tmp_path):
     scoring.write_scores(scoring.classify_stream(stream, centres), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r["id"], r["cluster"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {(r["id"], r["cluster"]) for r in scoring.nearest(cases, centres).collect()}
+
+
+def test_block_sums_equal_the_expression(example):
+    cases = materialize(prepare.assemble(example, VARIABLES).where("n % 3 = 0").select(F.col("n").alias("id"), F.col("g").alias("cluster"), "x"))
+    for name in ("euclidean", "manhattan", "maximum"):
+        blocks = evaluate.case_cluster_sums(cases, name, blocks=3)
+        plain = evaluate.case_cluster_sums(cases.withColumn("k", F.lit(1)), name, blocks=2, keys=("k",))
+        a = {(r["id"], r["other"]): (r["n"], r["d"], r["d2"], r["low"], r["high"]) for r in blocks.collect()}
+        b = {(r["id"], r["other"]): (r["n"], r["d"], r["d2"], r["low"], r["high"]) for r in plain.collect()}
+        assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
