@@ -42,6 +42,15 @@ _LOWER = str.maketrans(A_Z, A_Z.lower())
 _SEGMENT_AGREES = 0.375
 
 
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the unsigned 64-bit ``hashes``, as one integer."""
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 4096):  # bounded memory on very long texts
+        bits = hashes[i : i + 4096].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int:
     """SimHash of one text as an unsigned 64-bit integer; zero if it has no word."""
     words = WORD.findall((text or "").translate(_LOWER))
@@ -55,11 +64,7 @@ def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS) -> int
     else:
         starts = np.cumsum([0, *(len(w) + 1 for w in encoded)]).tolist()
         hashes = [digest(joined[a : b - 1], SEED) for a, b in zip(starts, starts[words_per_shingle:])]
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), 4096):  # bounded memory on very long texts
-        bits = np.array(hashes[i : i + 4096], dtype=">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(bits, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+    return majority(np.array(hashes, dtype=np.uint64))
 
 
 def _fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -173,12 +178,3 @@ def near_duplicates(docs: DataFrame, cell_cap: int = CELL_CAP) -> DataFrame:
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
-
-
-def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate component, with the columns of documents.
-
-    Of repeated rows one stays; a row without doc_id goes.
-    """
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import bpe, language_id, mixing
-from tests.llm.test_operators import SF, brute_components, brute_fingerprint, lower
+from tests.llm.test_near_copies import alike, groups
+from tests.llm.test_operators import SF, lower
 
 
 @pytest.fixture(scope="module")
@@ -35,12 +36,8 @@ def test_stages_by_brute_force(stages):
     for i, t in tables[1].items():
         last[lower(t)] = max(i, last.get(lower(t), -1))
     assert set(tables[2]) == set(last.values())
-    prints = {i: brute_fingerprint(t) for i, t in tables[2].items()}
-    roots = brute_components(sorted(set(prints.values())))
-    first = {}
-    for i, p in prints.items():
-        first[roots[p]] = min(i, first.get(roots[p], i))
-    assert set(tables[3]) == set(first.values())
+    roots = groups(alike(tables[2]), tables[2])
+    assert set(tables[3]) == set(roots.values())
     assert set(tables[4]) <= set(tables[3])
     encode = bpe.encoder(bpe.default_vocabulary()).encode
     rows = stages[-1][1].collect()
