@@ -34,9 +34,8 @@ ROWS = 5
 PAIR_CAP = 16
 #: A narrower bucket takes ``NARROW`` more minima; each document goes to ``WAYS`` of them.
 NARROW, WAYS = 2, 6
-#: Candidates of bands go on if their fingerprints differ by at most ``REACH`` bits (at 0.8 they differ
-#: by 9.7 on average, deviation 2.9) and at least ``LEAST_AGREEING`` of their minima agree (deviation 0.045).
-REACH, LEAST_AGREEING = 22, 0.62
+#: Candidates of bands go on if at least ``LEAST_AGREEING`` of their minima agree (deviation 0.045).
+LEAST_AGREEING = 0.62
 _MINIMA = BANDS * ROWS
 _DRAWS = np.random.default_rng(SEED).integers(1, 2**31, size=(2, _MINIMA, 1), dtype=np.uint32)
 _FACTORS, _SHIFTS = _DRAWS[0] * np.uint32(2) + np.uint32(1), _DRAWS[1] * np.uint32(2)
@@ -111,21 +110,20 @@ def _narrower(key: str, minima: str, step: int) -> Column:
 
 
 def _in_buckets(placed: DataFrame, pair_cap: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of buckets of ``placed(key, doc_id, fp)``, and (key, doc_id, leader, close) of the large buckets."""
+    """Candidate pairs (a, b) of buckets of ``placed(key, doc_id)``, and (key, doc_id, leader) of the large buckets."""
     counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = materialize(placed.join(materialize(counts), "key"))
     small = members.where(F.col("n") <= pair_cap)
-    side = lambda x: small.select("key", F.col("doc_id").alias(x), F.col("fp").alias(f"f{x}"))
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= REACH
-    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & close("fa", "fb")).select("a", "b")
+    side = lambda x: small.select("key", F.col("doc_id").alias(x))
+    pairs = side("a").join(side("b"), "key").where("a < b").select("a", "b")
 
     large = members.where(F.col("n") > pair_cap)
     central = materialize(large.groupBy("doc_id").agg(F.sum("n").alias("company")))
     ranked = large.join(central, "doc_id").groupBy("key")
-    leaders = materialize(ranked.agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"), "fp")).alias("top")))
-    led = large.join(leaders.select("key", (-F.col("top.minus")).alias("leader"), F.col("top.fp").alias("leader_fp")), "key")
-    led = materialize(led.where("doc_id <> leader").select("key", "doc_id", "leader", close("fp", "leader_fp").alias("close")))
-    ordered = led.where("close").select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
+    leaders = materialize(ranked.agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("top")))
+    led = large.join(leaders.select("key", (-F.col("top.minus")).alias("leader")), "key")
+    led = materialize(led.where("doc_id <> leader").select("key", "doc_id", "leader"))
+    ordered = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
     return pairs.union(ordered), led
 
 
@@ -145,7 +143,7 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
     grid = linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
     same = sketches.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
 
-    placed = materialize(sketches.select("doc_id", "fp", F.explode(_keys("minima")).alias("key")).distinct())
+    placed = materialize(sketches.select("doc_id", F.explode(_keys("minima")).alias("key")).distinct())
     pairs, led = _in_buckets(placed, pair_cap)
     unique = sketches.dropDuplicates(["doc_id"])
     found = _promising(pairs.distinct(), unique).union(grid).union(same)
@@ -155,7 +153,7 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
         led = led.withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")})
         rest = led.join(links, ["a", "b"], "left_anti").select("key", "doc_id")
         keys = F.explode(_narrower("key", "minima", len(rounds))).alias("key")
-        placed = materialize(rest.join(unique, "doc_id").select("doc_id", "fp", keys).distinct())
+        placed = materialize(rest.join(unique, "doc_id").select("doc_id", keys).distinct())
         pairs, led = _in_buckets(placed, pair_cap)
         pairs = materialize(_promising(pairs.distinct(), unique))
         rounds.append(verified(pairs, named, similarity))

@@ -55,6 +55,21 @@ def test_links_equal_all_pairs(spark):
     assert len(want) > 60 and got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_copies_with_a_repeated_line(spark):
+    """Fingerprints weigh a shingle by its repeats; similarity is over sets."""
+    rng = random.Random(5)
+    texts, far = {}, 0
+    for times in (50, 100, 300) * 4:
+        base = [" ".join(rng.choices(WORDS, k=12)) for _ in range(40)]
+        texts[len(texts)] = "\n".join(base)
+        texts[len(texts)] = "\n".join(base[:20] + base[20:21] * times + base[21:])
+        prints = [near_copies.majority(near_copies.shingle_hashes(texts[len(texts) - i])) for i in (1, 2)]
+        far += (prints[0] ^ prints[1]).bit_count() > 22
+    want = alike(texts)
+    assert far > 2 and len(want) == len(texts) // 2
+    assert {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()} == want
+
+
 @pytest.mark.parametrize("cap", [2, 16])
 def test_large_groups_stay_whole(spark, cap):
     rng = random.Random(cap)
