@@ -1,16 +1,18 @@
-"""Near copies by five-word shingles: candidates from SimHash and MinHash bands, exact verification.
+"""Near copies by five-word shingles: exact candidates by a prefix filter, exact verification.
 
 A 64-bit SimHash within two bits reaches exact and lightly edited copies only: at a similarity of
-0.8 the fingerprints differ by about ten bits, and no grid over that radius is selective. So the
-candidates of the SimHash grid are joined by those of MinHash bands (16 bands of 5 minima: a pair of
-similarity 0.8 shares a band with probability 0.998), and every candidate is verified by the exact
-similarity of the two shingle sets.
-
-Buckets of up to ``pair_cap`` documents list their pairs. Larger ones compare each document with one
-leader, the member that shares most buckets with others, which is the centre of a group of edited
-copies. Documents that the leader does not link go on in narrower buckets of two more minima, in six
-ways each, until none is left: a bucket's work is linear in its size. Two documents of a large bucket
-that are both linked to leaders are not compared with each other.
+0.8 the fingerprints differ by about ten bits. So candidates come from the shingles themselves. All
+shingles have one global order, those that seem rarest first. Two sets of similarity 0.8 share
+at least 0.8 / 1.8 of their summed sizes, so the first shingle they share stands within the first
+fifth of both, and its positions bound what they can share after it. Documents meet in the bucket of
+each shingle of their prefix and every pair that sizes and positions allow is verified by the exact
+similarity of the two sets. No pair is lost: the order decides how many candidates there are, not
+which links are found. It comes from counts in ``CELLS`` cells of hash values, a table of fixed size.
+
+Buckets with the same members are one bucket, at their first shingle. Buckets of up to ``pair_cap``
+documents list their pairs. In larger ones the documents meet a leader, and then only documents that
+are not yet in one component matter: leaders follow each other until a round brings no link or little
+is open, and then all open pairs are compared. So links have the components of all pairs.
 """
 
 from __future__ import annotations
@@ -25,20 +27,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import materialize
-from tessella.llm.simhash import SEED, WORD, _LOWER, close_fingerprints, components, majority
+from tessella.llm.simhash import SEED, WORD, _LOWER, components
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 16
-ROWS = 5
 PAIR_CAP = 16
-#: A narrower bucket takes ``NARROW`` more minima; each document goes to ``WAYS`` of them.
-NARROW, WAYS = 2, 6
-#: Candidates of bands go on if at least ``LEAST_AGREEING`` of their minima agree (deviation 0.045).
-LEAST_AGREEING = 0.62
-_MINIMA = BANDS * ROWS
-_DRAWS = np.random.default_rng(SEED).integers(1, 2**31, size=(2, _MINIMA, 1), dtype=np.uint32)
-_FACTORS, _SHIFTS = _DRAWS[0] * np.uint32(2) + np.uint32(1), _DRAWS[1] * np.uint32(2)
+#: Cells of counts that give the order of shingles, and the blocks in which they are summed.
+CELLS, BLOCKS = 1 << 20, 256
+#: All open pairs of large buckets are compared at once if there are at most so many per place in a bucket.
+OPEN_PAIRS = 4
+_EPS = 1e-9
 
 
 def shingle_hashes(text: str | None, words_per_shingle: int = WORDS) -> np.ndarray:
@@ -56,108 +54,147 @@ def shingle_hashes(text: str | None, words_per_shingle: int = WORDS) -> np.ndarr
     return mixed
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """Minima of ``_MINIMA`` random linear maps over the hashes, as 32-bit integers."""
-    low = np.full(_MINIMA, np.iinfo(np.uint32).max, dtype=np.uint32)
-    upper = (hashes >> np.uint64(32)).astype(np.uint32)
-    for i in range(0, len(upper), 512):  # bounded memory on very long texts
-        np.minimum(low, (upper[None, i : i + 512] * _FACTORS + _SHIFTS).min(axis=1), out=low)
-    return low.view(np.int32)
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(44)).astype(np.int64)
 
 
-def _sketches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    for texts in batches:
-        rows = [(majority(h), signature(h)) for h in map(shingle_hashes, texts)]
-        prints = np.array([p for p, _ in rows], dtype=np.uint64).view(np.int64)
-        yield pd.DataFrame({"fp": prints, "minima": [m for _, m in rows]})
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    counts = np.zeros(CELLS, dtype=np.uint32)
+    for pdf in batches:
+        for text in pdf["text"]:
+            np.add.at(counts, _cells(np.unique(shingle_hashes(text))), 1)
+    if counts.any():
+        yield pd.DataFrame({"block": range(BLOCKS), "counts": [c.tobytes() for c in counts.reshape(BLOCKS, -1)]})
+
+
+def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, dtype=np.uint32).astype(np.uint64) for c in pdf["counts"])
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "levels": [(3 * np.log2(1.0 + total)).astype(np.uint8).tobytes()]})
+
+
+def shingle_levels(docs: DataFrame) -> np.ndarray:
+    """A level from 0 to 127 for each cell of hash values: higher if its shingles are in more documents."""
+    counted = docs.select("text").mapInPandas(_counted, "block int, counts binary")
+    rows = counted.groupBy("block").applyInPandas(_summed, "block int, levels binary").collect()
+    levels = b"".join(r["levels"] for r in sorted(rows, key=lambda r: r["block"]))
+    return np.frombuffer(levels or bytes(CELLS), dtype=np.uint8)
+
 
+def _digest(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
 
-def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _prefixes(levels: np.ndarray, similarity: float):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts:
+                h = np.unique(shingle_hashes(text))
+                keys = np.sort((levels[_cells(h)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))).view(np.int64)
+                rows.append((len(h), _digest(h), keys[: len(h) - int(np.ceil(similarity * len(h) - _EPS)) + 1]))
+            yield pd.DataFrame(rows, columns=["n", "digest", "prefix"])
+
+    return run
+
+
+def _sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        yield pd.Series([np.unique(shingle_hashes(t)).view(np.int64) for t in texts])
+        sets = [np.unique(shingle_hashes(t)) for t in texts]
+        yield pd.DataFrame({"digest": [_digest(h) for h in sets], "s": [h.view(np.int64) for h in sets]})
 
 
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``pairs(a, b)`` whose shingle sets have at least that Jaccard similarity."""
     taking_part = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(taking_part, "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    sets = materialize(texts.select("doc_id", F.pandas_udf(_sets, "array<bigint>")("text").alias("s")))
+    texts = docs.join(taking_part, "doc_id", "left_semi").select("doc_id", F.pandas_udf(_sets, "digest binary, s array<bigint>")("text").alias("x"))
+    sets = materialize(texts.groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", "x.s"))
     of = lambda x: sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    alike = shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)
-    # Sizes alone rule out many pairs before their sets are compared.
-    sizes = F.least(F.size("sa"), F.size("sb")) >= F.lit(similarity) * F.greatest(F.size("sa"), F.size("sb"))
-    return materialize(both.where(sizes).where(alike).select("a", "b"))
-
+    return materialize(both.where(shared >= F.lit(similarity) * (F.size("sa") + F.size("sb") - shared)).select("a", "b"))
 
-def _promising(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose minima agree often enough."""
-    of = lambda x: sketches.select(F.col("doc_id").alias(x), F.col("minima").alias(f"m{x}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    agree = F.size(F.filter(F.zip_with("ma", "mb", lambda x, y: x == y), lambda x: x))
-    return both.where(agree >= F.lit(LEAST_AGREEING * _MINIMA)).select("a", "b")
 
+def _possible(x: str, y: str, similarity: float) -> Column:
+    """Whether sizes n and positions i in a bucket at the first common shingle allow the similarity."""
+    nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (nx + ny) - _EPS)
+    return (F.least(nx, ny) >= F.lit(similarity) * F.greatest(nx, ny) - _EPS) & (nx - F.col(f"{x}.i") >= least) & (ny - F.col(f"{y}.i") >= least)
 
-def _keys(minima: str) -> Column:
-    return F.array(*[F.xxhash64(F.lit(i), F.slice(minima, ROWS * i + 1, ROWS)) for i in range(BANDS)])
 
+def _sorted_pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))
 
-def _narrower(key: str, minima: str, step: int) -> Column:
-    """Keys of narrower buckets: ``key`` with further minima, chosen by the key, the round and the way."""
-    first = lambda w: F.pmod(F.xxhash64(F.col(key), F.lit(step), F.lit(w)), F.lit(_MINIMA - NARROW + 1)).cast("int") + 1
-    return F.array(*[F.xxhash64(F.col(key), F.lit(w), F.slice(minima, first(w), F.lit(NARROW))) for w in range(WAYS)])
 
+def _met(large: DataFrame, leaders: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of the members of large buckets with their bucket's leader ``leaders(key, doc_id, n, i, root)``."""
+    met = large.alias("x").join(leaders.alias("y"), F.col("x.key") == F.col("y.key"))
+    return _sorted_pairs(met.where((F.col("x.root") != F.col("y.root")) & _possible("x", "y", similarity)))
 
-def _in_buckets(placed: DataFrame, pair_cap: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) of buckets of ``placed(key, doc_id)``, and (key, doc_id, leader) of the large buckets."""
-    counts = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = materialize(placed.join(materialize(counts), "key"))
-    small = members.where(F.col("n") <= pair_cap)
-    side = lambda x: small.select("key", F.col("doc_id").alias(x))
-    pairs = side("a").join(side("b"), "key").where("a < b").select("a", "b")
 
-    large = members.where(F.col("n") > pair_cap)
-    central = materialize(large.groupBy("doc_id").agg(F.sum("n").alias("company")))
-    ranked = large.join(central, "doc_id").groupBy("key")
-    leaders = materialize(ranked.agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("top")))
-    led = large.join(leaders.select("key", (-F.col("top.minus")).alias("leader")), "key")
-    led = materialize(led.where("doc_id <> leader").select("key", "doc_id", "leader"))
-    ordered = led.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b"))
-    return pairs.union(ordered), led
+def _leaders(large: DataFrame, rank: Column) -> DataFrame:
+    top = F.max_by(F.struct("doc_id", "n", "i", "root"), F.struct(rank, "doc_id")).alias("top")
+    return materialize(large.groupBy("key").agg(top).select("key", "top.*"))
 
 
 def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: int = PAIR_CAP) -> DataFrame:
     """Links (a, b), a < b, between documents of ``docs(doc_id, text, ...)`` of at least that similarity.
 
-    Every link is verified on whole texts. Rows without doc_id take no part; of rows with one doc_id
-    one does. Null and empty texts are alike, as are equal texts. No documents give no links.
+    Their components are those of all such pairs; pairs that meet in no bucket of more than
+    ``pair_cap`` documents are all there. Every link is verified on whole texts. Rows without doc_id
+    take no part; of rows with one doc_id one does. Null and empty texts are alike, as are equal texts.
+    No documents give no links.
     """
     named = docs.where(F.col("doc_id").isNotNull())
-    sketch = F.pandas_udf(_sketches, "fp bigint, minima array<int>")("text").alias("x")
-    sketches = materialize(named.select("doc_id", sketch).select("doc_id", "x.fp", "x.minima"))
-
-    firsts = materialize(sketches.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    of = lambda x: firsts.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}"))
-    linked = close_fingerprints(firsts.select("fp")).join(of("a"), "a").join(of("b"), "b")
-    grid = linked.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b"))
-    same = sketches.join(firsts, "fp").where("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-
-    placed = materialize(sketches.select("doc_id", F.explode(_keys("minima")).alias("key")).distinct())
-    pairs, led = _in_buckets(placed, pair_cap)
-    unique = sketches.dropDuplicates(["doc_id"])
-    found = _promising(pairs.distinct(), unique).union(grid).union(same)
-    rounds = [verified(materialize(found.distinct()), named, similarity)]
-    while not led.isEmpty():
-        links = rounds[-1].select("a", "b")
-        led = led.withColumns({"a": F.least("doc_id", "leader"), "b": F.greatest("doc_id", "leader")})
-        rest = led.join(links, ["a", "b"], "left_anti").select("key", "doc_id")
-        keys = F.explode(_narrower("key", "minima", len(rounds))).alias("key")
-        placed = materialize(rest.join(unique, "doc_id").select("doc_id", keys).distinct())
-        pairs, led = _in_buckets(placed, pair_cap)
-        pairs = materialize(_promising(pairs.distinct(), unique))
-        rounds.append(verified(pairs, named, similarity))
-    return reduce(DataFrame.union, rounds).distinct()
+    sketch = F.pandas_udf(_prefixes(shingle_levels(named), similarity), "n int, digest binary, prefix array<bigint>")("text").alias("x")
+    sketches = materialize(named.select("doc_id", sketch).select("doc_id", "x.*"))
+    if not sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+        least = F.min(F.struct("digest", "n", "prefix")).alias("x")
+        sketches = materialize(sketches.groupBy("doc_id").agg(least).select("doc_id", "x.*"))
+
+    # Of many equal sets the first stands for all.
+    classes = sketches.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("first")).where(F.col("m") > pair_cap)
+    equal = sketches.select("doc_id", "digest").join(materialize(classes), "digest").where("doc_id <> first")
+    equal = materialize(equal.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+    alone = sketches.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    placed = alone.select("doc_id", "n", F.posexplode("prefix").alias("i", "key"))
+
+    who = [F.bit_xor(F.xxhash64("doc_id", F.lit(seed))).alias(f"w{seed}") for seed in (1, 2)]
+    buckets = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), *who).where("c > 1")
+    buckets = materialize(buckets.groupBy("c", "w1", "w2").agg(F.min("key").alias("key")).select("key", "c"))
+    members = materialize(placed.join(buckets, "key").withColumn("root", F.col("doc_id")))
+
+    small = members.where(F.col("c") <= pair_cap)
+    listed = small.alias("x").join(small.alias("y"), F.col("x.key") == F.col("y.key"))
+    listed = _sorted_pairs(listed.where((F.col("x.doc_id") < F.col("y.doc_id")) & _possible("x", "y", similarity)))
+    large = materialize(members.where(F.col("c") > pair_cap))
+    company = materialize(large.groupBy("doc_id").agg(F.sum("c").alias("company")))
+    first = _leaders(large.join(company, "doc_id"), F.col("company"))
+    found = [equal, verified(materialize(listed.union(_met(large, first, similarity)).distinct()), named, similarity)]
+
+    progress = True
+    while not large.isEmpty():
+        rooted = materialize(components(materialize(reduce(DataFrame.union, found))))
+        large = large.drop("root").join(rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+        large = materialize(large)
+        parts = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
+        main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("size"), F.sum("size").alias("c")).where("size < c")
+        main = materialize(main)
+        work = main.agg(F.sum("c").alias("places"), F.sum((F.col("c") - F.col("size")) * F.col("c")).alias("pairs")).first()
+        if not work["places"]:
+            break
+        large = materialize(large.join(main.select("key", "main"), "key"))
+        every = not progress or work["pairs"] <= OPEN_PAIRS * work["places"]
+        if every:
+            rest = large.where("root <> main").alias("x").join(large.alias("y"), F.col("x.key") == F.col("y.key"))
+            candidates = _sorted_pairs(rest.where((F.col("x.root") != F.col("y.root")) & _possible("x", "y", similarity)))
+        else:
+            candidates = _met(large, _leaders(large, F.xxhash64("doc_id", F.lit(len(found)))), similarity)
+        large = large.drop("main")
+        found.append(verified(materialize(candidates.distinct()), named, similarity))
+        progress = not found[-1].isEmpty()
+        if every:
+            break
+    return reduce(DataFrame.union, found).distinct()
 
 
 def near_copy_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

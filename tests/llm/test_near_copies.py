@@ -5,7 +5,7 @@ from itertools import combinations
 
 import pytest
 
-from tessella.llm import near_copies
+from tessella.llm import near_copies, simhash
 from tests.llm.test_operators import ODD, docs, lower
 
 WORDS = [f"w{i}" for i in range(5000)]
@@ -63,13 +63,44 @@ def test_copies_with_a_repeated_line(spark):
         base = [" ".join(rng.choices(WORDS, k=12)) for _ in range(40)]
         texts[len(texts)] = "\n".join(base)
         texts[len(texts)] = "\n".join(base[:20] + base[20:21] * times + base[21:])
-        prints = [near_copies.majority(near_copies.shingle_hashes(texts[len(texts) - i])) for i in (1, 2)]
+        prints = [simhash.majority(near_copies.shingle_hashes(texts[len(texts) - i])) for i in (1, 2)]
         far += (prints[0] ^ prints[1]).bit_count() > 22
     want = alike(texts)
     assert far > 2 and len(want) == len(texts) // 2
     assert {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()} == want
 
 
+def test_no_link_is_lost(spark):
+    """Pairs close to the limit, none of which may depend on chance."""
+    rng = random.Random(8)
+    texts = {}
+    for _ in range(400):
+        base = rng.choices(WORDS, k=rng.choice([60, 150, 300]))
+        texts[len(texts)] = " ".join(base)
+        start = rng.randrange(len(base) // 2)
+        changed = rng.choices(WORDS, k=round(len(base) * rng.uniform(0.07, 0.12)))
+        texts[len(texts)] = " ".join(base[:start] + changed + base[start + len(changed) :])
+    want = alike(texts)
+    assert 100 < len(want) < 390
+    assert {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()} == want
+
+
+def test_chain_of_versions_stays_whole(spark):
+    """Neighbours are alike, ends far apart, and all share what leads to large buckets."""
+    rng = random.Random(4)
+    texts = {}
+    for chain in range(4):
+        base = rng.choices(WORDS, k=300)
+        for v in range(40):
+            base[v * 7 : v * 7 + 7] = rng.choices(WORDS, k=7)
+            texts[chain + 4 * v] = " ".join(base)
+    want = alike(texts)
+    assert (0, 4 * 39) not in want and len(set(groups(want, texts).values())) == 4
+    for cap in (2, 16):
+        got = {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items())), pair_cap=cap).collect()}
+        assert got <= want and groups(got, texts) == groups(want, texts)
+
+
 @pytest.mark.parametrize("cap", [2, 16])
 def test_large_groups_stay_whole(spark, cap):
     rng = random.Random(cap)
