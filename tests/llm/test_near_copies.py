@@ -9,6 +9,7 @@ from tessella.llm import near_copies, simhash
 from tests.llm.test_operators import ODD, docs, lower
 
 WORDS = [f"w{i}" for i in range(5000)]
+SEEDS = [46, 138, 555, 1221, 1632, 1846]
 
 
 def shingles(t):
@@ -85,6 +86,35 @@ def test_no_link_is_lost(spark):
     assert {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()} == want
 
 
+def test_pairs_that_share_no_band(spark):
+    """Pairs of similarity 0.806 that 16 bands of 5 minima do not bring together."""
+    texts = {}
+    for seed in SEEDS:
+        rng = random.Random(seed)
+        base = rng.choices(WORDS, k=200)
+        texts[len(texts)] = " ".join(base)
+        texts[len(texts)] = " ".join(base[:100] + rng.choices(WORDS, k=17) + base[117:])
+    want = alike(texts)
+    assert len(want) == len(SEEDS)
+    assert {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()} == want
+
+
+def test_links_through_members_of_a_large_group(spark):
+    """Copies of a leader, and copies of those that the leader itself is not alike to."""
+    rng = random.Random(6)
+    base = rng.choices(WORDS, k=300)
+    texts = {i: edited(rng, base, 1) for i in range(20)}
+    for i in range(60):
+        at = 10 * (i % 10)
+        near = base[:at] + rng.choices(WORDS, k=19) + base[at + 19 :]
+        texts[len(texts)] = " ".join(near)
+        texts[len(texts)] = " ".join(near[:200] + rng.choices(WORDS, k=19) + near[219:])
+    want = alike(texts)
+    assert len(set(groups(want, texts).values())) == 1
+    got = {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items()))).collect()}
+    assert got <= want and groups(got, texts) == groups(want, texts)
+
+
 def test_chain_of_versions_stays_whole(spark):
     """Neighbours are alike, ends far apart, and all share what leads to large buckets."""
     rng = random.Random(4)
