@@ -15,9 +15,6 @@ from tessella.functions.hashing import key_uniform
 from tessella.operators.profile import missing_count
 from tessella.session import materialize
 
-#: Cases of a bucket in which donors are matched.
-BUCKET = 5000
-
 
 def fillable(variables: list[str], max_missing: float) -> Column:
     """Cases with a share of missing values up to ``max_missing`` and at least one value."""
@@ -59,21 +56,31 @@ def neighbour_impute(df: DataFrame, z: DataFrame, variables: list[str], weights:
     return filled.select(*[F.coalesce(F.col(c), F.col(f"_d_{c}")).alias(c) if c in variables else df[c] for c in df.columns]), report
 
 
+def _ranked(ordered: DataFrame) -> DataFrame:
+    """``ordered(imputation, id, y, gap, mean)`` with ``rank``: the number of observed rows up to each row in order
+    of imputation, mean and id, by ranges and their prefix sums."""
+    order = ("imputation", "mean", "id")
+    dealt = materialize(ordered.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    observed = F.when(F.col("gap"), 0).otherwise(1).cast("bigint")
+    sizes = dealt.groupBy("part").agg(F.sum(observed).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    within = F.sum(observed).over(Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return materialize(dealt.join(F.broadcast(before), "part").withColumn("rank", F.col("before") + within).drop("part", "before"))
+
+
 def multiple_impute(df: DataFrame, variables: list[str], m: int = 5, sweeps: int = 5, seed: int = 2026, donors: int = 5) -> DataFrame:
     """``m`` completed copies of ``df(id, variables)``, with a column ``imputation`` from 1.
 
     Chained equations with predictive mean matching. In each sweep and for each variable, all copies at
     once: the normal equations are sums over the observed rows (one aggregation), a coefficient draw is
     made from them on the driver (p x p numbers per copy), and each missing cell takes the value of one
-    of the nearest observed cases by predicted mean. Observed cases stand in order of prediction within
-    hash-dealt buckets, and a missing cell looks at its neighbours in order there.
+    of the nearest observed cases by predicted mean, however far they are in order.
     """
     missing = {v: F.col(v).isNull() for v in variables}
     incomplete = [v for v in variables if not df.where(missing[v]).isEmpty()]
     copies = df.select("id", *variables).withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
     means = {v: x for v, x in df.agg(*[F.avg(v).alias(v) for v in variables]).first().asDict().items()}
     state = copies.withColumns({f"_gap_{v}": missing[v] for v in incomplete}).withColumns({v: F.coalesce(F.col(v), F.lit(means[v])) for v in incomplete})
-    buckets = max(1, df.count() // BUCKET)
     rng = np.random.default_rng(seed)
     for sweep in range(sweeps):
         for v in incomplete:
@@ -94,13 +101,12 @@ def multiple_impute(df: DataFrame, variables: list[str], m: int = 5, sweeps: int
             fit = lambda which: F.element_at(F.create_map(*[x for d in draws for x in (F.lit(d[0]), sum((terms[i] * float(d[which][i]) for i in range(p)), F.lit(0.0)))]), F.col("imputation"))
             # Observed cases by fitted mean, missing cells by drawn mean: matched in order.
             ordered = state.select("imputation", "id", F.col(v).alias("y"), F.col(f"_gap_{v}").alias("gap"), F.when(F.col(f"_gap_{v}"), fit(2)).otherwise(fit(1)).alias("mean"))
-            bucket = Window.partitionBy("imputation", F.pmod(F.xxhash64("id"), F.lit(buckets))).orderBy("mean", "id")
-            seen = F.when(~F.col("gap"), F.col("y"))
-            half = donors
-            ranked = ordered.withColumn("_below", F.slice(F.reverse(F.collect_list(seen).over(bucket.rowsBetween(-64, -1))), 1, half)).withColumn("_above", F.slice(F.collect_list(seen).over(bucket.rowsBetween(1, 64)), 1, half))
-            pool = F.slice(F.flatten(F.transform(F.arrays_zip("_below", "_above"), lambda z: F.filter(F.array(z["_below"], z["_above"]), lambda y: y.isNotNull()))), 1, donors)
+            ranked = _ranked(ordered)
+            near = ranked.where("gap").select("imputation", "id", F.col("mean").alias("_mean"), F.explode(F.sequence(F.col("rank") - (donors - 1), F.col("rank") + donors)).alias("rank"))
+            near = near.join(ranked.where("not gap").select("imputation", "rank", "mean", "y"), ["imputation", "rank"])
+            nearest = F.slice(F.array_sort(F.collect_list(F.struct(F.abs(F.col("mean") - F.col("_mean")).alias("d"), "rank", "y"))), 1, donors)
             pick = F.floor(key_uniform(str(seed), str(sweep), v, F.col("imputation"), F.col("id")) * F.size("_pool")).cast("int")
-            filled = ranked.where("gap").withColumn("_pool", pool).where(F.size("_pool") > 0).select("imputation", "id", F.col("_pool")[pick].alias("_new"))
+            filled = near.groupBy("imputation", "id").agg(nearest.alias("_pool")).select("imputation", "id", F.col("_pool")[pick]["y"].alias("_new"))
             state = state.join(filled, ["imputation", "id"], "left").withColumn(v, F.when(F.col(f"_gap_{v}"), F.coalesce("_new", F.col(v))).otherwise(F.col(v))).drop("_new")
             state = materialize(state)
     return state.select("imputation", "id", *variables)

@@ -116,6 +116,16 @@ def test_multiple_imputation_fills_every_cell_with_seen_values(spark, example):
     assert all(r[0] in seen for r in made.where("id % 7 = 0").select("Stress").collect())
 
 
+def test_multiple_imputation_over_a_long_stretch_of_missing_values(spark):
+    """Donors are the nearest observed cases, also when hundreds of missing ones stand between."""
+    rows = [(i, float(i), float(2 * i + i % 3) if i < 20 or i >= 580 else None) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double")
+    made = {(r["imputation"], r["id"]): r["b"] for r in impute.multiple_impute(df, ["a", "b"], m=2, sweeps=1).collect()}
+    seen = {b for _, _, b in rows if b is not None}
+    assert len(made) == 1200 and set(made.values()) <= seen
+    assert all(made[m, 60] < 100 and made[m, 540] > 1000 for m in (1, 2))
+
+
 def test_uniform_box_covers_the_components(example):
     cases = prepare.assemble(example, VARIABLES).select(F.col("n").alias("id"), "x")
     assert resample.uniform_box(cases, 2).count() == 300
