@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers.normalizers import NFC
 
-from tessella.llm.common import documents
+from tessella.llm.common import documents, text_batches
 
 #: Words a task remembers; beyond that it starts again.
-CACHE_WORDS = 600_000
+#: Entries of each table of what was encoded before; a Python worker keeps them.
+CACHE_WORDS = 150_000
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Characters that str.split() takes for white space and the vocabulary's rule does not.
 _NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -148,6 +149,8 @@ class BacktrackingBpe:
             known = self.pair_ok.get((a, b))
             if known is not None:
                 return known
+            if len(self.pair_ok) > 4 * CACHE_WORDS:
+                self.pair_ok.clear()
             out = self.pair_ok[(a, b)] = self._boundary_holds(a, b, len(self.rank))
             return out
         return self._boundary_holds(a, b, limit)
@@ -290,5 +293,10 @@ def op6_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document with their digests: the end of the pipeline."""
+    """Token ids of every document with their digests: the end of the pipeline.
+
+    Null texts count as empty and have no ids; repeated rows are encoded alike; texts of any length are encoded
+    whole; other columns are left out. An empty table gives an empty result.
+    """
+    text_batches(spark)
     return encode_documents(docs, with_ids=True)

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import documents, hash_uniform
+from tessella.llm.common import documents, hash_uniform, text_batches
 
 UNDETERMINED = "und"
 LETTER = r"\p{L}"
@@ -33,7 +33,7 @@ EVIDENCE = 64
 #: Column that the pipeline's stage adds and drops again.
 GUESS = "__language_guess"
 #: Bytes scored at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,7 @@ def _ngrams(order: int):
                 held: list[bytes] = []
                 for t in texts:
                     held.append(t.encode("utf-8", "surrogatepass").replace(b"\x00", b" "))
-                    if sum(map(len, held)) >= CHUNK:
+                    if sum(map(len, held)) >= 4 * CHUNK:
                         yield from counted(lang, held)
                         held = []
                 if held:
@@ -263,7 +263,13 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language_id(spark: SparkSession, docs: DataFrame, sf_dir: str, min_score: float = 0.5) -> DataFrame:
-    """Drop documents whose language is undetermined or scores below ``min_score``."""
+    """Drop documents whose language is undetermined or scores below ``min_score``.
+
+    Null and empty texts, and texts without a letter, are undetermined and go; repeated rows are judged alike and
+    all stay; texts are scored whole, in pieces if they are long. An empty table gives an empty result.
+    Columns beyond doc_id, text and lang are carried along, whatever their names.
+    """
+    text_batches(spark)
     made = guessed(docs, fit_on(docs), GUESS)
     return made.where((F.col(f"{GUESS}.lang_pred") != UNDETERMINED) & (F.col(f"{GUESS}.score") >= min_score)).select(*docs.columns)
 

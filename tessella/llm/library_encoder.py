@@ -14,7 +14,7 @@ from functools import lru_cache
 
 from tokenizers import Tokenizer
 
-CACHE_RUNS = 600_000
+CACHE_RUNS = 300_000
 
 
 @lru_cache(maxsize=2)

@@ -7,8 +7,9 @@ with probability proportional to it, scaled so that the most wanted cell is take
 token shares equal the targets, and nobody is taken twice. The draw is a hash of doc_id, so it does
 not depend on partitioning and repeats under retries.
 
-Only the cell table is raked: it has one row for each combination that occurs. Every sum over cells
-is a partial aggregation, and each round is written to the shared folder to cut lineage.
+Only the cell table is raked: it has one row for each combination that occurs, whatever the number of
+documents. Sums over cells are windows of that table, and each round is written to the shared folder to
+cut lineage.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import documents, hash_uniform, materialize
@@ -83,15 +84,17 @@ def rake(cells: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     empty; if the targets can't all be met with the rest, the dimension raked last is met exactly.
     """
     cells = materialize(cells)
-    targets = {d: materialize(target_table(cells, d, params)) for d in DIMENSIONS}
     raked = cells.withColumn("share", F.col("tokens").cast("double"))
+    for d in DIMENSIONS:
+        wanted = target_table(cells, d, params).select(F.col("value").alias(d), F.col("share").alias(f"_{d}"))
+        raked = raked.join(wanted, d, "left")
+    raked = materialize(raked)
     for _ in range(params.rounds):
         for d in DIMENSIONS:
-            sums = raked.groupBy(F.col(d).alias("value")).agg(F.sum("share").alias("now")).where("now > 0")
-            factor = sums.join(targets[d], "value", "left").select(F.col("value").alias(d), (F.coalesce("share", F.lit(0.0)) / F.col("now")).alias("factor"))
-            raked = raked.join(factor, d, "left").select(*DIMENSIONS, "tokens", (F.col("share") * F.coalesce("factor", F.lit(0.0))).alias("share"))
+            now = F.sum("share").over(Window.partitionBy(d))
+            raked = raked.withColumn("share", F.when(now > 0, F.col("share") * F.coalesce(f"_{d}", F.lit(0.0)) / now).otherwise(0.0))
         raked = materialize(raked)
-    return raked
+    return raked.select(*DIMENSIONS, "tokens", "share")
 
 
 def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
@@ -123,7 +126,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents drawn, with the columns of documents; only the table of cells meets them."""
+    """The documents drawn, with the columns of documents; only the table of cells meets them.
+
+    Null source or lang is a value of its own; null and empty texts have no tokens and are drawn like the other
+    documents of their cell; rows with one doc_id are drawn together; texts are counted whole. Columns beyond
+    those of documents are carried along. An empty table gives an empty result.
+    """
     params = MixParams()
     odds = odds_table(described(docs), params).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__probability"))
     text = F.coalesce(F.col("text"), F.lit(""))

@@ -156,3 +156,36 @@ def test_odd_tables(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 5, 6, 7]
     assert near_copies.near_copy_groups(docs(spark, [])).count() == 0
     assert near_copies.stage_near_dedup(spark, docs(spark, []), "").count() == 0
+
+
+def test_frequent_passages_and_their_copies(spark):
+    """Passages that more documents share than a bucket lists, near copies among their holders, and documents
+    that consist of such passages."""
+    rng = random.Random(12)
+    passages = [rng.choices(WORDS, k=60) for _ in range(5)]
+    texts = {}
+    for i in range(70):
+        own = rng.choices(WORDS, k=120)
+        words = own[:40] + passages[i % 5] + own[40:80] + passages[(i + 1) % 5] + own[80:]
+        texts[len(texts)] = " ".join(words)
+        if i % 3 == 0:
+            texts[len(texts)] = edited(rng, words, 3)
+    for i in range(12):
+        mixed = [passages[j] for j in rng.sample(range(5), 3)]
+        texts[len(texts)] = " ".join(w for p in mixed for w in p) + f" end{i}"
+    want = alike(texts)
+    assert len(want) > 24
+    for cap in (3, 16):
+        got = {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items())), pair_cap=cap).collect()}
+        assert got <= want and groups(got, texts) == groups(want, texts)
+
+
+def test_join_instead_of_a_list_gives_the_same(spark, monkeypatch):
+    rng = random.Random(2)
+    passage = rng.choices(WORDS, k=80)
+    texts = {i: " ".join(rng.choices(WORDS, k=60) + passage + rng.choices(WORDS, k=60)) for i in range(40)}
+    texts[40] = texts[7] + " more"
+    df = docs(spark, list(texts.items()))
+    one = {tuple(r) for r in near_copies.near_copy_links(df, pair_cap=4).collect()}
+    monkeypatch.setattr(near_copies, "SENT_KEYS", 0)
+    assert {tuple(r) for r in near_copies.near_copy_links(df, pair_cap=4).collect()} == one == alike(texts)

@@ -155,6 +155,16 @@ def test_exact_dedup_hot_group(spark):
     assert {r[0] for r in kept} == {i for i in range(600) if i % 3} | {597}
 
 
+def test_exact_dedup_stage_keeps_both_texts_of_one_id(spark):
+    df = docs(spark, [(1, "one"), (1, "two"), (1, "ONE"), (2, "two"), (None, "three"), (3, None), (3, None)])
+    kept = exact_dedup.stage_exact_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    rows = sorted((r["doc_id"], lower(r["text"])) for r in kept.collect())
+    assert rows == [(1, "one"), (2, "two"), (3, "")]
+    again = exact_dedup.stage_exact_dedup(spark, df.repartition(5), "")
+    assert sorted(map(str, again.collect())) == sorted(map(str, kept.collect()))
+
+
 # 4 substring dedup
 
 
