@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 HIERARCHICAL = ("ward.D2", "ward.D", "single", "complete", "average", "mcquitty", "centroid", "median", "flexible", "diana")
-EUCLIDEAN_ONLY = ("kmeans", "ward.D2", "ward.D", "centroid", "median", "gmm", "ward_relocate", "hybrid_kmeans", "hybrid_relocate")
+EUCLIDEAN_ONLY = ("kmeans", "fuzzy", "ward.D2", "ward.D", "centroid", "median", "gmm", "ward_relocate", "hybrid_kmeans", "hybrid_relocate")
 METHODS = (*HIERARCHICAL, "kmeans", "pam", "fuzzy", "gmm", "ward_relocate", "hybrid_kmeans", "hybrid_relocate", "hybrid_pam")
 DISTANCES = ("euclidean", "sqeuclidean", "minkowski", "manhattan", "maximum", "mahalanobis", "correlation", "cosine", "spearman", "gower", "jaccard", "simple_matching", "russell_rao", "chi_square", "phi_square")
 COVARIANCES = ("EEE", "VVV", "EEI", "VVI", "EII", "VII", "BIC")
@@ -29,7 +29,7 @@ class ClusterConfig:
     null: str = "permutation"
     subsample: bool = False
     fraction: float = 0.8
-    donor_threshold: float = 1.0
+    donor_threshold: float = 0.5
     max_missing: float = 0.5
     nstart: int = 20
     max_iter: int = 100

@@ -156,3 +156,9 @@ def pairs(cases: DataFrame, name: str, weights: list[float] | None = None, range
     right = every.where(F.col("b") == F.col("cell.hi")).select(*group_cols, "cell", F.col("id").alias("q"), F.col("x").alias("qx"))
     met = left.join(right, [*group_cols, "cell"]).where((F.col("cell.lo") < F.col("cell.hi")) | (F.col("p") < F.col("q")))
     return met.select(*group_cols, F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), distance(name, F.col("px"), F.col("qx"), weights, ranges).alias("d"))
+
+
+def fill_unknown(pairs: DataFrame) -> DataFrame:
+    """``pairs(i, j, d)`` in which pairs without a common variable have the largest distance, 1 at least."""
+    most = pairs.agg(F.greatest(F.lit(1.0), F.max("d")).alias("_most"))
+    return pairs.crossJoin(F.broadcast(most)).withColumn("d", F.coalesce("d", "_most")).drop("_most")

@@ -18,6 +18,8 @@ from tessella.session import materialize
 
 #: Centres are sent to all tasks up to this many numbers (rows times dimensions).
 BROADCAST_NUMBERS = 2_000_000
+#: A centre that moves by less than the root of this has come to rest; sums in another order differ by as much.
+STILL = 1e-18
 
 
 def _centres_side(centres: DataFrame) -> DataFrame:
@@ -55,15 +57,19 @@ def dimensions(cases: DataFrame) -> int:
 
 
 def lloyd(cases: DataFrame, centres: DataFrame, rounds: int, keys: tuple[str, ...] = (), starts: bool = False, size: int | None = None) -> DataFrame:
-    """Centres after ``rounds`` of Lloyd's algorithm. A cluster that loses its cases keeps its centre."""
+    """Centres after ``rounds`` of Lloyd's algorithm, fewer if no centre moves any more. A cluster that loses its
+    cases keeps its centre. Every round writes its centres, k rows per start."""
     by = (*keys, "start") if starts else keys
     size = size or dimensions(cases)
-    for i in range(rounds):
+    for _ in range(rounds):
         assigned = nearest(cases, centres, keys, starts)
-        moved = assigned.groupBy(*by, "cluster").agg(mean_vector("x", size).alias("_new"))
-        centres = centres.select(*by, "cluster", "center").join(moved, [*by, "cluster"], "left").select(*by, "cluster", F.coalesce("_new", "center").alias("center"))
-        if i % 4 == 3 or i == rounds - 1:
-            centres = materialize(centres)
+        means = assigned.groupBy(*by, "cluster").agg(mean_vector("x", size).alias("_new"))
+        moved = squared_distance(F.col("_new"), F.col("center")) > STILL
+        centres = centres.select(*by, "cluster", "center").join(means, [*by, "cluster"], "left").select(*by, "cluster", F.coalesce("_new", "center").alias("center"), F.coalesce(moved, F.lit(False)).alias("_moved"))
+        written = materialize(centres)
+        centres = written.drop("_moved")
+        if written.where("_moved").isEmpty():
+            break
     return centres
 
 

@@ -49,12 +49,14 @@ def _(spark, d):
     return spark.read.option("header", True).schema("id bigint, price double").csv(f"{path}/Prices")
 
 
-@query("s4_decimal_votes", r"""
-SELECT count(*) FILTER (WHERE regexp_matches(s, '^[-+]?(([0-9]{1,3}(\.[0-9]{3})+|[0-9]*),[0-9]+|[0-9]{1,3}(\.[0-9]{3}){2,})$') AND NOT regexp_matches(s, '^[-+]?[0-9]{1,3}[.,][0-9]{3}$')) AS "Comma",
-       count(*) FILTER (WHERE regexp_matches(s, '^[-+]?(([0-9]{1,3}(,[0-9]{3})+|[0-9]*)\.[0-9]+|[0-9]{1,3}(,[0-9]{3}){2,})$') AND NOT regexp_matches(s, '^[-+]?[0-9]{1,3}[.,][0-9]{3}$')) AS "Dot"
-FROM (SELECT translate(format('{:,.2f}', o_totalprice), '.,', ',.') AS s FROM orders)""")
+#: Every order's total as 112.946,26 (comma), as a millionth part 0,113 (comma: no whole number starts with 0), rounded
+#: down as 112,946 (either: no vote), and for odd keys as 1.12946E5 (point).
+@query("s4_decimal_votes", """SELECT count(*) + count(*) FILTER (WHERE round(o_totalprice / 1e6, 3) < 1) AS "Comma", count(*) FILTER (WHERE o_orderkey % 2 = 1) AS "Dot" FROM orders""")
 def _(spark, d):
-    return delimited.decimal_votes(fx.number_text(spark, d), ["s"])
+    orders = fx.table(spark, d, "orders")
+    swapped = lambda c, digits: F.translate(F.format_number(c, digits), ".,", ",.")
+    forms = orders.select(swapped(F.col("o_totalprice"), 2).alias("a"), swapped(F.col("o_totalprice") / 1e6, 3).alias("b"), F.format_number(F.floor("o_totalprice"), 0).alias("c"), F.when(F.col("o_orderkey") % 2 == 1, F.format_string("%.5E", F.col("o_totalprice").cast("double"))).alias("e"))
+    return delimited.decimal_votes(forms, ["a", "b", "c", "e"])
 
 
 @query("s5_parse_numbers", "SELECT o_orderkey, round(o_totalprice, 2) + 0.0 AS s, lpad(o_custkey::VARCHAR, 8, '0') AS code FROM orders")
@@ -276,7 +278,7 @@ def _members(spark, d):
     return every.withColumn("cluster", (key_hash("mi", F.col("imputation"), F.col("id")) % 40 + 1).cast("int"))
 
 
-@query("m7_consensus", f"""WITH m AS ({_MEMBERS}), s AS (SELECT a.id AS i, b.id AS j, count(*) AS t FROM m a JOIN m b ON a.imputation = b.imputation AND a.cluster = b.cluster AND a.id < b.id GROUP BY 1, 2),
+@query("m7_consensus", f"""WITH m AS MATERIALIZED ({_MEMBERS}), s AS MATERIALIZED (SELECT a.id AS i, b.id AS j, count(*) AS t FROM m a JOIN m b ON a.imputation = b.imputation AND a.cluster = b.cluster AND a.id < b.id GROUP BY 1, 2),
 n AS (SELECT s.i, s.j, count(*) AS n FROM s JOIN m a ON a.id = s.i JOIN m b ON b.id = s.j AND a.imputation = b.imputation GROUP BY 1, 2)
 SELECT s.i, s.j, {R('t::DOUBLE / n')} AS "Consensus", n AS "Imputations" FROM s JOIN n ON s.i = n.i AND s.j = n.j""")
 def _(spark, d):

@@ -84,9 +84,8 @@ def _(spark, d):
     t = profile.keep_cases(fx.customers_with_gaps(spark, d), fx.GAPS, available=True)
     ranges = {r["Variable"]: r["Scale"] for r in prepare.scale_model(t, fx.GAPS, "range").collect()}
     raw = materialize(dist.pairs(arrays(t, fx.GAPS), "gower", ranges=[ranges[v] for v in fx.GAPS]))
-    most = raw.agg(F.greatest(F.lit(1.0), F.max("d")).alias("most"), F.count_if(F.col("d").isNull()).alias("no_overlap"))
-    filled = raw.crossJoin(F.broadcast(most)).withColumn("d", F.coalesce("d", "most"))
-    return per_case(filled).crossJoin(F.broadcast(most.select("no_overlap")))
+    unknown = raw.agg(F.count_if(F.col("d").isNull()).alias("no_overlap"))
+    return per_case(dist.fill_unknown(raw)).crossJoin(F.broadcast(unknown))
 
 
 def _flag_distance(code: str, name: str, sql: str) -> None:

@@ -33,7 +33,8 @@ def pairs_of(p: prepare.Prepared, max_pairs: int = MAX_PAIRS) -> DataFrame:
         raise ValueError(f"{n} cases make more than {max_pairs} pairs: use a method for coordinates, or raise max_pairs")
     name = "euclidean" if p.config.distance == "mahalanobis" else p.config.distance
     weights = list(p.weights) if p.config.distance in ("gower", *dist.BINARY) else None
-    return dist.pairs(p.cases, name, weights, p.ranges, blocks=max(4, round(n**0.5 / 64)))
+    made = dist.pairs(p.cases, name, weights, p.ranges, blocks=max(4, round(n**0.5 / 64)))
+    return dist.fill_unknown(materialize(made)) if p.config.missing == "available" else made
 
 
 def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None) -> D
             if c.method == "gmm":
                 made = mixture.gmm(cases, k, c.covariance, seed=c.seed)[0]
             else:
-                made = kmeans.kmeans(cases, k, c.nstart, min(c.max_iter, 30), c.seed, plus_plus=min(c.nstart, 10))
+                made = kmeans.kmeans(cases, k, c.nstart, c.max_iter, c.seed, plus_plus=c.nstart)
             parts.append(made.select(F.lit(k).alias("k"), "id", "cluster"))
     elif c.method == "pam":
         matrix = materialize(pairs if pairs is not None else pairs_of(p))
@@ -93,10 +94,12 @@ def refine(p: prepare.Prepared, start: DataFrame, k: int, pairs: DataFrame | Non
     cases = p.cases.select("id", "x")
     placed = materialize(cases.join(start, "id"))
     if p.config.method == "hybrid_kmeans":
-        centres = kmeans.lloyd(cases, materialize(kmeans.centroids(placed, kmeans.dimensions(cases)).select("cluster", "center")), min(p.config.max_iter, 20))
+        centres = kmeans.lloyd(cases, materialize(kmeans.centroids(placed, kmeans.dimensions(cases)).select("cluster", "center")), p.config.max_iter)
         made = kmeans.renumbered(kmeans.nearest(cases, centres))
     elif p.config.method == "hybrid_pam":
-        made = medoids.pam(pairs if pairs is not None else pairs_of(p), cases, k)[0]
+        matrix = materialize(pairs if pairs is not None else pairs_of(p))
+        first = [r["id"] for r in kmeans.medoids_of(matrix, start).orderBy("cluster").collect()]
+        made = medoids.pam(matrix, cases, k, start=first)[0]
     else:
         made = kmeans.renumbered(kmeans.relocate(placed, p.config.max_iter)[0])
     return made.select(F.lit(k).alias("k"), "id", "cluster")
@@ -192,7 +195,7 @@ def multiple_imputation(df: DataFrame, config: ClusterConfig, k: int) -> tuple[D
     wide = model.groupBy("imputation").pivot("Variable", list(config.variables)).agg(F.first(F.struct("Center", "Scale")))
     wide = wide.select("imputation", *[F.col(v).alias(f"_m_{v}") for v in config.variables])
     z = completed.join(F.broadcast(wide), "imputation").select("imputation", "id", F.array(*[(F.col(v) - F.col(f"_m_{v}.Center")) / F.col(f"_m_{v}.Scale") for v in config.variables]).alias("x"))
-    members = materialize(kmeans.kmeans(materialize(z), k, config.nstart, 10, config.seed, keys=("imputation",)).select("imputation", "id", "cluster"))
+    members = materialize(kmeans.kmeans(materialize(z), k, config.nstart, config.max_iter, config.seed, keys=("imputation",)).select("imputation", "id", "cluster"))
     return members, impute.consensus(members)
 
 

@@ -153,6 +153,35 @@ def test_delimited_text(spark, tmp_path):
         delimited.read_delimited(spark, str(h))
 
 
+@pytest.mark.parametrize(("text", "mark", "value"), [
+    ("1.234,5", ",", 1234.5), ("1.234", ",", 1234.0), ("12.34", ",", None), ("0,125", ",", 0.125), (",5", ",", 0.5), ("-5,", ",", -5.0), ("1e3", ",", 1000.0), ("1,5E-2", ",", 0.015),
+    ("1 234,5", ",", 1234.5), ("1'234'567.25", ".", 1234567.25), ("1,234.5", ".", 1234.5), ("1234,567", ".", None), ("+7.", ".", 7.0), (".", ".", None), ("", ".", None), ("abc", ".", None), ("1.2.3", ".", None), ("e5", ".", None),
+])
+def test_numbers_as_text(spark, text, mark, value):
+    df = spark.createDataFrame([(text,)], "t string")
+    assert df.select(delimited.parse_number(F.col("t"), mark)).first()[0] == value
+
+
+def test_votes_for_the_decimal_mark(spark):
+    """What can be read in one way only, by hand."""
+    votes = {"0,5": ",", "0,125": ",", "1.234,5": ",", "1.234,": ",", ",25": ",", "1234,5": ",", "1,25": ",", "0.5": ".", "0.125": ".", "1,234.5": ".", "1.5e3": ".", "1234.567": ".", "1,234": "", "12.345": "", "1.234.567": "", "1,234,567": "", "7": "", "1,2,3": "", "x": "", "0012,345": ","}
+    df = spark.createDataFrame([(t,) for t in votes], "t string")
+    rows = df.select("t", delimited.votes_for(F.col("t"), ",").alias("c"), delimited.votes_for(F.col("t"), ".").alias("p")).collect()
+    assert {r["t"]: ("," if r["c"] else "") + ("." if r["p"] else "") for r in rows} == votes
+
+
+def test_headerless_files(spark, tmp_path):
+    """Comma separates two columns; it is the decimal mark only where white space separates several numbers."""
+    a, b = tmp_path / "a.dat", tmp_path / "b.dat"
+    a.write_text("1,2\n3,4\n")
+    b.write_text("1,5 2,25\n3,0 4,5\n")
+    read = lambda f: sorted(tuple(r) for r in delimited.read_delimited(spark, str(f), header=False).collect())
+    assert read(a) == [(1.0, 2.0), (3.0, 4.0)] and read(b) == [(1.5, 2.25), (3.0, 4.5)]
+    c = tmp_path / "c.csv"
+    c.write_text("x;y\n0,125;a\n0,250;b\n")
+    assert sorted(tuple(r) for r in delimited.read_delimited(spark, str(c)).collect()) == [(0.125, "a"), (0.25, "b")]
+
+
 def test_results_are_written(spark, example, tmp_path):
     tables.write_results({"Data": example.select("ID", "Stress")}, ClusterConfig(tuple(VARIABLES), "ID"), str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out/Data")).count() == 150

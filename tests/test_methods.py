@@ -165,3 +165,32 @@ def test_analysis_runs_through(example, method):
     assert profile["N"] == 150
     if method == "kmeans":
         assert result.suggested in (2, 3)  # one group stands apart from two that touch
+
+
+def test_lloyd_stops_when_no_centre_moves(cases):
+    start = materialize(kmeans.random_seeds(cases, 3, 1, 1).select("cluster", "center"))
+    few = kmeans.lloyd(cases.select("id", "x"), start, 60)
+    more = kmeans.lloyd(cases.select("id", "x"), few, 1)
+    a, b = ({r["cluster"]: r["center"] for r in df.collect()} for df in (few, more))
+    assert all(a[c] == pytest.approx(b[c], abs=1e-8) for c in a)
+
+
+def test_pam_starts_from_given_medoids(small, small_pairs):
+    """From the medoids of the best solution nothing is swapped; without swaps the start is kept."""
+    _, best, total = medoids.pam(small_pairs, small.select("id"), 3)
+    assert medoids.pam(small_pairs, small.select("id"), 3, start=best)[1:] == (best, total)
+    ids, _ = points(small)
+    assert medoids.pam(small_pairs, small.select("id"), 3, max_swaps=0, start=ids[:3])[1] == sorted(ids[:3])
+
+
+def test_pairs_without_a_common_variable_are_far_apart(spark):
+    rows = [(1, 1.0, None), (2, None, 3.0), (3, 5.0, 4.0), (4, 2.0, 9.0)]
+    df = spark.createDataFrame(rows, "id bigint, a double, b double")
+    p = jobs.prepare.prepare(df, ClusterConfig(("a", "b"), "id", missing="available", distance="gower", method="average"))
+    got = {(r["i"], r["j"]): r["d"] for r in jobs.pairs_of(p).collect()}
+    assert got[1, 2] == 1.0 and len(got) == 6 and got[1, 3] == pytest.approx(1.0) and got[3, 4] == pytest.approx((3 / 4 + 5 / 6) / 2)
+
+
+def test_hierarchy_refined_by_medoids(example):
+    made = jobs.analyse(example, ClusterConfig(tuple(VARIABLES), "n", method="hybrid_pam", k_min=3, k_max=3, representatives=150), pair_indices=False)
+    assert made.comparison.where("Status = 'Completed' and K = 3").count() == 1
