@@ -281,7 +281,7 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
         equal = keep(equal.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
         alone = sketches.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").drop("digest")
         alone, frequent = (keep(df) for df in _first_order(alone, pair_cap, similarity))
-    alone = _frequent_last(alone, frequent, named, pair_cap, similarity)
+    alone = materialize(_frequent_last(alone, frequent, named, pair_cap, similarity))
     close = materialize(_simhash_candidates(alone.select("doc_id", "fp")).distinct())
 
     placed = _placed(alone)
