@@ -318,6 +318,17 @@ def test_fingerprints_and_components(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_documents_by_brute_force(spark):
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.op8_simhash_near_dedup(spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    prints = {i: brute_fingerprint(t) for i, t in texts.items()}
+    root = brute_components(sorted(set(prints.values())))
+    smallest = {}
+    for i, v in prints.items():
+        smallest[root[v]] = min(i, smallest.get(root[v], i))
+    assert got == {i: (format(v, "016x"), smallest[root[v]]) for i, v in prints.items()}
+
+
 @pytest.mark.parametrize("cap", [1, 4, 32])
 def test_links_whatever_the_cell_cap(spark, cap):
     rng = random.Random(cap)
@@ -419,3 +430,13 @@ def test_token_files(spark, odd, empty, library):
         assert r == (i, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert len(got) == len(ODD) and token_coder.read_tokens(token_coder.write_tokens(empty)).count() == 0
+
+
+def test_token_ids_of_documents_by_the_library(spark, library):
+    got = sorted((tuple(r) for r in token_coder.op10_token_ids(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    at, want = 0, []
+    for i, t in sorted((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert got == want
