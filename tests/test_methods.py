@@ -194,3 +194,33 @@ def test_pairs_without_a_common_variable_are_far_apart(spark):
 def test_hierarchy_refined_by_medoids(example):
     made = jobs.analyse(example, ClusterConfig(tuple(VARIABLES), "n", method="hybrid_pam", k_min=3, k_max=3, representatives=150), pair_indices=False)
     assert made.comparison.where("Status = 'Completed' and K = 3").count() == 1
+
+
+@pytest.mark.parametrize(("method", "far"), [("complete", np.max), ("average", np.mean)])
+def test_linkages_by_the_distances_between_groups(small, small_pairs, method, far):
+    """Heights from the members of the groups alone, without any update rule."""
+    _, x = points(small)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    groups, heights = [[i] for i in range(len(x))], []
+    while len(groups) > 1:
+        h, a, b = min((far(d[np.ix_(p, q)]), i, j) for i, p in enumerate(groups) for j, q in enumerate(groups) if i < j)
+        heights.append(h)
+        groups[a] += groups.pop(b)
+    made = linkage.mutual_merges(small_pairs, small.select("id"), method, last=4)
+    assert sorted(r["height"] for r in made.collect()) == pytest.approx(sorted(heights))
+
+
+def test_centroid_matching_by_all_permutations():
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    gaps = pd.DataFrame([(a, b, rng.random()) for a in range(1, 5) for b in range(1, 5)], columns=["Cluster_A", "Cluster_B", "ASED"])
+    table = gaps.pivot(index="Cluster_A", columns="Cluster_B", values="ASED").to_numpy()
+    from itertools import permutations
+
+    best = min(sum(table[i, p[i]] for i in range(4)) for p in permutations(range(4)))
+    assert agreement.match_centroids(gaps, globally=True)["ASED"].sum() == pytest.approx(best)
+    greedy = agreement.match_centroids(gaps, globally=False)
+    first = greedy.iloc[0]
+    assert first["ASED"] == table.min() and sorted(greedy["Cluster_A"]) == [1, 2, 3, 4] == sorted(greedy["Cluster_B"])
+    assert list(greedy["ASED"]) == sorted(greedy["ASED"])
