@@ -54,7 +54,7 @@ def mutual_merges(pairs: DataFrame, ids: DataFrame, method: str, beta: float = -
     heights. Ties go to the smaller names, so the result does not depend on partitioning. At ``last`` groups
     or fewer the remaining merges are made in one task, from at most last * (last - 1) / 2 distances.
     """
-    if method not in REDUCIBLE or (method == "flexible" and beta > 0):
+    if method not in (*REDUCIBLE, "single") or (method == "flexible" and beta > 0):
         raise ValueError(f"{method} does not merge in rounds")
     squared = method == "ward.D2"
     rule = _update(method, beta)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_hash, key_uniform
 from tessella.operators import agreement, evaluate, kmeans
+from tessella.session import materialize
 
 LOWER_IS_BETTER = ("DB", "C_index", "G_plus", "WB", "Negative_silhouette_pct")
 
 
 def indexed(cases: DataFrame, key: str = "id") -> DataFrame:
     """Adds ``index``, 0, 1, ... in order of the key, without a global window: ranges of the key are dealt
-    to partitions, whose sizes are then added up."""
-    ranged = cases.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    to partitions, whose sizes are then added up. The deal is written once: its bounds come from a sample, and
+    a second pass over other columns could draw others."""
+    ranged = materialize(cases.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
     ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
     totals = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     starts = totals.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))

@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.resample import indexed
+from tessella.session import materialize
+
 WARD = ("ward.D2", "ward_relocate")
 
 
+def stages(merges: DataFrame) -> DataFrame:
+    """The table that ``agglomeration`` takes, of a tree's ``merges(a, b, height, n)`` in any order or
+    ``merges(stage, a, b, height)`` in theirs; groups are named by their first case, a merged group keeps the name a.
+
+    Without stages, merges are ordered by height at 12 digits; of equal ones the smaller merged group comes
+    first, so every group is formed before it is merged. The stage at which b was formed is the last that bears its name.
+    """
+    if "stage" not in merges.columns:
+        key = F.struct(F.format_string("%.11e", "height").cast("double").alias("h"), "n", "a", "b")
+        merges = indexed(merges.withColumn("_key", key), "_key").select((F.col("index") + 1).cast("bigint").alias("stage"), "a", "b", "height")
+    merges = materialize(merges.select("stage", "a", "b", "height"))
+    formed = merges.groupBy(F.col("a").alias("b")).agg(F.max("stage").alias("_b"))
+    earlier = F.lag("stage").over(Window.partitionBy("a").orderBy("stage"))
+    met = merges.withColumn("_a", earlier).join(formed, "b", "left")
+    never = F.lit(0).cast("bigint")
+    return met.select("stage", F.coalesce("_a", never).alias("a"), F.coalesce("_b", never).alias("b"), "height", F.col("a").alias("first_a"), F.col("b").alias("first_b"))
+
+
 def agglomeration(merges: DataFrame, method: str) -> DataFrame:
     """The schedule of ``merges(stage, a, b, height, first_a, first_b)``: a and b are the stages at which the merged
     groups were formed, 0 for single cases; first_a and first_b their first cases.
 
-    A hierarchy has one row per case less one, of a tree already cut to what a report shows or made of
-    representatives, so the running sum is over a bounded table.
+    A hierarchy has one row per case less one; of trees made from pairs that is as many as the square root of the
+    pairs allowed, of others as many as there are representatives, so the running sum is over a bounded table.
     """
     order = Window.orderBy("stage")
     n = merges.agg((F.count(F.lit(1)) + 1).alias("n"))

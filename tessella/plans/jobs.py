@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import HIERARCHICAL, ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import describe, evaluate, fuzzy, impute, kmeans, linkage, medoids, mixture, prepare, profile, resample, select
+from tessella.operators import describe, evaluate, fuzzy, impute, kmeans, linkage, medoids, mixture, prepare, profile, resample, schedule, select
 from tessella.session import materialize
 
 #: Pair jobs refuse more pairs than this; ``max_pairs`` raises it.
@@ -37,19 +37,23 @@ def pairs_of(p: prepare.Prepared, max_pairs: int = MAX_PAIRS) -> DataFrame:
     return dist.fill_unknown(materialize(made)) if p.config.missing == "available" else made
 
 
-def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None) -> DataFrame:
+def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None, criteria: dict[int, DataFrame] | None = None) -> DataFrame:
     """(k, id, cluster) for each k by the configured method; one hierarchy serves every k. k = 1 is one
-    cluster, except for mixtures, which are fitted."""
+    cluster, except for mixtures, which are fitted and leave one row of their criteria for each k in ``criteria``."""
     c, cases = p.config, p.cases.select("id", "x")
-    many = [k for k in ks if k > 1]
-    one = [cases.select(F.lit(1).alias("k"), "id", F.lit(1).alias("cluster"))] if 1 in ks else []
+    many = [k for k in ks if k > 1 or c.method == "gmm"]
+    one = [cases.select(F.lit(1).alias("k"), "id", F.lit(1).alias("cluster"))] if 1 in ks and c.method != "gmm" else []
     for k in many:
         profile.check_profiles(p.cases, p.variables, k)
     if c.method in ("kmeans", "gmm"):
         parts = []
         for k in many:
             if c.method == "gmm":
-                made = mixture.gmm(cases, k, c.covariance, seed=c.seed)[0]
+                made, mix = mixture.gmm(cases, k, c.covariance, seed=c.seed)
+                made = materialize(made)
+                if criteria is not None:
+                    probs = made.select("id", F.posexplode("prob").alias("cluster", "prob"))
+                    criteria[k] = materialize(evaluate.mixture_criteria(probs, mix.log_likelihood, mix.parameters))
             else:
                 made = kmeans.kmeans(cases, k, c.nstart, c.max_iter, c.seed, plus_plus=c.nstart)
             parts.append(made.select(F.lit(k).alias("k"), "id", "cluster"))
@@ -89,6 +93,24 @@ def tree_cuts(p: prepare.Prepared, ks: list[int], method: str, pairs: DataFrame
     return made
 
 
+def agglomeration(p: prepare.Prepared, pairs: DataFrame | None = None) -> DataFrame:
+    """The agglomeration schedule of the configured hierarchy: of the cases, or under Euclidean distance of their
+    representatives, named by their first case."""
+    c, cases = p.config, p.cases.select("id", "x")
+    if c.method == "diana":
+        raise ValueError("diana splits, it has no agglomeration schedule")
+    if p.euclidean or c.distance == "mahalanobis":
+        placed, reps = linkage.representatives(cases, c.representatives, c.seed)
+        placed = materialize(placed.select("id", "rep"))
+        first = placed.groupBy("rep").agg(F.min("id").alias("first"))
+        tree = materialize(linkage.tree_of_representatives(materialize(reps), c.method, c.beta))
+        named = lambda x: first.select(F.col("rep").alias(x), F.col("first").alias(f"_{x}"))
+        merges = tree.join(named("a"), "a").join(named("b"), "b").select("stage", F.col("_a").alias("a"), F.col("_b").alias("b"), "height")
+    else:
+        merges = materialize(linkage.mutual_merges(pairs if pairs is not None else pairs_of(p), cases, c.method, c.beta))
+    return schedule.agglomeration(materialize(schedule.stages(merges)), c.method)
+
+
 def refine(p: prepare.Prepared, start: DataFrame, k: int, pairs: DataFrame | None = None) -> DataFrame:
     """A starting partition improved by k-means, relocation, or medoid swaps."""
     cases = p.cases.select("id", "x")
@@ -122,26 +144,37 @@ def evaluate_solution(p: prepare.Prepared, partition: DataFrame, k: int, pairs:
     return row.withColumn("Status", F.lit("Completed"))
 
 
-def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True) -> Analysis:
+def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, validation: bool = False) -> Analysis:
     """Prepare the cases, cluster them for k_min..k_max, evaluate and compare the solutions, and suggest a k.
 
-    A k that fails is recorded with its message and the others go on.
+    A k that fails is recorded with its message and the others go on. ``validation`` adds bootstrap, null
+    simulation, replication and the gap statistic of k-means solutions to the comparison and the choice of k.
     """
+    if validation and config.method != "kmeans":
+        raise ValueError("validation refits k-means only")
     p = prepare.prepare(df, config)
     p = prepare.Prepared(materialize(p.cases), p.variables, p.weights, config, p.ranges, p.donors, p.audit)
     ks = [k for k in range(config.k_min, min(config.k_max, p.cases.count() - 1) + 1)]
     pairs = materialize(pairs_of(p)) if pair_indices else None
-    rows, fitted = [], []
+    rows, fitted, checks = [], [], {}
+    criteria: dict[int, DataFrame] = {}
     for k in ks if config.method not in HIERARCHICAL else [ks]:
         try:
-            made = materialize(fit(p, [k] if isinstance(k, int) else k, pairs))
+            made = materialize(fit(p, [k] if isinstance(k, int) else k, pairs, criteria))
         except ValueError as e:
             failed = [k] if isinstance(k, int) else k
             rows += [df.sparkSession.range(1).select(F.lit(x).cast("bigint").alias("K"), F.lit(str(e)).alias("Status")) for x in failed]
             continue
         fitted.append(made)
         for x in [k] if isinstance(k, int) else k:
-            rows.append(evaluate_solution(p, made.where(F.col("k") == x).select("id", "cluster"), x, pairs))
+            part = made.where(F.col("k") == x).select("id", "cluster")
+            row = evaluate_solution(p, part, x, pairs)
+            if x in criteria:
+                row = row.crossJoin(criteria[x])
+            if validation and x > 1:
+                checks[x] = {name: materialize(t) for name, t in validate(p, part, x).items()}
+                row = row.crossJoin(validation_row(checks[x]))
+            rows.append(row)
     if not fitted:
         raise ValueError("no solution could be fitted")
     memberships = fitted[0]
@@ -150,15 +183,27 @@ def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True) ->
     comparison = materialize(select.comparison(rows))
     done = sorted(r["k"] for r in memberships.select("k").distinct().collect())
     best = select.best_k(select.long_indices(comparison))
-    suggested = select.suggested_k(best, done).first()["K"]
+    gap = voted = None
+    if validation:
+        gap = materialize(resample.gap(p.cases.select("id", "x"), config.k_max, config.gap_B, config.seed))
+        voted = materialize(resample.gap_candidate(gap))
+        gap = gap.crossJoin(F.broadcast(voted.select(F.col("K").alias("candidate"))))
+    suggested = select.suggested_k(best, done, voted).first()["K"]
     tables = {
         "Descriptives": profile.describe(df, list(config.variables)),
         "Missingness": profile.missingness(df, list(config.variables)),
         "Missing_patterns": profile.missing_patterns(df, list(config.variables)),
         "Case_audit": p.audit,
         "Comparison": comparison,
-        "Fit_indices": select.fit_indices(comparison, done),
+        "Fit_indices": select.fit_indices(comparison, done, gap),
     }
+    if config.method in HIERARCHICAL and config.method != "diana":
+        tables["Agglomeration"] = agglomeration(p, pairs)
+    if gap is not None:
+        tables["Gap"] = gap.drop("candidate")
+    for name in next(iter(checks.values()), {}):
+        parts = [t[name] if "K" in t[name].columns else t[name].select(F.lit(x).alias("K"), "*") for x, t in checks.items()]
+        tables[name] = select.comparison(parts)
     if p.donors is not None:
         tables["Donors"] = p.donors
     tables |= solution_tables(p, df, memberships, suggested)
@@ -209,6 +254,16 @@ def validate(p: prepare.Prepared, partition: DataFrame, k: int, replicates: int
     return {"Bootstrap": stability, "Bootstrap_agreement": agreement, "Simulation": simulated, "Replication": resample.split_half(cases, k, p.config.seed)}
 
 
+def validation_row(tables: dict[str, DataFrame]) -> DataFrame:
+    """What the comparison table has of ``validate``'s tables: one row."""
+    stability, agreed, simulated = tables["Bootstrap"], tables["Bootstrap_agreement"], tables["Simulation"]
+    of = lambda i, c, name: F.max(F.when(F.col("Index") == i, F.col(c))).alias(name)
+    jaccard = stability.agg(F.avg("Mean_Jaccard").alias("Bootstrap_mean_Jaccard"), F.min("Mean_Jaccard").alias("Bootstrap_min_Jaccard"))
+    agreement = agreed.agg(*[of(i, c, f"Bootstrap_{i}{end}") for i in ("ARI", "Rand") for c, end in (("Mean", ""), ("P025", "_P025"), ("P975", "_P975"))], F.min("Valid_B").alias("Bootstrap_valid_B"))
+    p = simulated.agg(*[of(i, "Empirical_p", f"Simulation_p_{i}") for i in ("CH", "EESS")])
+    return jaccard.crossJoin(agreement).crossJoin(p).crossJoin(tables["Replication"].select("Invariance"))
+
+
 def as_pandas(analysis: Analysis, table: str, rows: int = 200) -> pd.DataFrame:
     """The first rows of a result table, for display."""
     return analysis.tables[table].limit(rows).toPandas()

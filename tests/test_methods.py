@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import agreement, fuzzy, kmeans, linkage, medoids, mixture, prepare
+from tessella.operators import agreement, fuzzy, kmeans, linkage, medoids, mixture, prepare, resample, schedule
 from tessella.plans import jobs
 from tessella.session import materialize
 
@@ -224,3 +224,76 @@ def test_centroid_matching_by_all_permutations():
     first = greedy.iloc[0]
     assert first["ASED"] == table.min() and sorted(greedy["Cluster_A"]) == [1, 2, 3, 4] == sorted(greedy["Cluster_B"])
     assert list(greedy["ASED"]) == sorted(greedy["ASED"])
+
+
+def naive_tree(ids, x, method):
+    """(first case a, first case b, height, sizes' stages) of each merge, from all distances between two groups."""
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    far = {"single": np.min, "complete": np.max, "average": np.mean}[method]
+    groups, formed, out = {i: [i] for i in range(len(ids))}, {}, []
+    while len(groups) > 1:
+        h, a, b = min((far(d[np.ix_(groups[a], groups[b])]), a, b) for a in groups for b in groups if a < b)
+        out.append((len(out) + 1, ids[a], ids[b], h, formed.get(a, 0), formed.get(b, 0)))
+        groups[a] += groups.pop(b)
+        formed[a] = len(out)
+    return out
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_schedule_of_a_tree_by_single_merges(small, small_pairs, method):
+    ids, x = points(small)
+    made = schedule.agglomeration(schedule.stages(linkage.mutual_merges(small_pairs, small, method, last=8)), method)
+    got = [tuple(r) for r in made.select("Stage", "Cluster_1", "Cluster_2", "Coefficient", "First_stage_cluster_1", "First_stage_cluster_2", "Next_stage", "Clusters_after_stage").orderBy("Stage").collect()]
+    expected = naive_tree(ids, x, method)
+    after = {f: stage for stage, *_, fa, fb in expected for f in (fa, fb) if f}
+    assert [(s, a, b, pytest.approx(h), fa, fb, after.get(s, 0), len(ids) - s) for s, a, b, h, fa, fb in expected] == got
+
+
+def test_equal_heights_form_groups_before_they_merge(spark):
+    x = spark.createDataFrame([(i, [float(i)]) for i in range(1, 9)], "id bigint, x array<double>")
+    made = schedule.stages(linkage.mutual_merges(dist.pairs(x, "euclidean", blocks=2), x, "single", last=2)).collect()
+    assert len(made) == 7 and all(r["a"] < r["stage"] and r["b"] < r["stage"] for r in made)
+    assert sorted(s for r in made for s in (r["a"], r["b"]) if s) == list(range(1, 7))
+
+
+@pytest.mark.parametrize("method, distance", [("ward.D2", "euclidean"), ("average", "manhattan")])
+def test_analysis_has_the_schedule_of_its_tree(example, method, distance):
+    config = ClusterConfig(tuple(VARIABLES), "n", method=method, distance=distance, k_min=3, k_max=3, representatives=150)
+    made = jobs.analyse(example, config, pair_indices=False).tables["Agglomeration"]
+    rows = made.orderBy("Stage").collect()
+    assert len(rows) == 149 and rows[-1]["Cluster_1"] == 1 and rows[-1]["Next_stage"] == 0
+    top = schedule.largest_increase(made, [2, 3, 4, 5], 2).collect()
+    assert top[0]["K"] in (2, 3) and top[0]["Relative_increase"] >= top[1]["Relative_increase"]
+    if method == "ward.D2":  # the last coefficient is the total sum of squares of three z-scaled variables
+        assert rows[-1]["Coefficient"] == pytest.approx(3 * 149)
+
+
+def test_mixture_criteria_decide_the_number_of_components(example):
+    made = jobs.analyse(example, ClusterConfig(tuple(VARIABLES), "n", method="gmm", covariance="EEI", k_min=1, k_max=4), pair_indices=False)
+    rows = {r["K"]: r for r in made.comparison.collect()}
+    assert made.suggested == min(rows, key=lambda k: rows[k]["BIC"]) == 3
+    for k, r in rows.items():
+        assert r["BIC"] == pytest.approx(-2 * r["Log_likelihood"] + r["Parameters"] * np.log(150))
+        assert r["AIC"] == pytest.approx(-2 * r["Log_likelihood"] + 2 * r["Parameters"])
+    assert rows[1]["Relative_entropy"] is None and rows[3]["Relative_entropy"] > 0.9
+
+
+def test_analysis_with_validation(example):
+    config = ClusterConfig(tuple(VARIABLES), "n", method="kmeans", k_min=3, k_max=4, nstart=3, B=9, gap_B=5)
+    made = jobs.analyse(example, config, pair_indices=False, validation=True)
+    rows = {r["K"]: r for r in made.comparison.collect()}
+    assert rows[3]["Bootstrap_min_Jaccard"] > 0.85 and rows[3]["Bootstrap_ARI"] > 0.9 and rows[3]["Invariance"] > 0.8
+    assert rows[3]["Simulation_p_CH"] == pytest.approx(0.1) and rows[3]["Bootstrap_valid_B"] == 9
+    assert rows[4]["Bootstrap_min_Jaccard"] < rows[3]["Bootstrap_min_Jaccard"]
+    assert made.tables["Bootstrap"].count() == 7 and made.tables["Gap"].count() == 4 and made.tables["Replication"].count() == 2
+    assert "Gap statistic" in [r["Index"] for r in made.tables["Fit_indices"].collect()] and made.suggested == 3
+    with pytest.raises(ValueError, match="k-means"):
+        jobs.analyse(example, ClusterConfig(tuple(VARIABLES), "n", method="ward.D2"), validation=True)
+
+
+def test_indexed_counts_wide_rows_once(spark):
+    wide = spark.range(0, 400_000, 1, 8).select(F.md5(F.col("id").cast("string")).alias("key"), F.repeat(F.lit("x"), 60).alias("pad"), F.col("id").alias("n"))
+    made = materialize(resample.indexed(wide, "key"))
+    assert made.agg(F.count_distinct("index"), F.min("index"), F.max("index")).first()[:] == (400_000, 0, 399_999)
+    before = made.alias("a").join(made.alias("b"), F.col("a.index") + 1 == F.col("b.index"))
+    assert before.where("a.key >= b.key").isEmpty()
