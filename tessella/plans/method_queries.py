@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import describe, fuzzy, linkage, medoids, mixture
+from tessella.operators import describe, fuzzy, linkage, medoids, mixture, schedule
 from tessella.plans import fixtures as fx
 from tessella.plans import jobs
 from tessella.plans.evaluate_queries import standardised
@@ -59,6 +59,12 @@ def _(spark, d):
     return linkage.cut(v.select("id"), merges, 10)
 
 
+@query("h1_h4_schedule_of_tree", digits=8)
+def _(spark, d):
+    v = materialize(fx.vectors(spark, d))
+    return schedule.agglomeration(schedule.stages(linkage.mutual_merges(dist.pairs(v, "manhattan"), v.select("id"), "average")), "average")
+
+
 @query("c15_pam")
 def _(spark, d):
     v = materialize(fx.vectors(spark, d))
