@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_uniform
 from tessella.functions.vectors import squared_distance
+from tessella.operators.centre_passes import CentrePasses
 from tessella.session import materialize
 
 #: Centres are sent to all tasks up to this many numbers (rows times dimensions).
@@ -22,10 +23,10 @@ BROADCAST_NUMBERS = 2_000_000
 STILL = 1e-18
 
 
-def _centres_side(centres: DataFrame) -> DataFrame:
-    """Broadcast only if the centres are few: their number is counted, and they have a known width."""
+def _few(centres: DataFrame) -> bool:
+    """Whether the driver may hold the centres: their number is counted, and they have a known width."""
     row = centres.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("center")).alias("p")).first()
-    return F.broadcast(centres) if row["n"] * (row["p"] or 0) <= BROADCAST_NUMBERS else centres
+    return row["n"] * (row["p"] or 0) <= BROADCAST_NUMBERS
 
 
 def nearest(cases: DataFrame, centres: DataFrame, keys: tuple[str, ...] = (), starts: bool = False) -> DataFrame:
@@ -58,9 +59,19 @@ def dimensions(cases: DataFrame) -> int:
 
 def lloyd(cases: DataFrame, centres: DataFrame, rounds: int, keys: tuple[str, ...] = (), starts: bool = False, size: int | None = None) -> DataFrame:
     """Centres after ``rounds`` of Lloyd's algorithm, fewer if no centre moves any more. A cluster that loses its
-    cases keeps its centre. Every round writes its centres, k rows per start."""
+    cases keeps its centre. The driver holds the centres, k rows per start, up to ``BROADCAST_NUMBERS`` numbers."""
     by = (*keys, "start") if starts else keys
     size = size or dimensions(cases)
+    if _few(centres):
+        passes = CentrePasses(cases, centres, keys, by, size)
+        passes.settle(rounds, STILL)
+        return passes.table()
+    return _lloyd_by_joins(cases, centres, rounds, keys, starts, size)
+
+
+def _lloyd_by_joins(cases: DataFrame, centres: DataFrame, rounds: int, keys: tuple[str, ...], starts: bool, size: int) -> DataFrame:
+    """``lloyd`` for more centres than the driver should hold. Every round writes its centres."""
+    by = (*keys, "start") if starts else keys
     for _ in range(rounds):
         assigned = nearest(cases, centres, keys, starts)
         means = assigned.groupBy(*by, "cluster").agg(mean_vector("x", size).alias("_new"))
@@ -124,7 +135,13 @@ def kmeans(cases: DataFrame, k: int, nstart: int = 20, rounds: int = 20, seed: i
         seeds = seeds.unionByName(plus_plus_seeds(cases, k, plus_plus, seed + 1, keys).withColumn("start", F.col("start") + nstart))
     if extra is not None:
         seeds = seeds.unionByName(extra.select(*seeds.columns))
-    centres = lloyd(cases, materialize(seeds), rounds, keys, starts=True)
+    seeds = materialize(seeds)
+    if _few(seeds):
+        passes = CentrePasses(cases, seeds, keys, (*keys, "start"), dimensions(cases))
+        passes.settle(rounds, STILL)
+        passes.best()
+        return renumbered(nearest(cases, passes.table().drop("start"), keys), keys)
+    centres = _lloyd_by_joins(cases, seeds, rounds, keys, True, dimensions(cases))
     scored = within_ss(nearest(cases, centres, keys, starts=True), (*keys, "start"))
     order = F.struct(-F.col("clusters"), F.col("ss"), F.col("start"))
     best = scored.groupBy(*keys).agg(F.min_by("start", order).alias("start")) if keys else scored.agg(F.min_by("start", order).alias("start"))
