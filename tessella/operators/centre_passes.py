@@ -44,7 +44,10 @@ class CentrePasses:
         self.group = np.array([numbers.setdefault(s[: len(keys)], len(numbers)) for s in self.slots], np.int64)
         if keys and numbers:
             named = self.spark.createDataFrame([(*name, g) for name, g in numbers.items()], f"{', '.join(f'`{k}` {t}' for k, t in kept.select(*keys).dtypes)}, _g int")
-            self.cases = materialize(cases.join(F.broadcast(named), list(keys)).select("_g", "x"))
+            met = cases.join(F.broadcast(named), list(keys)).select("_g", "x")
+            parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            # Ranges keep a group in few tasks, and a large group in several.
+            self.cases = materialize(met.repartitionByRange(parts, "_g", F.xxhash64("x")))
         else:
             self.cases = cases.select(F.lit(0).alias("_g"), "x")
 

@@ -81,8 +81,8 @@ def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None =
 
     Columns: a block of cases is replicated to every block it meets, at most ``blocks`` times.
     """
-    if name in KERNELS and not keys:
-        return _block_sums(cases, name, blocks)
+    if name in KERNELS:
+        return _block_sums(cases, name, blocks, keys)
     keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = keyed.select(*keys, F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("x").alias("xi"), F.col("b").alias("row"), every.alias("col"))
@@ -93,14 +93,15 @@ def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None =
     )
 
 
-def _block_sums(cases: DataFrame, name: str, blocks: int) -> DataFrame:
+def _block_sums(cases: DataFrame, name: str, blocks: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """``case_cluster_sums`` by matrix arithmetic: a task takes two blocks of cases and gives, for each case of the
-    first and each cluster of the second, the five sums. A block holds about BLOCK_CASES cases."""
-    blocks = max(blocks, math.ceil(cases.count() / BLOCK_CASES))
-    keyed = cases.select("id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    first and each cluster of the second, the five sums. A block holds about BLOCK_CASES cases of a key."""
+    most = cases.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1 if keys else blocks, math.ceil(most / BLOCK_CASES))
+    keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    rows = keyed.select("id", "cluster", "x", F.col("b").alias("row"), every.alias("col"))
-    cols = keyed.select(F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2"))
+    rows = keyed.select(*keys, "id", "cluster", "x", F.col("b").alias("row"), every.alias("col"))
+    cols = keyed.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2"))
     kinds = dict(cases.dtypes)
     measure = KERNELS[name]
 
@@ -114,13 +115,13 @@ def _block_sums(cases: DataFrame, name: str, blocks: int) -> DataFrame:
                 known = ~np.isnan(part)
                 zero = np.where(known, part, 0.0)
                 low, high = np.where(known, part, np.inf).min(1), np.where(known, part, -np.inf).max(1)
-                out.append(pd.DataFrame({"id": a["id"], "cluster": a["cluster"], "other": other, "n": known.sum(1), "d": zero.sum(1), "d2": (zero * zero).sum(1), "low": low, "high": high}))
-        made = pd.concat(out) if out else pd.DataFrame(columns=["id", "cluster", "other", "n", "d", "d2", "low", "high"])
+                out.append(pd.DataFrame({**{k: a[k] for k in keys}, "id": a["id"], "cluster": a["cluster"], "other": other, "n": known.sum(1), "d": zero.sum(1), "d2": (zero * zero).sum(1), "low": low, "high": high}))
+        made = pd.concat(out) if out else pd.DataFrame(columns=[*keys, "id", "cluster", "other", "n", "d", "d2", "low", "high"])
         return made[made["n"] > 0]
 
-    schema = f"id {kinds['id']}, cluster {kinds['cluster']}, other {kinds['cluster']}, n bigint, d double, d2 double, low double, high double"
-    parts = rows.groupBy("row", "col").cogroup(cols.groupBy("row2", "col2")).applyInPandas(run, schema)
-    return parts.groupBy("id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"id {kinds['id']}, cluster {kinds['cluster']}, other {kinds['cluster']}, n bigint, d double, d2 double, low double, high double"
+    parts = rows.groupBy(*keys, "row", "col").cogroup(cols.groupBy(*[f"{k}2" for k in keys], "row2", "col2")).applyInPandas(run, schema)
+    return parts.groupBy(*keys, "id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -202,17 +203,17 @@ def pair_indices(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return row.select(*keys, dunn.alias("Dunn"), F.try_divide(covariance, spread).alias("Point_biserial"), F.try_divide(F.col("within"), F.col("db") / F.col("nb")).alias("WB"))
 
 
-def distance_histogram(pairs: DataFrame, partition: DataFrame) -> DataFrame:
-    """(value, w, b): numbers of within- and between-cluster pairs at each distance, compared at 12
+def distance_histogram(pairs: DataFrame, partition: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, value, w, b): numbers of within- and between-cluster pairs at each distance, compared at 12
     significant digits."""
-    a, b = partition.select(F.col("id").alias("i"), F.col("cluster").alias("ci")), partition.select(F.col("id").alias("j"), F.col("cluster").alias("cj"))
+    a, b = partition.select(*keys, F.col("id").alias("i"), F.col("cluster").alias("ci")), partition.select(*keys, F.col("id").alias("j"), F.col("cluster").alias("cj"))
     value = F.format_string("%.11e", "d").cast("double")
-    both = pairs.join(a, "i").join(b, "j").select(value.alias("value"), (F.col("ci") == F.col("cj")).alias("same"))
-    return both.groupBy("value").agg(F.count_if("same").alias("w"), F.count_if(~F.col("same")).alias("b"))
+    both = pairs.join(a, [*keys, "i"]).join(b, [*keys, "j"]).select(*keys, value.alias("value"), (F.col("ci") == F.col("cj")).alias("same"))
+    return both.groupBy(*keys, "value").agg(F.count_if("same").alias("w"), F.count_if(~F.col("same")).alias("b"))
 
 
-def running_totals(histogram: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
-    """Adds, for each column, ``below_<column>``: its sum over smaller values.
+def running_totals(histogram: DataFrame, columns: list[str], buckets: int = 64, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Adds, for each column, ``below_<column>``: its sum over smaller values of the key.
 
     Two levels: values are cut into ranges at approximate quantiles; totals of ranges, one row each, are summed up
     and added to the running sums within a range. No task sees all values.
@@ -221,31 +222,33 @@ def running_totals(histogram: DataFrame, columns: list[str], buckets: int = 64)
     cuts = sorted(set(cuts))
     place = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col("value"))) if cuts else F.lit(0)
     placed = histogram.withColumn("_range", place)
-    totals = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in columns])
-    inside = Window.partitionBy("_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
-    joined = placed.join(F.broadcast(starts), "_range")
+    totals = placed.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in columns])
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in columns])
+    inside = Window.partitionBy(*keys, "_range").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(starts if keys else F.broadcast(starts), [*keys, "_range"])
     return joined.select(*histogram.columns, *[(F.coalesce(F.sum(c).over(inside), F.lit(0)) + F.col(f"_s_{c}")).alias(f"below_{c}") for c in columns])
 
 
-def rank_indices(pairs: DataFrame, partition: DataFrame) -> DataFrame:
-    """(C_index, Gamma, G_plus) from all pairs(i, j, d).
+def rank_indices(pairs: DataFrame, partition: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, C_index, Gamma, G_plus) from all pairs(keys, i, j, d).
 
     C-index: (S_w - S_min) / (S_max - S_min), S_min and S_max being sums of the m smallest and largest of all
     distances, m the number of within pairs. Gamma: (s+ - s-) / (s+ + s-) over pairs of a within and a between
     distance, ties left out. G-plus: s- / (P (P - 1) / 2).
     """
-    hist = distance_histogram(pairs, partition).withColumn("t", F.col("w") + F.col("b"))
-    run = running_totals(hist, ["t", "b"])
-    all_ = run.crossJoin(F.broadcast(hist.agg(F.sum("w").alias("m"), F.sum("t").alias("p"), F.sum("b").alias("all_b"))))
+    hist = distance_histogram(pairs, partition, keys).withColumn("t", F.col("w") + F.col("b"))
+    run = running_totals(hist, ["t", "b"], keys=keys)
+    whole = hist.groupBy(*keys).agg(F.sum("w").alias("m"), F.sum("t").alias("p"), F.sum("b").alias("all_b"))
+    all_ = run.join(whole, list(keys)) if keys else run.crossJoin(F.broadcast(whole))
     smallest = F.greatest(F.lit(0), F.least(F.col("t"), F.col("m") - F.col("below_t")))
     largest = F.greatest(F.lit(0), F.least(F.col("t"), F.col("below_t") + F.col("t") - (F.col("p") - F.col("m"))))
-    row = all_.agg(
+    row = all_.groupBy(*keys).agg(
         F.sum(F.col("w") * F.col("value")).alias("sw"), F.sum(smallest * F.col("value")).alias("lo"), F.sum(largest * F.col("value")).alias("hi"),
         F.sum(F.col("w") * F.col("below_b").cast("double")).alias("discord"), F.sum(F.col("w") * (F.col("all_b") - F.col("below_b") - F.col("b")).cast("double")).alias("concord"), F.max("p").cast("double").alias("p"),
     )
     return row.select(
+        *keys,
         F.when(F.col("hi") > F.col("lo"), (F.col("sw") - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("C_index"),
         F.try_divide(F.col("concord") - F.col("discord"), F.col("concord") + F.col("discord")).alias("Gamma"),
         F.try_divide(F.col("discord"), F.col("p") * (F.col("p") - 1) / 2).alias("G_plus"),

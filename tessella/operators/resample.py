@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import distance
 from tessella.functions.hashing import key_hash, key_uniform
 from tessella.operators import agreement, evaluate, kmeans
 from tessella.session import materialize
@@ -156,7 +157,7 @@ def uniform_box(cases: DataFrame, replicates: int, seed: int = 2026) -> DataFram
     return drawn.select("replicate", "id", F.array(*[F.lit(float(mean[i])) + sum((F.col(f"_u{j}") * float(vectors[i, j]) for j in range(size)), F.lit(0.0)) for i in range(size)]).alias("x"))
 
 
-def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 10) -> DataFrame:
+def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 100) -> DataFrame:
     """Gap statistic of k-means for k = 1..k_max, all reference sets clustered together."""
     reference = uniform_box(cases, replicates, seed)
     observed, simulated = None, None
@@ -176,7 +177,7 @@ def halves(cases: DataFrame, n: int, seed: int = 2026) -> DataFrame:
     return keyed.crossJoin(F.broadcast(cut)).select("id", F.when(F.col("_h") <= F.col("_cut") + 0.5, "A").otherwise("B").alias("half"))
 
 
-def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 15) -> DataFrame:
+def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 100) -> DataFrame:
     """K, Kappa_half_B, Kappa_half_A, Invariance: both halves are clustered, each is also classified by the other's
     centres, and the two classifications of a half are compared by matched kappa."""
     dealt = kmeans.materialize(cases.select("id", "x").join(halves(cases, cases.count(), seed), "id"))
@@ -190,24 +191,51 @@ def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rou
     return wide.select(F.lit(k).alias("K"), "Kappa_half_B", "Kappa_half_A", ((F.col("Kappa_half_B") + F.col("Kappa_half_A")) / 2).alias("Invariance"), F.lit("Completed").alias("Status"))
 
 
-def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Stability of a k-means partition: (per cluster, agreement), refitting all replicates together."""
+def replicate_silhouettes(refits: DataFrame) -> DataFrame:
+    """(replicate, Silhouette): mean silhouette of ``refits(replicate, id, cluster, x)`` under Euclidean distance.
+    A case drawn several times is as many cases; replicates with one cluster have no row."""
+    sums = materialize(evaluate.case_cluster_sums(refits, "euclidean", keys=("replicate",)))
+    return evaluate.silhouette_summary(evaluate.silhouette(sums, ("replicate",)), ("replicate",)).select("replicate", "Silhouette")
+
+
+def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 100, pair_indices: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stability of a k-means partition, all replicates refitted together: (per cluster, agreement, by replicate).
+    The last has ARI and Rand and, with ``pair_indices``, the mean silhouette of each refit."""
     index = kmeans.materialize(indexed(cases.select("id", "x")))
     n = index.count()
     drawn = bootstrap(index, n, replicates, seed).join(index.select(F.col("id").alias("_id"), "x"), F.col("id") == F.col("_id"))
     rows = kmeans.materialize(drawn.select("replicate", F.concat_ws("-", "slot", "id").alias("id"), F.col("_id").alias("case"), "x"))
-    refits = kmeans.materialize(kmeans.kmeans(rows, k, nstart, rounds, seed, keys=("replicate",)).select("replicate", F.col("case").alias("id"), "cluster"))
-    return stability(cluster_jaccard(original, refits), original, replicates), agreement_summary(replicate_agreement(original, refits), replicates)
-
-
-def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 10) -> DataFrame:
-    """Empirical p values of the variance indices of a k-means partition of ``cases(id, variables)`` against null
-    data, from ``observed(EESS, CH, DB)``."""
+    fitted = kmeans.materialize(kmeans.kmeans(rows, k, nstart, rounds, seed, keys=("replicate",)))
+    refits = fitted.select("replicate", F.col("case").alias("id"), "cluster")
+    each = kmeans.materialize(replicate_agreement(original, refits))
+    table = each.join(replicate_silhouettes(fitted), "replicate", "left") if pair_indices else each
+    return stability(cluster_jaccard(original, refits), original, replicates), agreement_summary(each, replicates), table
+
+
+def solution_indices(cases: DataFrame, keys: tuple[str, ...] = (), pair_indices: bool = False, ranks: bool = False) -> DataFrame:
+    """(keys, EESS, CH, DB) of ``cases(keys, id, cluster, x)`` under Euclidean distance; ``pair_indices`` adds Silhouette, Dunn,
+    Point_biserial and WB, and ``ranks`` C_index, Gamma and G_plus, for which all pairs of a key are written."""
+    parts = [evaluate.variance_indices(cases, keys)]
+    if pair_indices or ranks:
+        sums = materialize(evaluate.case_cluster_sums(cases, "euclidean", keys=keys))
+        parts += [evaluate.silhouette_summary(evaluate.silhouette(sums, keys), keys).drop("Negative_silhouette_pct"), evaluate.pair_indices(sums, keys)]
+    if ranks:
+        parts.append(evaluate.rank_indices(materialize(distance.pairs(cases, "euclidean", group_cols=keys)), cases, keys))
+    made = parts[0]
+    for more in parts[1:]:
+        made = made.join(more, list(keys), "left") if keys else made.crossJoin(more)
+    return made
+
+
+def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 100) -> DataFrame:
+    """Empirical p values of the indices of a k-means partition of ``cases(id, variables)`` against null data: of those
+    that ``observed``, one row of ``solution_indices``, has."""
     if null == "permutation":
         data = permuted(indexed(cases), variables, replicates, seed).withColumnRenamed("index", "id")
     else:
         data = gaussian(cases, variables, replicates, seed)
     fitted = kmeans.kmeans(kmeans.materialize(data.select("replicate", "id", F.array(*variables).alias("x"))), k, nstart, rounds, seed, keys=("replicate",))
-    indices = evaluate.variance_indices(kmeans.materialize(fitted), ("replicate",))
-    long = lambda df, *keys: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("Index"), F.col(i).alias("value")) for i in ("EESS", "CH", "DB")])).alias("r")).select(*keys, "r.*")
+    names = observed.columns
+    indices = solution_indices(kmeans.materialize(fitted), ("replicate",), "Silhouette" in names, "Gamma" in names)
+    long = lambda df, *keys: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("Index"), F.col(i).alias("value")) for i in names])).alias("r")).select(*keys, "r.*")
     return empirical_p(long(observed), long(indices, "replicate"), replicates)

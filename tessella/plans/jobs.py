@@ -172,7 +172,7 @@ def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, val
             if x in criteria:
                 row = row.crossJoin(criteria[x])
             if validation and x > 1:
-                checks[x] = {name: materialize(t) for name, t in validate(p, part, x).items()}
+                checks[x] = {name: materialize(t) for name, t in validate(p, part, x, pair_indices=pair_indices).items()}
                 row = row.crossJoin(validation_row(checks[x]))
             rows.append(row)
     if not fitted:
@@ -244,14 +244,15 @@ def multiple_imputation(df: DataFrame, config: ClusterConfig, k: int) -> tuple[D
     return members, impute.consensus(members)
 
 
-def validate(p: prepare.Prepared, partition: DataFrame, k: int, replicates: int | None = None) -> dict[str, DataFrame]:
-    """Bootstrap stability, null simulation and split-half replication of a k-means solution."""
+def validate(p: prepare.Prepared, partition: DataFrame, k: int, replicates: int | None = None, pair_indices: bool = False) -> dict[str, DataFrame]:
+    """Bootstrap stability, null simulation and split-half replication of a k-means solution; ``pair_indices`` adds those
+    that need pairs within each replicate."""
     cases, b = p.cases, replicates or p.config.B
-    stability, agreement = resample.bootstrap_kmeans(cases.select("id", "x"), partition, k, b, p.config.seed)
+    stability, agreement, each = resample.bootstrap_kmeans(cases.select("id", "x"), partition, k, b, p.config.seed, pair_indices=pair_indices)
     placed = materialize(cases.select("id", "x").join(partition, "id"))
     z = cases.select("id", *[F.col("x")[i].alias(v) for i, v in enumerate(p.variables)])
-    simulated = resample.simulate_kmeans(z, p.variables, evaluate.variance_indices(placed), k, b, p.config.seed, p.config.null)
-    return {"Bootstrap": stability, "Bootstrap_agreement": agreement, "Simulation": simulated, "Replication": resample.split_half(cases, k, p.config.seed)}
+    simulated = resample.simulate_kmeans(z, p.variables, materialize(resample.solution_indices(placed, (), pair_indices)), k, b, p.config.seed, p.config.null)
+    return {"Bootstrap": stability, "Bootstrap_agreement": agreement, "Bootstrap_replicates": each, "Simulation": simulated, "Replication": resample.split_half(cases, k, p.config.seed)}
 
 
 def validation_row(tables: dict[str, DataFrame]) -> DataFrame:

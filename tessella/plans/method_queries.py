@@ -44,7 +44,7 @@ _in_rounds("c12", "flexible")
 def _by_representatives(code: str, method: str) -> None:
     @query(f"{code}_{method}")
     def _(spark, d):
-        return linkage.hierarchical(_cases(spark, d), method, [2, 3, 4], 200)
+        return linkage.hierarchical(_cases(spark, d), method, [2, 3, 4], linkage.MAX_REPRESENTATIVES)
 
 
 _by_representatives("c11", "centroid")
@@ -68,26 +68,38 @@ def _(spark, d):
 @query("c15_pam")
 def _(spark, d):
     v = materialize(fx.vectors(spark, d))
-    return medoids.pam(dist.pairs(v, "manhattan"), v.select("id"), 5, max_swaps=5)[0]
+    return medoids.pam(dist.pairs(v, "manhattan"), v.select("id"), 5)[0]
 
 
 @query("c16_fuzzy", digits=5)
 def _(spark, d):
     v = materialize(fx.vectors(spark, d))
-    return fuzzy.fuzzy(dist.pairs(v, "euclidean"), v.select("id"), 3, rounds=5)[0]
+    return fuzzy.fuzzy(dist.pairs(v, "euclidean"), v.select("id"), 3)[0]
 
 
 @query("c17_gaussian_mixture", digits=5)
 def _(spark, d):
-    return mixture.gmm(_cases(spark, d), 3, "VVI", rounds=8)[0].select("id", "cluster", F.array_max("prob").alias("posterior"))
+    return mixture.gmm(_cases(spark, d), 3, "VVI")[0].select("id", "cluster", F.array_max("prob").alias("posterior"))
 
 
 @query("c18_c19_ward_relocation")
 def _(spark, d):
-    made = jobs.prepare.prepare(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="ward_relocate", representatives=200, max_iter=5))
+    made = jobs.prepare.prepare(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="ward_relocate", representatives=linkage.MAX_REPRESENTATIVES))
     return jobs.fit(made, [3])
 
 
+def _hybrid(method: str) -> None:
+    @query(f"c19_{method}")
+    def _(spark, d):
+        config = ClusterConfig(tuple(C), "id", method=method, hybrid_start="average", representatives=linkage.MAX_REPRESENTATIVES)
+        return jobs.fit(jobs.prepare.prepare(fx.customers(spark, d), config), [3])
+
+
+_hybrid("hybrid_kmeans")
+_hybrid("hybrid_relocate")
+_hybrid("hybrid_pam")
+
+
 @query("x9_scaling")
 def _(spark, d):
     v = materialize(fx.vectors(spark, d))
@@ -101,5 +113,5 @@ def _(spark, d):
 
 @query("full_analysis")
 def _(spark, d):
-    config = ClusterConfig(tuple(C), "id", method="kmeans", k_min=2, k_max=3, nstart=3, max_iter=5)
+    config = ClusterConfig(tuple(C), "id", method="kmeans", k_max=3, nstart=3)
     return jobs.analyse(fx.customers(spark, d), config, pair_indices=False).comparison

@@ -130,7 +130,7 @@ def _(spark, d):
 
 @query("r12_gap_kmeans")
 def _(spark, d):
-    return resample.gap(materialize(standardised(spark, d).select("id", "x")), 3, 3, nstart=2, rounds=4)
+    return resample.gap(materialize(standardised(spark, d).select("id", "x")), 3, 20)
 
 
 @query("r13_halves", f"""WITH {T}, o AS (SELECT id, row_number() OVER (ORDER BY {_h("'2026'", "'half'", 'id')}) AS r, count(*) OVER () AS n FROM t) SELECT id, CASE WHEN r <= n // 2 THEN 'A' ELSE 'B' END AS half FROM o""")
@@ -141,32 +141,41 @@ def _(spark, d):
 
 @query("r14_split_half")
 def _(spark, d):
-    return resample.split_half(standardised(spark, d), 3, nstart=3, rounds=6)
+    return resample.split_half(standardised(spark, d), 3)
+
+
+def _three(spark, d):
+    cases = materialize(standardised(spark, d).select("id", "x", *C))
+    return cases, materialize(kmeans.kmeans(cases.select("id", "x"), 3, 20, 100))
 
 
 @query("r3_bootstrap_kmeans")
 def _(spark, d):
-    cases = materialize(standardised(spark, d).select("id", "x"))
-    original = materialize(kmeans.kmeans(cases, 3, 3, 5).select("id", "cluster"))
-    return resample.bootstrap_kmeans(cases, original, 3, 4, nstart=2, rounds=4)[0]
+    cases, made = _three(spark, d)
+    return resample.bootstrap_kmeans(cases, made.select("id", "cluster"), 3, 50)[0]
+
+
+@query("r6_replicate_silhouettes", digits=8)
+def _(spark, d):
+    cases, made = _three(spark, d)
+    return resample.bootstrap_kmeans(cases, made.select("id", "cluster"), 3, 20, pair_indices=True)[2]
 
 
 @query("r10_null_simulation")
 def _(spark, d):
-    cases = materialize(standardised(spark, d))
-    observed = evaluate.variance_indices(materialize(kmeans.kmeans(cases.select("id", "x"), 3, 3, 5)))
-    return resample.simulate_kmeans(cases, C, observed, 3, 4, nstart=2, rounds=4)
+    cases, made = _three(spark, d)
+    return resample.simulate_kmeans(cases.drop("x"), C, materialize(resample.solution_indices(made, pair_indices=True)), 3, 20)
 
 
 @query("c2_c3_kmeans_search")
 def _(spark, d):
-    return kmeans.kmeans(materialize(standardised(spark, d).select("id", "x")), 4, nstart=8, rounds=8, plus_plus=4).select("id", "cluster", "d2")
+    return kmeans.kmeans(materialize(standardised(spark, d).select("id", "x")), 4, nstart=20, rounds=100, plus_plus=20).select("id", "cluster", "d2")
 
 
 @query("c6_relocation")
 def _(spark, d):
     start = z_partition(spark, d, 3).select("id", "x", "cluster")
-    return kmeans.relocate(start, max_iter=6)[0].select("id", "cluster")
+    return kmeans.relocate(start)[0].select("id", "cluster")
 
 
 #: A merge table with heights, derived from the parts: a chain of merges in order of price.

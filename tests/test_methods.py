@@ -297,3 +297,47 @@ def test_indexed_counts_wide_rows_once(spark):
     assert made.agg(F.count_distinct("index"), F.min("index"), F.max("index")).first()[:] == (400_000, 0, 399_999)
     before = made.alias("a").join(made.alias("b"), F.col("a.index") + 1 == F.col("b.index"))
     assert before.where("a.key >= b.key").isEmpty()
+
+
+def _in_two_keys(spark, example):
+    x = F.array(*VARIABLES).alias("x")
+    whole = example.select(F.lit(1).alias("replicate"), F.col("n").alias("id"), F.col("g").alias("cluster"), x)
+    return whole.unionByName(whole.where("id % 3 <> 0").withColumn("replicate", F.lit(2)).withColumn("cluster", F.col("id").cast("int") % 2)).cache()
+
+
+def test_indices_of_each_key_are_those_of_its_own_cases(spark, example):
+    cases = _in_two_keys(spark, example)
+    keyed = {r["replicate"]: r.asDict() for r in resample.solution_indices(cases, ("replicate",), True, True).collect()}
+    for key in (1, 2):
+        own = resample.solution_indices(cases.where(F.col("replicate") == key).drop("replicate"), (), True, True).first().asDict()
+        assert set(own) >= {"EESS", "CH", "DB", "Silhouette", "Dunn", "Point_biserial", "WB", "C_index", "Gamma", "G_plus"}
+        assert all(keyed[key][name] == pytest.approx(value) for name, value in own.items())
+
+
+def test_silhouettes_of_replicates_by_definition(spark, example):
+    cases = _in_two_keys(spark, example)
+    made = {r["replicate"]: r["Silhouette"] for r in resample.replicate_silhouettes(cases).collect()}
+    for key in (1, 2):
+        rows = cases.where(F.col("replicate") == key).collect()
+        x, label = np.array([r["x"] for r in rows]), np.array([r["cluster"] for r in rows])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        widths = []
+        for i in range(len(x)):
+            mean = {c: d[i, (label == c) & (np.arange(len(x)) != i)].mean() for c in set(label.tolist())}
+            a, b = mean.pop(int(label[i])), min(mean.values())
+            widths.append((b - a) / max(a, b))
+        assert made[key] == pytest.approx(np.mean(widths))
+
+
+def test_passes_and_joins_give_the_same_centres(spark, example, monkeypatch):
+    """Groups with different numbers of starts, a start with fewer clusters, a cluster that gets no case, equal centres."""
+    cases = _in_two_keys(spark, example)
+    far, near = [99.0, 99.0, 99.0], [1.0, 4.0, 4.0]
+    rows = [(1, 1, 1, near), (1, 1, 2, [4.0, 1.0, 2.0]), (1, 1, 3, far), (1, 2, 1, near), (1, 2, 2, near), (2, 1, 1, [0.0, 0.0, 0.0]), (2, 1, 2, [3.0, 4.0, 3.0])]
+    seeds = spark.createDataFrame(rows, "replicate int, start int, cluster int, center array<double>")
+    of = lambda: sorted((r["replicate"], r["start"], r["cluster"], *r["center"]) for r in kmeans.lloyd(cases, seeds, 40, ("replicate",), True).collect())
+    passes = of()
+    monkeypatch.setattr(kmeans, "BROADCAST_NUMBERS", -1)
+    joins = of()
+    assert len(passes) == len(rows) and np.allclose(passes, joins)
+    assert any(row[3:] == (99.0, 99.0, 99.0) for row in passes)
