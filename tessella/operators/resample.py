@@ -157,7 +157,7 @@ def uniform_box(cases: DataFrame, replicates: int, seed: int = 2026) -> DataFram
     return drawn.select("replicate", "id", F.array(*[F.lit(float(mean[i])) + sum((F.col(f"_u{j}") * float(vectors[i, j]) for j in range(size)), F.lit(0.0)) for i in range(size)]).alias("x"))
 
 
-def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 100) -> DataFrame:
+def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 30) -> DataFrame:
     """Gap statistic of k-means for k = 1..k_max, all reference sets clustered together."""
     reference = uniform_box(cases, replicates, seed)
     observed, simulated = None, None
@@ -177,7 +177,7 @@ def halves(cases: DataFrame, n: int, seed: int = 2026) -> DataFrame:
     return keyed.crossJoin(F.broadcast(cut)).select("id", F.when(F.col("_h") <= F.col("_cut") + 0.5, "A").otherwise("B").alias("half"))
 
 
-def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 100) -> DataFrame:
+def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 30) -> DataFrame:
     """K, Kappa_half_B, Kappa_half_A, Invariance: both halves are clustered, each is also classified by the other's
     centres, and the two classifications of a half are compared by matched kappa."""
     dealt = kmeans.materialize(cases.select("id", "x").join(halves(cases, cases.count(), seed), "id"))
@@ -198,7 +198,7 @@ def replicate_silhouettes(refits: DataFrame) -> DataFrame:
     return evaluate.silhouette_summary(evaluate.silhouette(sums, ("replicate",)), ("replicate",)).select("replicate", "Silhouette")
 
 
-def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 100, pair_indices: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 30, pair_indices: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stability of a k-means partition, all replicates refitted together: (per cluster, agreement, by replicate).
     The last has ARI and Rand and, with ``pair_indices``, the mean silhouette of each refit."""
     index = kmeans.materialize(indexed(cases.select("id", "x")))
@@ -227,7 +227,7 @@ def solution_indices(cases: DataFrame, keys: tuple[str, ...] = (), pair_indices:
     return made
 
 
-def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 100) -> DataFrame:
+def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 30) -> DataFrame:
     """Empirical p values of the indices of a k-means partition of ``cases(id, variables)`` against null data: of those
     that ``observed``, one row of ``solution_indices``, has."""
     if null == "permutation":
