@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from tessella.llm import bpe, chat_format, exact_dedup, hamming_topk, language_id, mixing, pii, simhash, substring_dedup, token_coder
+from tessella.llm import bpe, chat_format, exact_dedup, hamming_topk, language_id, mixing, pii, prefix_trie, simhash, substring_dedup, token_coder, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -20,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_pii": pii.op9_pii,
     "op10_token_ids": token_coder.op10_token_ids,
+    "op11_warc": warc.op11_warc,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_whitening": whitening.op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
@@ -27,4 +30,6 @@ ORACLES: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_chat_format": chat_format.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_warc": warc.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
