@@ -35,11 +35,12 @@ class ClusterConfig:
     max_iter: int = 100
     beta: float = -0.25
     hybrid_start: str = "ward.D2"
+    hybrid_algorithm: str = "Hartigan-Wong"
     mi_m: int = 5
     mi_iter: int = 5
     covariance: str = "BIC"
     gap_B: int = 100
-    representatives: int = 1000
+    representatives: int = 2000
 
     def __post_init__(self) -> None:
         def one_of(name: str, allowed: tuple[str, ...]) -> None:
@@ -58,6 +59,7 @@ class ClusterConfig:
         one_of("method", METHODS)
         one_of("null", ("permutation", "gaussian"))
         one_of("hybrid_start", HIERARCHICAL)
+        one_of("hybrid_algorithm", ("Hartigan-Wong", "Lloyd", "MacQueen"))
         one_of("covariance", COVARIANCES)
         for name, low, high in (("k_min", 1, 30), ("k_max", 1, 30), ("B", 1, 10_000), ("max_missing", 0, 1), ("nstart", 1, 1000), ("max_iter", 1, 10_000), ("beta", -1, 0.999), ("mi_m", 2, 50), ("mi_iter", 1, 50), ("gap_B", 1, 1000), ("representatives", 10, 2000)):
             within(name, low, high)
@@ -78,7 +80,7 @@ class ClusterConfig:
             raise ValueError(f"variable weights cannot be combined with {self.distance} distance")
         if self.missing == "available" and self.distance != "gower":
             raise ValueError("available coordinates need Gower distance")
-        if self.method == "hybrid_kmeans" and self.hybrid_start in ("ward.D2", "ward.D", "centroid", "median") and self.distance != "euclidean":
+        if self.method.startswith("hybrid") and self.hybrid_start in ("ward.D2", "ward.D", "centroid", "median") and self.distance != "euclidean":
             raise ValueError("this start needs Euclidean distance")
 
     def weight(self) -> tuple[float, ...]:

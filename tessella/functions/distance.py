@@ -121,6 +121,23 @@ def whiten(df: DataFrame, variables: list[str], out: str = "x") -> DataFrame:
     return df.withColumn(out, F.array(*parts))
 
 
+def whiten_keys(df: DataFrame, variables: list[str], keys: tuple[str, ...], out: str = "x") -> DataFrame:
+    """``whiten`` of each key by its own covariance; keys with a singular one are left out. The driver has the p x p
+    numbers of every key."""
+    p = len(variables)
+    aggs = [F.covar_samp(a, b).alias(f"c{i}_{j}") for i, a in enumerate(variables) for j, b in enumerate(variables) if i <= j]
+    roots = []
+    for row in df.groupBy(*keys).agg(*aggs).collect():
+        values, vectors = np.linalg.eigh(np.array([[row[f"c{min(i, j)}_{max(i, j)}"] for j in range(p)] for i in range(p)], float))
+        if values.min() >= 1e-10:
+            roots.append((*[row[k] for k in keys], [[float(v) for v in column] for column in (vectors / np.sqrt(values)).T]))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
+    sent = df.sparkSession.createDataFrame(roots, f"{kinds}, _root array<array<double>>")
+    values = F.array(*variables)
+    scored = F.transform("_root", lambda column: total(F.zip_with(values, column, lambda a, b: a * b)))
+    return df.join(F.broadcast(sent), list(keys)).withColumn(out, scored).drop("_root")
+
+
 def check_domain(df: DataFrame, variables: list[str], name: str) -> None:
     """ValueError if the values do not suit the distance."""
     cols = [F.col(v).cast("double") for v in variables]

@@ -15,9 +15,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.distance import distance
+from tessella.functions import matrices
 from tessella.functions.vectors import squared_distance
 from tessella.operators.kmeans import centroids, dimensions
+from tessella.session import materialize
 
 
 def clusters(partition: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -75,40 +76,31 @@ def cluster_spread(cases: DataFrame, total_weight: float) -> DataFrame:
     return ss.select("cluster", (F.col("ss") / (F.col("n") * total_weight)).alias("Centroid_MSE"), F.try_divide(2 * F.col("ss"), (F.col("n") - 1) * total_weight).alias("Mean_pairwise_ASED"))
 
 
-def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, blocks: int = 8, keys: tuple[str, ...] = ()) -> DataFrame:
+def _blocks(cases: DataFrame, keys: tuple[str, ...], least: int = 1) -> int:
+    """Blocks of about BLOCK_CASES cases of a key: their number follows the largest key."""
+    most = cases.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return max(least, math.ceil(most / BLOCK_CASES))
+
+
+def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, blocks: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, id, cluster, other, n, d, d2, low, high): for each case of ``cases(keys, id, cluster, x)`` and each
     cluster ``other``, number, sum, sum of squares, minimum and maximum of distances to its other cases.
 
-    Columns: a block of cases is replicated to every block it meets, at most ``blocks`` times.
+    A task takes two blocks of cases and gives, for each case of the first and each cluster of the second, the five
+    sums: no pair leaves it. There are at least ``blocks`` blocks. Pairs without a common variable (Gower) are left out, see ``with_unknown``.
     """
-    if name in KERNELS:
-        return _block_sums(cases, name, blocks, keys)
-    keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = keyed.select(*keys, F.col("id").alias("i"), F.col("cluster").alias("ci"), F.col("x").alias("xi"), F.col("b").alias("row"), every.alias("col"))
-    b = keyed.select(*keys, F.col("id").alias("j"), F.col("cluster").alias("cj"), F.col("x").alias("xj"), F.col("b").alias("col"), every.alias("row"))
-    met = a.join(b, [*keys, "row", "col"]).where("i <> j").select(*keys, "i", "ci", "cj", distance(name, F.col("xi"), F.col("xj"), weights, ranges).alias("d"))
-    return met.groupBy(*keys, F.col("i").alias("id"), F.col("ci").alias("cluster"), F.col("cj").alias("other")).agg(
-        F.count("d").alias("n"), F.sum("d").alias("d"), F.sum(F.col("d") * F.col("d")).alias("d2"), F.min("d").alias("low"), F.max("d").alias("high")
-    )
-
-
-def _block_sums(cases: DataFrame, name: str, blocks: int, keys: tuple[str, ...] = ()) -> DataFrame:
-    """``case_cluster_sums`` by matrix arithmetic: a task takes two blocks of cases and gives, for each case of the
-    first and each cluster of the second, the five sums. A block holds about BLOCK_CASES cases of a key."""
-    most = cases.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1 if keys else blocks, math.ceil(most / BLOCK_CASES))
+    blocks = _blocks(cases, keys, 1 if keys else blocks)
     keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = keyed.select(*keys, "id", "cluster", "x", F.col("b").alias("row"), every.alias("col"))
     cols = keyed.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2"))
     kinds = dict(cases.dtypes)
-    measure = KERNELS[name]
+    least = -1 if name == "gower" else 0
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(a) and len(b):
-            d = measure(np.array(a["x"].tolist(), float), np.array(b["y"].tolist(), float))
+            d = matrices.matrix(name, matrices.points(a["x"]), matrices.points(b["y"]), weights, ranges)
             d[a["id"].to_numpy()[:, None] == b["id2"].to_numpy()[None]] = np.nan  # a case and itself
             for other, at in b.groupby("other").indices.items():
                 part = d[:, at]
@@ -117,34 +109,25 @@ def _block_sums(cases: DataFrame, name: str, blocks: int, keys: tuple[str, ...]
                 low, high = np.where(known, part, np.inf).min(1), np.where(known, part, -np.inf).max(1)
                 out.append(pd.DataFrame({**{k: a[k] for k in keys}, "id": a["id"], "cluster": a["cluster"], "other": other, "n": known.sum(1), "d": zero.sum(1), "d2": (zero * zero).sum(1), "low": low, "high": high}))
         made = pd.concat(out) if out else pd.DataFrame(columns=[*keys, "id", "cluster", "other", "n", "d", "d2", "low", "high"])
-        return made[made["n"] > 0]
+        return made[made["n"] > least]
 
     schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + f"id {kinds['id']}, cluster {kinds['cluster']}, other {kinds['cluster']}, n bigint, d double, d2 double, low double, high double"
     parts = rows.groupBy(*keys, "row", "col").cogroup(cols.groupBy(*[f"{k}2" for k in keys], "row2", "col2")).applyInPandas(run, schema)
-    return parts.groupBy(*keys, "id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"), F.min("low").alias("low"), F.max("high").alias("high"))
-
-
-def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(_squares(a, b))
-
-
-def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum((a[:, j, None] - b[None, :, j]) ** 2 for j in range(a.shape[1]))
+    sums = parts.groupBy(*keys, "id", "cluster", "other").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return sums.where(f"n > {least}")
 
 
-def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum(np.abs(a[:, j, None] - b[None, :, j]) for j in range(a.shape[1]))
+def with_unknown(sums: DataFrame, cases: DataFrame) -> DataFrame:
+    """``case_cluster_sums`` in which pairs without a common variable have the largest distance of all, 1 at least:
+    their numbers follow from the sizes of the clusters."""
+    most = sums.agg(F.greatest(F.lit(1.0), F.max("high")).alias("_most"))
+    sizes = cases.groupBy(F.col("cluster").alias("other")).agg(F.count(F.lit(1)).alias("_size"))
+    met = sums.join(F.broadcast(sizes), "other").crossJoin(F.broadcast(most))
+    gone = F.col("_size") - F.when(F.col("cluster") == F.col("other"), 1).otherwise(0) - F.col("n")
+    some = lambda f, c: F.when(gone > 0, f(F.col(c), F.col("_most"))).otherwise(F.col(c)).alias(c)
+    return met.select("id", "cluster", "other", (F.col("n") + gone).alias("n"), (F.col("d") + gone * F.col("_most")).alias("d"), (F.col("d2") + gone * F.pow("_most", F.lit(2.0))).alias("d2"), some(F.least, "low"), some(F.greatest, "high"))
 
 
-def _maximum(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.abs(a[:, 0, None] - b[None, :, 0])
-    for j in range(1, a.shape[1]):
-        out = np.maximum(out, np.abs(a[:, j, None] - b[None, :, j]))
-    return out
-
-
-#: Distances with a matrix form; the others go through the expression of ``functions.distance``.
-KERNELS = {"euclidean": _euclidean, "minkowski": _euclidean, "sqeuclidean": _squares, "manhattan": _manhattan, "maximum": _maximum}
 #: Cases of a block: a task holds a few matrices of this size squared.
 BLOCK_CASES = 1000
 
@@ -203,6 +186,34 @@ def pair_indices(sums: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return row.select(*keys, dunn.alias("Dunn"), F.try_divide(covariance, spread).alias("Point_biserial"), F.try_divide(F.col("within"), F.col("db") / F.col("nb")).alias("WB"))
 
 
+def distance_counts(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, keys: tuple[str, ...] = (), unknown: float | None = None) -> DataFrame:
+    """``distance_histogram`` of ``cases(keys, id, cluster, x)`` without their pairs: a task takes two blocks of cases and
+    gives each distance with its numbers of pairs. Pairs without a common variable count at ``unknown``, or not at all."""
+    blocks = _blocks(cases, keys)
+    keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = keyed.select(*keys, "id", "cluster", "x", F.col("b").alias("row"), every.alias("col")).where("row <= col")
+    cols = keyed.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2")).where("row2 <= col2")
+    kinds = dict(cases.dtypes)
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=[*keys, "value", "w", "b"])
+        d = matrices.matrix(name, matrices.points(a["x"]), matrices.points(b["y"]), weights, ranges)
+        d = d if unknown is None else np.where(np.isnan(d), unknown, d)
+        same = a["cluster"].to_numpy()[:, None] == b["other"].to_numpy()[None]
+        once = ~np.isnan(d)
+        if a["row"].iloc[0] == a["col"].iloc[0]:  # a block with itself: every pair once
+            once &= a["id"].to_numpy()[:, None] < b["id2"].to_numpy()[None]
+        value, at = np.unique(d[once], return_inverse=True)
+        w = np.bincount(at, same[once], len(value)).astype(np.int64)
+        return pd.DataFrame({**{k: a[k].iloc[0] for k in keys}, "value": value, "w": w, "b": np.bincount(at, minlength=len(value)) - w})
+
+    schema = "".join(f"`{k}` {kinds[k]}, " for k in keys) + "value double, w bigint, b bigint"
+    parts = rows.groupBy(*keys, "row", "col").cogroup(cols.groupBy(*[f"{k}2" for k in keys], "row2", "col2")).applyInPandas(run, schema)
+    return parts.groupBy(*keys, F.format_string("%.11e", "value").cast("double").alias("value")).agg(F.sum("w").alias("w"), F.sum("b").alias("b"))
+
+
 def distance_histogram(pairs: DataFrame, partition: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, value, w, b): numbers of within- and between-cluster pairs at each distance, compared at 12
     significant digits."""
@@ -231,13 +242,18 @@ def running_totals(histogram: DataFrame, columns: list[str], buckets: int = 64,
 
 
 def rank_indices(pairs: DataFrame, partition: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, C_index, Gamma, G_plus) from all pairs(keys, i, j, d).
+    """``indices_of_histogram`` from all pairs(keys, i, j, d)."""
+    return indices_of_histogram(distance_histogram(pairs, partition, keys), keys)
+
+
+def indices_of_histogram(histogram: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, C_index, Gamma, G_plus) from ``histogram(keys, value, w, b)``.
 
     C-index: (S_w - S_min) / (S_max - S_min), S_min and S_max being sums of the m smallest and largest of all
     distances, m the number of within pairs. Gamma: (s+ - s-) / (s+ + s-) over pairs of a within and a between
     distance, ties left out. G-plus: s- / (P (P - 1) / 2).
     """
-    hist = distance_histogram(pairs, partition, keys).withColumn("t", F.col("w") + F.col("b"))
+    hist = materialize(histogram).withColumn("t", F.col("w") + F.col("b"))
     run = running_totals(hist, ["t", "b"], keys=keys)
     whole = hist.groupBy(*keys).agg(F.sum("w").alias("m"), F.sum("t").alias("p"), F.sum("b").alias("all_b"))
     all_ = run.join(whole, list(keys)) if keys else run.crossJoin(F.broadcast(whole))

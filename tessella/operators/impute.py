@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_uniform
 from tessella.operators.profile import missing_count
-from tessella.session import materialize
+from tessella.session import indexed, materialize
 
 
 def fillable(variables: list[str], max_missing: float) -> Column:
@@ -112,16 +112,36 @@ def multiple_impute(df: DataFrame, variables: list[str], m: int = 5, sweeps: int
     return state.select("imputation", "id", *variables)
 
 
+def consensus_classes(memberships: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classes, members, pairs) of ``memberships(imputation, id, cluster)``.
+
+    Cases with the same clusters in the same imputations are one class: classes(class, Cases, First), named by their rank in order
+    of the signature, members(id, class). Their consensus is that of their classes: pairs(a, b, Consensus, Imputations), a <= b, of classes
+    that ever share a cluster. So the table grows with the classes, not with the pairs of cases.
+    """
+    signature = F.array_sort(F.collect_list(F.struct("imputation", "cluster")))
+    signed = materialize(memberships.groupBy("id").agg(signature.alias("s")))
+    kinds = materialize(signed.groupBy("s").agg(F.count(F.lit(1)).alias("Cases"), F.min("id").alias("First")))
+    named = materialize(indexed(kinds, "First").select((F.col("index") + 1).alias("class"), "s", "Cases", "First"))
+    members = signed.join(named.select("s", "class"), "s").select("id", "class")
+    one = named.select("class", F.explode("s").alias("m")).select("class", "m.imputation", "m.cluster")
+    a, b = one.withColumnRenamed("class", "a"), one.withColumnRenamed("class", "b")
+    together = a.join(b, ["imputation", "cluster"]).where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("t"))
+    held = named.select("class", F.transform("s", lambda m: m["imputation"]).alias("in"))
+    both = together.join(held.select(F.col("class").alias("a"), F.col("in").alias("in_a")), "a").join(held.select(F.col("class").alias("b"), F.col("in").alias("in_b")), "b")
+    n = F.size(F.array_intersect("in_a", "in_b"))
+    return named.select("class", "Cases", "First"), members, both.select("a", "b", (F.col("t") / n).alias("Consensus"), n.cast("bigint").alias("Imputations"))
+
+
 def consensus(memberships: DataFrame) -> DataFrame:
     """i, j, Consensus, Imputations for pairs of cases that ever share a cluster in ``memberships(imputation, id,
-    cluster)``: the share of imputations holding both in which they are together."""
-    a = memberships.select("imputation", "cluster", F.col("id").alias("i"))
-    b = memberships.select("imputation", "cluster", F.col("id").alias("j"))
-    together = a.join(b, ["imputation", "cluster"]).where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).alias("t"))
-    held = memberships.groupBy("id").agg(F.collect_set("imputation").alias("in"))
-    both = together.join(held.select(F.col("id").alias("i"), F.col("in").alias("in_i")), "i").join(held.select(F.col("id").alias("j"), F.col("in").alias("in_j")), "j")
-    n = F.size(F.array_intersect("in_i", "in_j"))
-    return both.select("i", "j", (F.col("t") / n).alias("Consensus"), n.cast("bigint").alias("Imputations"))
+    cluster)``: the share of imputations holding both in which they are together. Expanded from the classes; for many cases
+    read those."""
+    _, members, pairs = consensus_classes(memberships)
+    members = materialize(members)
+    turned = pairs.unionByName(pairs.where("a < b").select(F.col("b").alias("a"), F.col("a").alias("b"), "Consensus", "Imputations"))
+    left, right = members.select(F.col("id").alias("i"), F.col("class").alias("a")), members.select(F.col("id").alias("j"), F.col("class").alias("b"))
+    return left.join(turned, "a").join(right, "b").where("i < j").select("i", "j", "Consensus", "Imputations")
 
 
 def imputed_cells(original: DataFrame, completed: DataFrame, variables: list[str]) -> DataFrame:

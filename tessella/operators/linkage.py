@@ -24,6 +24,7 @@ from tessella.operators import kmeans
 from tessella.session import materialize
 
 REDUCIBLE = ("complete", "average", "mcquitty", "ward.D", "ward.D2", "flexible")
+TREES = (*REDUCIBLE, "single", "centroid", "median", "diana")
 SQUARED = ("ward.D2", "centroid", "median")
 MAX_REPRESENTATIVES = 2000
 #: Groups left at which the rounds stop and one small task does the rest.
@@ -172,13 +173,26 @@ def initial_distances(x: np.ndarray, weights: np.ndarray, method: str) -> np.nda
 
 
 def lance_williams(d: np.ndarray, weights: np.ndarray, method: str, beta: float = -0.25) -> list[tuple[int, int, float]]:
-    """(a, b, height) merges of a few hundred or thousand groups from their distances (squared for the methods in
-    SQUARED), a keeping its place."""
-    d, n, live = d.astype(float).copy(), weights.astype(float).copy(), np.ones(len(d), bool)
+    """(a, b, height) merges of up to a few thousand groups from their distances (squared for the methods in
+    SQUARED), a keeping its place. Always the closest two groups are merged, of equal ones the first.
+
+    Each row keeps its closest later group, so a step costs a few rows, not the whole matrix.
+    """
+    d, n = d.astype(float).copy(), weights.astype(float).copy()
+    size, out = len(d), []
     np.fill_diagonal(d, np.inf)
-    out = []
-    for _ in range(len(d) - 1):
-        a, b = sorted(np.unravel_index(np.argmin(d), d.shape))
+    near, best = np.zeros(size, np.int64), np.full(size, np.inf)
+
+    def look(i: int) -> None:
+        if i + 1 < size:
+            near[i] = i + 1 + int(np.argmin(d[i, i + 1 :]))
+            best[i] = d[i, near[i]]
+
+    for i in range(size):
+        look(i)
+    for _ in range(size - 1):
+        a = int(np.argmin(best))
+        b = int(near[a])
         ab, na, nb, ac, bc = d[a, b], n[a], n[b], d[a], d[b]
         if method == "single":
             new = np.minimum(ac, bc)
@@ -196,37 +210,76 @@ def lance_williams(d: np.ndarray, weights: np.ndarray, method: str, beta: float
             new = (ac + bc) / 2 - ab / 4
         else:
             new = (1 - beta) / 2 * (ac + bc) + beta * ab
-        out.append((int(a), int(b), float(np.sqrt(ab) if method == "ward.D2" else ab)))
-        live[b], n[a] = False, na + nb
+        out.append((a, b, float(np.sqrt(ab) if method == "ward.D2" else ab)))
+        new = np.where(np.isinf(ac) | np.isinf(bc), np.inf, new)  # groups that are gone, a and b themselves
+        n[a] = na + nb
         d[a], d[:, a] = new, new
         d[b], d[:, b] = np.inf, np.inf
-        d[a, ~live], d[~live, a], d[a, a] = np.inf, np.inf, np.inf
+        best[b] = np.inf
+        closer = (new[:a] < best[:a]) | ((new[:a] == best[:a]) & (a < near[:a]))
+        again = np.flatnonzero(((near[:b] == a) | (near[:b] == b)) & np.isfinite(best[:b]))
+        near[:a][closer] = a
+        best[:a][closer] = new[:a][closer]
+        for i in again:
+            look(int(i))
+        look(a)
     return out
 
 
-def diana(x: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0..k-1 of weighted points: k - 1 times the widest group is split by a splinter group, which takes a
-    member as long as one is nearer to it, on average, than to the rest."""
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x @ x.T, 0))
-    label = np.zeros(len(x), int)
-    for new in range(1, k):
-        width = [d[np.ix_(m, m)].max() if len(m := np.flatnonzero(label == c)) > 1 else -1.0 for c in range(new)]
-        group = np.flatnonzero(label == int(np.argmax(width)))
-        splinter = np.zeros(len(group), bool)
-        sub, w = d[np.ix_(group, group)], weights[group]
-        while splinter.sum() < len(group) - 1:
-            rest = ~splinter
-            own = (sub[:, rest] * w[rest]).sum(1) / np.maximum(w[rest].sum() - np.where(rest, w, 0), 1e-12)
-            away = (sub[:, splinter] * w[splinter]).sum(1) / w[splinter].sum() if splinter.any() else np.zeros(len(group))
-            gain = np.where(rest, own - away, -np.inf)
-            best = int(np.argmax(gain))
-            if gain[best] <= 0:
-                break
-            splinter[best] = True
-        label[group[splinter]] = new
+def cut_merges(size: int, merges: list[tuple[int, int, float]], k: int) -> np.ndarray:
+    """Labels of ``size`` groups after all merges but the last k - 1: the place of each label's first group."""
+    label = np.arange(size)
+    for a, b, _ in merges[: max(0, size - k)]:
+        label[label == label[b]] = label[a]
     return label
 
 
+def diana(d: np.ndarray, weights: np.ndarray, ks: list[int]) -> dict[int, np.ndarray]:
+    """Labels of weighted groups for each k, from their distances: the widest group is split by a splinter group, which
+    takes a member as long as one is nearer to it, on average, than to the rest. The sums of distances to the rest and
+    to the splinter group follow each move by one column."""
+    label, out = np.zeros(len(d), int), {}
+    width = {0: float(d.max(initial=0.0))}
+    for k in range(1, max(ks) + 1):
+        if k > 1:
+            group = np.flatnonzero(label == max(width, key=lambda c: (width[c], -c)))
+            sub, w = d[np.ix_(group, group)], weights[group]
+            inside, rest, away, mass = np.ones(len(group), bool), sub @ w, np.zeros(len(group)), 0.0
+            while inside.sum() > 1:
+                own = rest / np.maximum(w[inside].sum() - np.where(inside, w, 0), 1e-12)
+                gain = np.where(inside, own - (away / mass if mass else 0.0), -np.inf)
+                best = int(np.argmax(gain))
+                if mass and gain[best] <= 0:
+                    break
+                inside[best], mass = False, mass + w[best]
+                rest, away = rest - sub[:, best] * w[best], away + sub[:, best] * w[best]
+            old = label[group[0]]
+            label[group[~inside]] = k - 1
+            for c in (old, k - 1):
+                members = np.flatnonzero(label == c)
+                width[c] = float(d[np.ix_(members, members)].max()) if len(members) > 1 else -1.0
+        if k in ks:
+            out[k] = label.copy()
+    return out
+
+
+def diana_merges(d: np.ndarray, weights: np.ndarray) -> list[tuple[int, int, float]]:
+    """The splits of ``diana`` down to single points, as merges in order of height: of equal ones the later split first."""
+    n = len(d)
+    labels = diana(d, weights, list(range(1, n + 1)))
+    out = []
+    for k in range(2, n + 1):
+        before, after = labels[k - 1], labels[k]
+        new = np.flatnonzero(after == k - 1)
+        if not len(new):
+            break
+        old = np.flatnonzero(before == before[new[0]])
+        rest = old[after[old] != k - 1]
+        a, b = sorted((int(rest[0]), int(new[0])))
+        out.append((a, b, float(d[np.ix_(old, old)].max())))
+    return out[::-1]
+
+
 def representatives(cases: DataFrame, count: int, seed: int = 2026, rounds: int = 5) -> tuple[DataFrame, DataFrame]:
     """(cases with ``rep``, representatives ``(rep, x, n)``): k-means micro-clusters, or the cases themselves if there
     are no more than ``count``."""
@@ -261,17 +314,10 @@ def hierarchical(cases: DataFrame, method: str, ks: list[int], count: int = 1000
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep")
         rep, x, n = pdf["rep"].to_numpy(), np.array(pdf["x"].tolist(), float), pdf["n"].to_numpy(float)
-        merges = [] if method == "diana" else lance_williams(initial_distances(x, n, method), n, method, beta)
-        parts = []
-        for k in ks:
-            if method == "diana":
-                label = diana(x, n, min(k, len(x)))
-            else:
-                label = np.arange(len(x))
-                for a, b, _ in merges[: max(0, len(x) - k)]:
-                    label[label == label[b]] = label[a]
-            parts.append(pd.DataFrame({"k": k, "rep": rep, "g": label}))
-        return pd.concat(parts)
+        d = initial_distances(x, n, method)
+        split = diana(d, n, sorted({min(k, len(x)) for k in ks})) if method == "diana" else {}
+        merges = [] if split else lance_williams(d, n, method, beta)
+        return pd.concat([pd.DataFrame({"k": k, "rep": rep, "g": split[min(k, len(x))] if split else cut_merges(len(x), merges, k)}) for k in ks])
 
     cutting = reps.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(run, "k int, rep bigint, g bigint")
     met = materialize(placed.select("id", "rep").join(cutting, "rep"))

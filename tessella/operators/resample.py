@@ -12,25 +12,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import distance
 from tessella.functions.hashing import key_hash, key_uniform
 from tessella.operators import agreement, evaluate, kmeans
-from tessella.session import materialize
+from tessella.operators.refit import Refit, of_kmeans
+from tessella.session import indexed, materialize
 
 LOWER_IS_BETTER = ("DB", "C_index", "G_plus", "WB", "Negative_silhouette_pct")
 
 
-def indexed(cases: DataFrame, key: str = "id") -> DataFrame:
-    """Adds ``index``, 0, 1, ... in order of the key, without a global window: ranges of the key are dealt
-    to partitions, whose sizes are then added up. The deal is written once: its bounds come from a sample, and
-    a second pass over other columns could draw others."""
-    ranged = materialize(cases.repartitionByRange(F.col(key)).withColumn("_p", F.spark_partition_id()))
-    ranged = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1)
-    totals = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    starts = totals.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_s"))
-    return ranged.join(F.broadcast(starts), "_p").withColumn("index", F.col("_s") + F.col("_in")).drop("_p", "_in", "_s")
-
-
 def bootstrap(case_index: DataFrame, n: int, replicates: int, seed: int = 2026) -> DataFrame:
     """(replicate, slot, id): n draws with replacement per replicate from ``case_index(index, id)``."""
     spark = case_index.sparkSession
@@ -70,10 +59,10 @@ def replicate_agreement(original: DataFrame, refits: DataFrame) -> DataFrame:
     return agreement.agreement(table, ("replicate",)).select("replicate", "ARI", "Rand")
 
 
-def stability(jaccards: DataFrame, clusters: DataFrame, requested: int, completed: int | None = None) -> DataFrame:
+def stability(jaccards: DataFrame, clusters: DataFrame, requested: int, failed: int = 0) -> DataFrame:
     """Per cluster of ``clusters(cluster)``: Mean_Jaccard, P025, P975, Dissolution (share <= .5), Recovery
-    (share >= .75), Valid_B, Failed_B, Completed_B, Requested_B."""
-    done = requested if completed is None else completed
+    (share >= .75), Valid_B, Failed_B, Completed_B, Requested_B. A replicate in which a cluster was not drawn, or whose refit
+    failed, has no value; all requested ones are run."""
     j = F.col("Jaccard")
     found = jaccards.groupBy("cluster").agg(
         F.avg(j).alias("Mean_Jaccard"), F.percentile(j, 0.025).alias("P025"), F.percentile(j, 0.975).alias("P975"),
@@ -81,7 +70,7 @@ def stability(jaccards: DataFrame, clusters: DataFrame, requested: int, complete
     )
     return clusters.select("cluster").distinct().join(found, "cluster", "left").select(
         F.col("cluster").alias("Cluster"), "Mean_Jaccard", "P025", "P975", "Dissolution", "Recovery", F.coalesce("Valid_B", F.lit(0)).alias("Valid_B"),
-        F.lit(requested - done).cast("bigint").alias("Failed_B"), F.lit(done).cast("bigint").alias("Completed_B"), F.lit(requested).cast("bigint").alias("Requested_B"),
+        F.lit(failed).cast("bigint").alias("Failed_B"), F.lit(requested).cast("bigint").alias("Completed_B"), F.lit(requested).cast("bigint").alias("Requested_B"),
     )
 
 
@@ -157,13 +146,17 @@ def uniform_box(cases: DataFrame, replicates: int, seed: int = 2026) -> DataFram
     return drawn.select("replicate", "id", F.array(*[F.lit(float(mean[i])) + sum((F.col(f"_u{j}") * float(vectors[i, j]) for j in range(size)), F.lit(0.0)) for i in range(size)]).alias("x"))
 
 
-def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 30) -> DataFrame:
-    """Gap statistic of k-means for k = 1..k_max, all reference sets clustered together."""
-    reference = uniform_box(cases, replicates, seed)
+def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart: int = 3, rounds: int = 30, refit: Refit | None = None) -> DataFrame:
+    """Gap statistic for k = 1..k_max of k-means, or of the method of ``refit``, all reference sets clustered together.
+    A reference set without a solution of k clusters does not count for that k."""
+    refit = refit or of_kmeans(nstart, rounds, seed)
+    reference = materialize(uniform_box(cases, replicates, seed))
+    size = kmeans.dimensions(cases)
+    one = lambda df: df.withColumn("cluster", F.lit(1))
     observed, simulated = None, None
     for k in range(1, k_max + 1):
-        own = kmeans.kmeans(cases, k, nstart, rounds, seed).agg(F.lit(k).alias("K"), F.sum("d2").alias("ss"))
-        sim = kmeans.kmeans(reference, k, nstart, rounds, seed, keys=("replicate",)).groupBy("replicate").agg(F.lit(k).alias("K"), F.sum("d2").alias("ss"))
+        own = kmeans.partition_ss(one(cases) if k == 1 else refit(cases, k, ()), size).select(F.lit(k).alias("K"), "ss")
+        sim = kmeans.partition_ss(one(reference) if k == 1 else refit(reference, k, ("replicate",)), size, ("replicate",)).select("replicate", F.lit(k).alias("K"), "ss")
         observed, simulated = (own, sim) if observed is None else (observed.unionByName(own), simulated.unionByName(sim))
     return gap_table(observed, simulated)
 
@@ -177,65 +170,100 @@ def halves(cases: DataFrame, n: int, seed: int = 2026) -> DataFrame:
     return keyed.crossJoin(F.broadcast(cut)).select("id", F.when(F.col("_h") <= F.col("_cut") + 0.5, "A").otherwise("B").alias("half"))
 
 
-def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 30) -> DataFrame:
-    """K, Kappa_half_B, Kappa_half_A, Invariance: both halves are clustered, each is also classified by the other's
-    centres, and the two classifications of a half are compared by matched kappa."""
+def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 30, refit: Refit | None = None) -> DataFrame:
+    """K, Kappa_half_B, Kappa_half_A, Invariance: both halves are clustered (by k-means, or ``refit``), each is also classified by the
+    other's centres, and the two classifications of a half are compared by matched kappa. A half without a solution
+    of k clusters leaves nulls and says so in Status."""
     dealt = kmeans.materialize(cases.select("id", "x").join(halves(cases, cases.count(), seed), "id"))
-    fitted = kmeans.materialize(kmeans.kmeans(dealt, k, nstart, rounds, seed, keys=("half",)))
+    fitted = kmeans.materialize((refit or of_kmeans(nstart, rounds, seed))(dealt, k, ("half",)))
     size = kmeans.dimensions(cases)
     centres = kmeans.centroids(fitted, size, ("half",)).withColumn("half", F.when(F.col("half") == "A", "B").otherwise("A"))
     other = kmeans.nearest(dealt, centres.select("half", "cluster", "center"), ("half",))
     table = agreement.crossed(fitted, other, ("half",))
     kappas = agreement.matched_kappa(table, ("half",))
-    wide = kappas.agg(F.max(F.when(F.col("half") == "B", F.col("Kappa"))).alias("Kappa_half_B"), F.max(F.when(F.col("half") == "A", F.col("Kappa"))).alias("Kappa_half_A"))
-    return wide.select(F.lit(k).alias("K"), "Kappa_half_B", "Kappa_half_A", ((F.col("Kappa_half_B") + F.col("Kappa_half_A")) / 2).alias("Invariance"), F.lit("Completed").alias("Status"))
+    wide = kappas.agg(F.max(F.when(F.col("half") == "B", F.col("Kappa"))).alias("Kappa_half_B"), F.max(F.when(F.col("half") == "A", F.col("Kappa"))).alias("Kappa_half_A"), F.count(F.lit(1)).alias("_n"))
+    status = F.when(F.col("_n") == 2, "Completed").otherwise(f"a half has no solution of {k} clusters")
+    return wide.select(F.lit(k).alias("K"), "Kappa_half_B", "Kappa_half_A", ((F.col("Kappa_half_B") + F.col("Kappa_half_A")) / 2).alias("Invariance"), status.alias("Status"))
 
 
-def replicate_silhouettes(refits: DataFrame) -> DataFrame:
-    """(replicate, Silhouette): mean silhouette of ``refits(replicate, id, cluster, x)`` under Euclidean distance.
+def replicate_silhouettes(refits: DataFrame, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None) -> DataFrame:
+    """(replicate, Silhouette): mean silhouette of ``refits(replicate, id, cluster, x)`` under the distance.
     A case drawn several times is as many cases; replicates with one cluster have no row."""
-    sums = materialize(evaluate.case_cluster_sums(refits, "euclidean", keys=("replicate",)))
+    sums = materialize(evaluate.case_cluster_sums(refits, name, weights, ranges, keys=("replicate",)))
     return evaluate.silhouette_summary(evaluate.silhouette(sums, ("replicate",)), ("replicate",)).select("replicate", "Silhouette")
 
 
-def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 30, pair_indices: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Stability of a k-means partition, all replicates refitted together: (per cluster, agreement, by replicate).
-    The last has ARI and Rand and, with ``pair_indices``, the mean silhouette of each refit."""
+def drawn_replicates(cases: DataFrame, replicates: int, seed: int = 2026, size: int | None = None) -> DataFrame:
+    """(replicate, id, case, x), written: bootstrap samples of ``cases(id, x)``, or with ``size`` subsamples without replacement. ``id`` tells the copies
+    of a case apart, ``case`` is its own id."""
+    if size is not None:
+        drawn = subsample(cases, size, replicates, seed).join(cases.select("id", "x"), "id")
+        return kmeans.materialize(drawn.select("replicate", F.col("id").cast("string").alias("id"), F.col("id").alias("case"), "x"))
     index = kmeans.materialize(indexed(cases.select("id", "x")))
-    n = index.count()
-    drawn = bootstrap(index, n, replicates, seed).join(index.select(F.col("id").alias("_id"), "x"), F.col("id") == F.col("_id"))
-    rows = kmeans.materialize(drawn.select("replicate", F.concat_ws("-", "slot", "id").alias("id"), F.col("_id").alias("case"), "x"))
-    fitted = kmeans.materialize(kmeans.kmeans(rows, k, nstart, rounds, seed, keys=("replicate",)))
+    drawn = bootstrap(index, index.count(), replicates, seed).join(index.select(F.col("id").alias("_id"), "x"), F.col("id") == F.col("_id"))
+    return kmeans.materialize(drawn.select("replicate", F.concat_ws("-", "slot", "id").alias("id"), F.col("_id").alias("case"), "x"))
+
+
+def bootstrap_refits(cases: DataFrame, original: DataFrame, k: int, replicates: int, refit: Refit, seed: int = 2026, size: int | None = None, pair_indices: bool = False, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stability of a partition under refits of all replicates together: (per cluster, agreement, by replicate).
+
+    The last has a row per replicate with ARI and Rand, with ``pair_indices`` the mean silhouette of each refit, and Error where a
+    refit gave fewer than k clusters: such replicates count as failed, and nowhere else. With ``size`` the replicates are
+    subsamples.
+    """
+    rows = drawn_replicates(cases, replicates, seed, size)
+    fitted = kmeans.materialize(refit(rows, k, ("replicate",)))
+    fitted = fitted if "case" in fitted.columns else kmeans.materialize(fitted.join(rows.select("replicate", "id", "case"), ["replicate", "id"]))
     refits = fitted.select("replicate", F.col("case").alias("id"), "cluster")
     each = kmeans.materialize(replicate_agreement(original, refits))
-    table = each.join(replicate_silhouettes(fitted), "replicate", "left") if pair_indices else each
-    return stability(cluster_jaccard(original, refits), original, replicates), agreement_summary(each, replicates), table
+    failed = replicates - each.count()
+    every = cases.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))
+    table = every.join(each, "replicate", "left")
+    if pair_indices:
+        table = table.join(replicate_silhouettes(fitted, name, weights, ranges), "replicate", "left")
+    table = table.withColumn("Error", F.when(F.col("Rand").isNull(), f"fewer than {k} clusters"))
+    return stability(cluster_jaccard(original, refits), original, replicates, failed), agreement_summary(each, replicates), table
+
+
+def bootstrap_kmeans(cases: DataFrame, original: DataFrame, k: int, replicates: int, seed: int = 2026, nstart: int = 5, rounds: int = 30, pair_indices: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``bootstrap_refits`` of k-means, the last table without the failed replicates."""
+    stable, agreed, each = bootstrap_refits(cases, original, k, replicates, of_kmeans(nstart, rounds, seed), seed, pair_indices=pair_indices)
+    return stable, agreed, each.where("Error is null").drop("Error")
 
 
-def solution_indices(cases: DataFrame, keys: tuple[str, ...] = (), pair_indices: bool = False, ranks: bool = False) -> DataFrame:
-    """(keys, EESS, CH, DB) of ``cases(keys, id, cluster, x)`` under Euclidean distance; ``pair_indices`` adds Silhouette, Dunn,
-    Point_biserial and WB, and ``ranks`` C_index, Gamma and G_plus, for which all pairs of a key are written."""
-    parts = [evaluate.variance_indices(cases, keys)]
-    if pair_indices or ranks:
-        sums = materialize(evaluate.case_cluster_sums(cases, "euclidean", keys=keys))
+def solution_indices(cases: DataFrame, keys: tuple[str, ...] = (), pair_indices: bool = False, ranks: bool = False, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None, euclidean: bool = True) -> DataFrame:
+    """(keys, EESS, CH, DB) of ``cases(keys, id, cluster, x)`` if coordinates are ``euclidean``; ``pair_indices`` adds Silhouette, Dunn,
+    Point_biserial and WB under the distance ``name``, and ``ranks`` C_index, Gamma and G_plus from numbers of pairs by distance."""
+    parts = [evaluate.variance_indices(cases, keys)] if euclidean else []
+    if pair_indices or ranks or not parts:
+        sums = materialize(evaluate.case_cluster_sums(cases, name, weights, ranges, keys=keys))
         parts += [evaluate.silhouette_summary(evaluate.silhouette(sums, keys), keys).drop("Negative_silhouette_pct"), evaluate.pair_indices(sums, keys)]
     if ranks:
-        parts.append(evaluate.rank_indices(materialize(distance.pairs(cases, "euclidean", group_cols=keys)), cases, keys))
+        parts.append(evaluate.indices_of_histogram(evaluate.distance_counts(cases, name, weights, ranges, keys), keys))
     made = parts[0]
     for more in parts[1:]:
         made = made.join(more, list(keys), "left") if keys else made.crossJoin(more)
     return made
 
 
-def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 30) -> DataFrame:
-    """Empirical p values of the indices of a k-means partition of ``cases(id, variables)`` against null data: of those
-    that ``observed``, one row of ``solution_indices``, has."""
+def null_replicates(cases: DataFrame, variables: list[str], replicates: int, seed: int = 2026, null: str = "permutation") -> DataFrame:
+    """(replicate, id, variables): null data of ``cases(id, variables)`` by column permutation or from one Gaussian."""
     if null == "permutation":
-        data = permuted(indexed(cases), variables, replicates, seed).withColumnRenamed("index", "id")
-    else:
-        data = gaussian(cases, variables, replicates, seed)
-    fitted = kmeans.kmeans(kmeans.materialize(data.select("replicate", "id", F.array(*variables).alias("x"))), k, nstart, rounds, seed, keys=("replicate",))
+        return permuted(indexed(cases), variables, replicates, seed).withColumnRenamed("index", "id")
+    return gaussian(cases, variables, replicates, seed)
+
+
+def simulate_refits(data: DataFrame, observed: DataFrame, k: int, replicates: int, refit: Refit, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None, euclidean: bool = True) -> DataFrame:
+    """Empirical p values of the indices that ``observed``, one row of ``solution_indices``, has, against refits of the null
+    ``data(replicate, id, x)``. Replicates whose refit gave fewer than k clusters are failed ones."""
+    fitted = kmeans.materialize(refit(kmeans.materialize(data), k, ("replicate",)))
     names = observed.columns
-    indices = solution_indices(kmeans.materialize(fitted), ("replicate",), "Silhouette" in names, "Gamma" in names)
+    indices = solution_indices(fitted, ("replicate",), "Silhouette" in names, "Gamma" in names, name, weights, ranges, euclidean)
     long = lambda df, *keys: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(i).alias("Index"), F.col(i).alias("value")) for i in names])).alias("r")).select(*keys, "r.*")
     return empirical_p(long(observed), long(indices, "replicate"), replicates)
+
+
+def simulate_kmeans(cases: DataFrame, variables: list[str], observed: DataFrame, k: int, replicates: int, seed: int = 2026, null: str = "permutation", nstart: int = 5, rounds: int = 30) -> DataFrame:
+    """``simulate_refits`` of k-means on null data of ``cases(id, variables)``."""
+    data = null_replicates(cases, variables, replicates, seed, null).select("replicate", "id", F.array(*variables).alias("x"))
+    return simulate_refits(data, observed, k, replicates, of_kmeans(nstart, rounds, seed))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.operators.resample import indexed
-from tessella.session import materialize
+from tessella.session import indexed, materialize
 
 WARD = ("ward.D2", "ward_relocate")
 
@@ -20,13 +19,14 @@ def stages(merges: DataFrame) -> DataFrame:
     """
     if "stage" not in merges.columns:
         key = F.struct(F.format_string("%.11e", "height").cast("double").alias("h"), "n", "a", "b")
-        merges = indexed(merges.withColumn("_key", key), "_key").select((F.col("index") + 1).cast("bigint").alias("stage"), "a", "b", "height")
-    merges = materialize(merges.select("stage", "a", "b", "height"))
+        merges = indexed(merges.withColumn("_key", key), "_key").select((F.col("index") + 1).cast("bigint").alias("stage"), "a", "b", "height", F.col("n").cast("bigint").alias("n"))
+    sizes = [c for c in ("n",) if c in merges.columns]
+    merges = materialize(merges.select("stage", "a", "b", "height", *sizes))
     formed = merges.groupBy(F.col("a").alias("b")).agg(F.max("stage").alias("_b"))
     earlier = F.lag("stage").over(Window.partitionBy("a").orderBy("stage"))
     met = merges.withColumn("_a", earlier).join(formed, "b", "left")
     never = F.lit(0).cast("bigint")
-    return met.select("stage", F.coalesce("_a", never).alias("a"), F.coalesce("_b", never).alias("b"), "height", F.col("a").alias("first_a"), F.col("b").alias("first_b"))
+    return met.select("stage", F.coalesce("_a", never).alias("a"), F.coalesce("_b", never).alias("b"), "height", F.col("a").alias("first_a"), F.col("b").alias("first_b"), *sizes)
 
 
 def agglomeration(merges: DataFrame, method: str) -> DataFrame:
@@ -36,7 +36,7 @@ def agglomeration(merges: DataFrame, method: str) -> DataFrame:
     A hierarchy has one row per case less one; of trees made from pairs that is as many as the square root of the
     pairs allowed, of others as many as there are representatives, so the running sum is over a bounded table.
     """
-    order = Window.orderBy("stage")
+    merges, order = merges.drop("n"), Window.orderBy("stage")
     n = merges.agg((F.count(F.lit(1)) + 1).alias("n"))
     swap = F.col("first_a") > F.col("first_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
@@ -81,6 +81,38 @@ def cut_height(merges: DataFrame, k: int) -> DataFrame:
     return ranked.where(F.col("_r") >= k - 1).agg(F.avg("height").alias("Height"))
 
 
+def leaf_order(staged: DataFrame) -> DataFrame:
+    """(position, id) of the leaves of a tree ``stages(merges)`` with sizes n, from 0: the group of the smaller first case goes
+    to the left at every merge.
+
+    A group begins where its parent begins, or behind its left sibling. Those offsets are added up along the way
+    to the root by pointer doubling: as many rounds as the tree's depth has binary digits.
+    """
+    leaf = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    node = lambda c: F.concat(F.lit("s"), c.cast("string"))
+    swap = F.col("first_a") > F.col("first_b")
+    size = staged.select(F.col("stage").alias("_s"), F.col("n").alias("_left"))
+    side = staged.select(
+        node(F.col("stage")).alias("up"),
+        F.when(swap, F.col("b")).otherwise(F.col("a")).alias("l"), F.when(swap, F.col("first_b")).otherwise(F.col("first_a")).alias("fl"),
+        F.when(swap, F.col("a")).otherwise(F.col("b")).alias("r"), F.when(swap, F.col("first_a")).otherwise(F.col("first_b")).alias("fr"),
+    )
+    name = lambda s, f: F.when(F.col(s) > 0, node(F.col(s))).otherwise(leaf(F.col(f)))
+    met = side.join(size, side["l"] == size["_s"], "left")
+    zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("string")
+    id_of = lambda s, f: F.when(F.col(s) == 0, F.col(f)).alias("id")
+    nodes = met.select(name("l", "fl").alias("node"), "up", zero.alias("at"), id_of("l", "fl")).unionByName(
+        met.select(name("r", "fr").alias("node"), "up", F.coalesce("_left", F.lit(1)).cast("bigint").alias("at"), id_of("r", "fr"))
+    )
+    nodes = materialize(nodes)
+    while True:
+        above = nodes.select(F.col("node").alias("_n"), F.col("up").alias("_up"), F.col("at").alias("_at"))
+        joined = nodes.join(above, nodes["up"] == above["_n"], "left")
+        nodes = materialize(joined.select("node", F.when(F.col("_n").isNotNull(), F.col("_up")).otherwise(none).alias("up"), (F.col("at") + F.coalesce("_at", zero)).alias("at"), "id"))
+        if nodes.where("up is not null").isEmpty():
+            return nodes.where("id is not null").select(F.col("at").alias("position"), "id")
+
+
 def leaf_runs(leaves: DataFrame) -> DataFrame:
     """(cluster, Start, End): runs of one cluster along the leaves ``(position, cluster)``; leaves of one
     picture."""
