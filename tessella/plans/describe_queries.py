@@ -278,13 +278,27 @@ def _members(spark, d):
     return every.withColumn("cluster", (key_hash("mi", F.col("imputation"), F.col("id")) % 40 + 1).cast("int"))
 
 
-@query("m7_consensus", f"""WITH m AS MATERIALIZED ({_MEMBERS}), s AS MATERIALIZED (SELECT a.id AS i, b.id AS j, count(*) AS t FROM m a JOIN m b ON a.imputation = b.imputation AND a.cluster = b.cluster AND a.id < b.id GROUP BY 1, 2),
-n AS (SELECT s.i, s.j, count(*) AS n FROM s JOIN m a ON a.id = s.i JOIN m b ON b.id = s.j AND a.imputation = b.imputation GROUP BY 1, 2)
-SELECT s.i, s.j, {R('t::DOUBLE / n')} AS "Consensus", n AS "Imputations" FROM s JOIN n ON s.i = n.i AND s.j = n.j""")
+# One row per case, a column per imputation: a pair's counts are then plain arithmetic.
+_WIDE = f"w AS MATERIALIZED (SELECT id, {', '.join(f'max(cluster) FILTER (WHERE imputation = {i}) AS c{i}' for i in (1, 2, 3))} FROM ({_MEMBERS}) GROUP BY id)"
+_TOGETHER = " + ".join(f"coalesce(a.c{i} = b.c{i}, false)::INT" for i in (1, 2, 3))
+_HELD = " + ".join(f"(a.c{i} IS NOT NULL AND b.c{i} IS NOT NULL)::INT" for i in (1, 2, 3))
+
+
+@query("m7_consensus", f"""WITH {_WIDE}, p AS (SELECT a.id AS i, b.id AS j, {_TOGETHER} AS t, {_HELD} AS n FROM w a JOIN w b ON a.id < b.id)
+SELECT i, j, {R('t::DOUBLE / n')} AS "Consensus", n::BIGINT AS "Imputations" FROM p WHERE t > 0""")
 def _(spark, d):
     return impute.consensus(_members(spark, d))
 
 
+@query("m7_consensus_classes", f"""WITH {_WIDE}, k AS MATERIALIZED (SELECT c1, c2, c3, count(*) AS cases, min(id) AS first FROM w GROUP BY c1, c2, c3),
+p AS (SELECT a.first AS fa, b.first AS fb, a.cases AS na, b.cases AS nb, {_TOGETHER} AS t, {_HELD} AS n FROM k a JOIN k b ON a.first <= b.first)
+SELECT fa AS "First_a", fb AS "First_b", na AS "Cases_a", nb AS "Cases_b", {R('t::DOUBLE / n')} AS "Consensus", n::BIGINT AS "Imputations" FROM p WHERE t > 0""")
+def _(spark, d):
+    classes, _, pairs = impute.consensus_classes(_members(spark, d))
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("First").alias(f"First_{x}"), F.col("Cases").alias(f"Cases_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").drop("a", "b")
+
+
 @query("m8_imputed_cells", f"""{GAPS} SELECT id AS "ID", {MISSING} AS "Original_missing", {R(f'CASE WHEN {MISSING} <= 2 THEN {MISSING} ELSE 0 END')} AS "Imputed_cells" FROM t""")
 def _(spark, d):
     t = fx.customers_with_gaps(spark, d)
@@ -295,3 +309,14 @@ def _(spark, d):
 @query("m5_multiple_imputation")
 def _(spark, d):
     return impute.multiple_impute(fx.customers_with_gaps(spark, d), C, m=3, sweeps=2)
+
+
+@query("m5_categorical_imputation")
+def _(spark, d):
+    """Numbers and text of two and of five values with hashed gaps, completed by matching, logistic and multinomial models."""
+    who = fx.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    rows = fx.customers_with_gaps(spark, d).join(who, "id")
+    rows = rows.withColumn("side", F.when(F.col("acctbal") + 3000 * key_uniform("side", F.col("id")) > 5000, "high").otherwise("low"))
+    hole = lambda v, n: F.when(key_hash("text", F.col("id"), v) % n != 0, F.col(v)).alias(v)
+    gaps = rows.select("id", "acctbal", "n_orders", "mean_qty", hole("side", 5), hole("segment", 7))
+    return impute.multiple_impute(gaps, ["acctbal", "n_orders", "mean_qty", "side", "segment"], m=3)

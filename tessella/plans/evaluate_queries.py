@@ -276,17 +276,25 @@ def _(spark, d):
     return evaluate.pair_indices(vector_sums(spark, d).withColumn("_", F.lit(1)), ("_",)).drop("_")
 
 
-@query("e11_e13_rank_indices", f"""{VEC}, p AS (SELECT round(list_distance(a.x, b.x), 10) AS d, a.cluster = b.cluster AS same FROM v a JOIN v b ON a.id < b.id), m AS (SELECT count(*) FILTER (WHERE same) AS m, count(*) AS n FROM p),
+_RANKS = f"""{VEC}, p AS (SELECT round(list_distance(a.x, b.x), 10) AS d, a.cluster = b.cluster AS same FROM v a JOIN v b ON a.id < b.id), m AS (SELECT count(*) FILTER (WHERE same) AS m, count(*) AS n FROM p),
 o AS (SELECT d, same, row_number() OVER (ORDER BY d) AS up, row_number() OVER (ORDER BY d DESC) AS down, count(*) FILTER (WHERE NOT same) OVER (ORDER BY d RANGE UNBOUNDED PRECEDING EXCLUDE TIES) AS x FROM p),
 h AS (SELECT d, count(*) FILTER (WHERE same) AS w, count(*) FILTER (WHERE NOT same) AS b FROM p GROUP BY d), c AS (SELECT d, w, b, sum(b) OVER (ORDER BY d) - b AS below, sum(b) OVER () - sum(b) OVER (ORDER BY d) AS above FROM h)
 SELECT (SELECT {R('(sum(d) FILTER (WHERE same) - sum(d) FILTER (WHERE up <= m)) / (sum(d) FILTER (WHERE down <= m) - sum(d) FILTER (WHERE up <= m))')} FROM o, m) AS "C_index",
        (SELECT {R('(sum(w * above) - sum(w * below)) / (sum(w * above) + sum(w * below))')} FROM c) AS "Gamma",
-       (SELECT {R('sum(w * below) / (any_value(n)::DOUBLE * (any_value(n) - 1) / 2)')} FROM c, m) AS "G_plus" """)
+       (SELECT {R('sum(w * below) / (any_value(n)::DOUBLE * (any_value(n) - 1) / 2)')} FROM c, m) AS "G_plus" """
+
+
+@query("e11_e13_rank_indices", _RANKS)
 def _(spark, d):
     v = fx.vectors(spark, d)
     return evaluate.rank_indices(dist.pairs(v, "euclidean"), v)
 
 
+@query("e11_e13_counted_distances", _RANKS)
+def _(spark, d):
+    return evaluate.indices_of_histogram(evaluate.distance_counts(fx.vectors(spark, d), "euclidean"))
+
+
 _POST = f"SELECT id, cluster, u / sum(u) OVER (PARTITION BY id) AS prob FROM (SELECT id, k AS cluster, 0.05 + (('0x' || substr(md5('post|' || id::VARCHAR || '|' || k::VARCHAR), 1, 15))::BIGINT / 1152921504606846976.0) AS u FROM ({fx.CUSTOMERS_SQL}), range(1, 4) r(k))"
 
 

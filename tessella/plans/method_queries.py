@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import describe, fuzzy, linkage, medoids, mixture, schedule
+from tessella.operators import describe, fuzzy, groups, linkage, medoids, mixture, prepare, refit, resample, schedule
 from tessella.plans import fixtures as fx
 from tessella.plans import jobs
 from tessella.plans.evaluate_queries import standardised
@@ -106,12 +106,97 @@ def _(spark, d):
     return describe.scaling_2d(materialize(dist.pairs(v, "cosine")), v.select("id"), rounds=8)
 
 
+def _mixed(spark, d):
+    """Prepared cases of two numbers, a 0/1 and an ordered variable under Gower distance."""
+    variables = ("mean_total", "n_orders", "building", "last_priority")
+    return prepare.prepare(fx.mixed(spark, d), ClusterConfig(variables, "id", distance="gower", method="average"))
+
+
+def _on_mixed(name: str, method: str, beta: float = -0.25) -> None:
+    @query(name)
+    def _(spark, d):
+        p = _mixed(spark, d)
+        return groups.grouped_fit(p.cases.select("id", "x"), method, [2, 3, 4], "gower", linkage.MAX_REPRESENTATIVES, list(p.weights), p.ranges, beta=beta)
+
+
+_on_mixed("c12_flexible_any_distance", "flexible", 0.5)
+_on_mixed("c13_diana_any_distance", "diana")
+_on_mixed("c15_pam_any_distance", "pam")
+
+
+@query("c19_hybrid_pam_any_distance")
+def _(spark, d):
+    p = _mixed(spark, d)
+    return groups.grouped_fit(p.cases.select("id", "x"), "hybrid_pam", [3], "gower", linkage.MAX_REPRESENTATIVES, list(p.weights), p.ranges, hybrid_start="complete", starts=True)
+
+
+@query("h7_leaf_order_of_tree")
+def _(spark, d):
+    v = materialize(fx.vectors(spark, d))
+    return schedule.leaf_order(schedule.stages(materialize(groups.grouped_tree(v.select("id", "x"), "average", "cosine"))))
+
+
+def _refits(method: str, distance: str = "euclidean", **settings):
+    """Prepared cases, a solution of three clusters and its refit."""
+
+    def made(spark, d):
+        p = jobs.prepare.prepare(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method=method, distance=distance, **settings))
+        p = jobs.replace(p, cases=materialize(p.cases))
+        return p, materialize(jobs.fit(p, [3]).select("id", "cluster"))
+
+    return made
+
+
+@query("r3_subsampled_linkage")
+def _(spark, d):
+    p, made = _refits("complete", "manhattan", subsample=True, B=20)(spark, d)
+    return jobs.validate(p, made, 3, pair_indices=False)["Bootstrap"]
+
+
+@query("r3_bootstrap_mixture")
+def _(spark, d):
+    p, made = _refits("gmm", covariance="EEI")(spark, d)
+    return resample.bootstrap_refits(p.cases.select("id", "x"), made, 3, 20, refit.of_method(p.config))[0]
+
+
+@query("r10_null_ward", digits=5)
+def _(spark, d):
+    p, made = _refits("ward.D2")(spark, d)
+    placed = materialize(p.cases.select("id", "x").join(made, "id"))
+    observed = materialize(resample.solution_indices(placed, (), True))
+    return resample.simulate_refits(jobs.null_data(p, 20), observed, 3, 20, refit.of_method(p.config))
+
+
+@query("r12_gap_ward")
+def _(spark, d):
+    p, _ = _refits("ward.D2")(spark, d)
+    return resample.gap(p.cases.select("id", "x"), 4, 20, refit=refit.of_method(p.config))
+
+
+@query("r14_split_half_pam")
+def _(spark, d):
+    p, _ = _refits("pam", "manhattan")(spark, d)
+    return resample.split_half(p.cases.select("id", "x"), 3, refit=refit.of_method(p.config))
+
+
+@query("m6_stacked_fits", digits=5)
+def _(spark, d):
+    config = ClusterConfig(tuple(C), "id", missing="multiple", method="ward.D2", k_max=4, mi_m=3, mi_iter=2)
+    return jobs.analyse(fx.customers_with_gaps(spark, d), config).tables["MI_fit_summary"]
+
+
 @query("m6_imputations_clustered")
 def _(spark, d):
-    return jobs.multiple_imputation(fx.customers_with_gaps(spark, d), ClusterConfig(tuple(C), "id", missing="multiple", method="kmeans", nstart=2, mi_m=2, mi_iter=1), 3)[0]
+    return jobs.multiple_imputation(fx.customers_with_gaps(spark, d), ClusterConfig(tuple(C), "id", missing="multiple", method="kmeans", mi_m=3, mi_iter=2), 3)[0]
+
+
+@query("full_analysis", digits=5)
+def _(spark, d):
+    return jobs.analyse(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="kmeans")).comparison
 
 
-@query("full_analysis")
+@query("full_analysis_validated", digits=5)
 def _(spark, d):
-    config = ClusterConfig(tuple(C), "id", method="kmeans", k_max=3, nstart=3)
-    return jobs.analyse(fx.customers(spark, d), config, pair_indices=False).comparison
+    """A hierarchy with bootstrap, null simulation, replication and gap statistic: its findings and votes per k."""
+    made = jobs.analyse(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="ward.D2", k_max=3, B=20, gap_B=20), validation=True)
+    return made.comparison

@@ -206,3 +206,98 @@ def test_block_sums_equal_the_expression(example):
         a = {(r["id"], r["other"]): (r["n"], r["d"], r["d2"], r["low"], r["high"]) for r in blocks.collect()}
         b = {(r["id"], r["other"]): (r["n"], r["d"], r["d2"], r["low"], r["high"]) for r in plain.collect()}
         assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def _numpy_logits(x, y, levels, ridge=1e-6):
+    """Newton's method for one data set, from the formulas of the multinomial likelihood."""
+    n, p = x.shape
+    b = np.zeros((levels - 1, p))
+    for _ in range(60):
+        eta = np.exp(np.concatenate([np.zeros((n, 1)), x @ b.T], 1))
+        prob = eta / eta.sum(1, keepdims=True)
+        gradient = np.array([((y == a + 1) - prob[:, a + 1]) @ x for a in range(levels - 1)]).ravel() - ridge * n * b.ravel()
+        h = np.block([[-(x * (prob[:, a + 1] * ((a == c) - prob[:, c + 1]))[:, None]).T @ x for c in range(levels - 1)] for a in range(levels - 1)]) - ridge * n * np.eye(b.size)
+        b = b - np.linalg.solve(h, gradient).reshape(b.shape)
+    return b
+
+
+@pytest.mark.parametrize("levels", [2, 4])
+def test_logits_of_each_key_by_numpy(spark, levels):
+    rng = np.random.default_rng(levels)
+    rows, want = [], {}
+    for key in (1, 2, 3):
+        x = np.column_stack([np.ones(300), rng.normal(size=(300, 2))])
+        true = rng.normal(size=(levels - 1, 3))
+        eta = np.exp(np.concatenate([np.zeros((300, 1)), x @ true.T], 1))
+        y = np.array([rng.choice(levels, p=e / e.sum()) for e in eta])
+        rows += [(key, int(a), [float(v) for v in b]) for a, b in zip(y, x)]
+        want[key] = _numpy_logits(x, y, levels)
+    df = materialize(spark.createDataFrame(rows, "key int, y int, x array<double>").repartition(5))
+    made = impute.fit_logits(df, levels, [1, 2, 3, 4])
+    for key in want:
+        assert np.allclose(made.beta[key], want[key], atol=1e-7)
+        own = impute.fit_logits(df.where(F.col("key") == key), levels, [key])
+        assert np.allclose(own.beta[key], made.beta[key], atol=1e-9)
+    assert 4 not in made.covariance and made.rounds < 20
+
+
+def test_levels_that_are_told_apart_have_finite_models(spark):
+    rows = [(1, int(i >= 20), [1.0, float(i)]) for i in range(40)]
+    made = impute.fit_logits(spark.createDataFrame(rows, "key int, y int, x array<double>"), 2, [1])
+    assert np.isfinite(made.beta[1]).all() and made.beta[1][0, 1] > 0
+
+
+def test_text_is_imputed_by_its_models(spark):
+    """Gaps in text that depends on a number: the levels imputed follow the number as the hidden ones do."""
+    rng = np.random.default_rng(8)
+    rows, hidden = [], {}
+    for i in range(1500):
+        a = float(rng.normal())
+        side = "yes" if rng.random() < 1 / (1 + np.exp(-2 * a)) else "no"
+        kind = rng.choice(["p", "q", "r"], p=(w := np.exp([0.0, a, -a])) / w.sum())
+        hidden[i] = (side, str(kind))
+        rows.append((i, a if i % 11 else None, None if rng.random() < 0.3 and a > 0 else side, None if rng.random() < 0.3 else str(kind), None))
+    df = materialize(spark.createDataFrame(rows, "id bigint, a double, side string, kind string, empty string"))
+    made = materialize(impute.multiple_impute(df, ["a", "side", "kind", "empty"], m=4, sweeps=3))
+    assert made.count() == 6000 and made.where("a is null or side is null or kind is null or empty is not null").isEmpty()
+    of = {i: r for i, *r in rows}
+    for at, name in ((1, "side"), (2, "kind")):
+        gaps = [i for i in of if of[i][at] is None]
+        got = [(r["id"], r[name]) for r in made.where(F.col("id").isin(gaps)).collect()]
+        for level in {h[at - 1] for h in hidden.values()}:
+            share = np.mean([v == level for _, v in got])
+            assert abs(share - np.mean([hidden[i][at - 1] == level for i in gaps])) < 0.08, (name, level)
+        high = [v for i, v in got if of[i][0] is not None and of[i][0] > 0.8]
+        assert high.count("yes" if name == "side" else "q") > 0.6 * len(high)
+    kept = made.join(df.select("id", F.col("side").alias("was")), "id").where("was is not null and was <> side")
+    assert kept.isEmpty()
+    again = impute.multiple_impute(df.repartition(6), ["a", "side", "kind", "empty"], m=4, sweeps=3)
+    assert again.exceptAll(made).isEmpty()
+
+
+def test_too_many_levels_are_refused(spark):
+    df = spark.range(80).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("t"))
+    with pytest.raises(ValueError, match="more than 50"):
+        impute.multiple_impute(df, ["t"], m=2)
+
+
+def test_consensus_of_classes_expands_to_that_of_cases(spark):
+    rng = np.random.default_rng(4)
+    rows = [(m, i, int(rng.integers(0, 3))) for m in range(1, 5) for i in range(40) if rng.random() < 0.9]
+    df = spark.createDataFrame(rows, "imputation int, id bigint, cluster int")
+    of = {}
+    for m, i, c in rows:
+        of.setdefault(i, {})[m] = c
+    want = {}
+    for i in of:
+        for j in of:
+            both = of[i].keys() & of[j].keys()
+            same = sum(of[i][m] == of[j][m] for m in both)
+            if i < j and same:
+                want[i, j] = (pytest.approx(same / len(both)), len(both))
+    got = {(r["i"], r["j"]): (r["Consensus"], r["Imputations"]) for r in impute.consensus(df).collect()}
+    assert got == want
+    classes, members, pairs = impute.consensus_classes(df)
+    assert classes.agg(F.sum("Cases")).first()[0] == len(of) == members.count()
+    assert classes.count() == len({tuple(sorted(v.items())) for v in of.values()})
+    assert pairs.where("a = b").count() == classes.count() and pairs.where("a = b and Consensus <> 1").isEmpty()
