@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.tails import f_tail, tukey_tail
+from tessella.operators.order import ranked
 from tessella.session import materialize
 
 MAX_TESTED = 12
@@ -159,6 +160,5 @@ def heat_map(cases: DataFrame, variables: list[str]) -> DataFrame:
     their cluster."""
     scored, _ = principal_components(cases, variables, 1)
     stats = cases.agg(*[F.avg(v).alias(f"_m{i}") for i, v in enumerate(variables)], *[F.stddev_samp(v).alias(f"_s{i}") for i, v in enumerate(variables)])
-    order = Window.partitionBy("cluster").orderBy("PC1", "id")
     z = [F.greatest(F.lit(-2.5), F.least(F.lit(2.5), (F.col(v) - F.col(f"_m{i}")) / F.col(f"_s{i}"))).alias(v) for i, v in enumerate(variables)]
-    return scored.crossJoin(F.broadcast(stats)).withColumn("Position", F.row_number().over(order)).select("cluster", "Position", "id", *z)
+    return ranked(scored, ("cluster",), ["PC1", "id"], "Position").crossJoin(F.broadcast(stats)).select("cluster", "Position", "id", *z)

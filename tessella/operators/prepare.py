@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from tessella.config import ClusterConfig
 from tessella.functions.distance import BINARY, COUNT, check_domain, whiten
 from tessella.operators import impute, profile
+from tessella.operators.order import medians
+from tessella.session import materialize
 
 MAD_FACTOR = 1.4826
 
@@ -106,8 +108,9 @@ def scale_model(df: DataFrame, variables: list[str], kind: str, group_cols: tupl
     if kind == "none":
         return long.groupBy(*keys).agg(F.lit(0.0).alias("Center"), F.lit(1.0).alias("Scale"))
     if kind == "robust":
-        centre = long.groupBy(*keys).agg(F.median("v").alias("Center"))
-        return long.join(F.broadcast(centre) if not group_cols else centre, keys).groupBy(*keys, "Center").agg((MAD_FACTOR * F.median(F.abs(F.col("v") - F.col("Center")))).alias("Scale"))
+        centre = materialize(medians(long, tuple(keys)).withColumnRenamed("median", "Center"))
+        gaps = long.join(F.broadcast(centre) if not group_cols else centre, keys).select(*keys, F.abs(F.col("v") - F.col("Center")).alias("v"))
+        return centre.join(medians(gaps, tuple(keys)), keys).select(*keys, "Center", (MAD_FACTOR * F.col("median")).alias("Scale"))
     raise ValueError(f"unknown scaling {kind!r}")
 
 

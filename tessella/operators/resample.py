@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_hash, key_uniform
 from tessella.operators import agreement, evaluate, kmeans
+from tessella.operators.order import order_statistics, ranked, smallest
 from tessella.operators.refit import Refit, of_kmeans
 from tessella.session import indexed, materialize
 
@@ -33,9 +34,9 @@ def subsample_size(n: int, k_max: int, fraction: float) -> int:
 
 
 def subsample(cases: DataFrame, size: int, replicates: int, seed: int = 2026) -> DataFrame:
-    """(replicate, id): ``size`` cases without replacement per replicate, those of smallest hash."""
+    """(replicate, id): ``size`` cases without replacement per replicate, those of smallest hash; no task sorts a replicate."""
     drawn = cases.select("id", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate")).withColumn("_u", key_hash(str(seed), "sub", F.col("replicate"), F.col("id")))
-    return drawn.withColumn("_r", F.row_number().over(Window.partitionBy("replicate").orderBy("_u", "id"))).where(F.col("_r") <= size).select("replicate", "id")
+    return smallest(drawn, ("replicate",), "_u", size, cases.count()).select("replicate", "id")
 
 
 def cluster_jaccard(original: DataFrame, refits: DataFrame) -> DataFrame:
@@ -81,10 +82,10 @@ def agreement_summary(per_replicate: DataFrame, requested: int) -> DataFrame:
 
 def permuted(case_index: DataFrame, variables: list[str], replicates: int, seed: int = 2026) -> DataFrame:
     """(replicate, index, variables): each column of ``case_index(index, variables)`` shuffled on its own, by
-    order of hash; keyed by replicate and column."""
+    order of hash. Ranges of all replicates and columns are sorted, not one task per column."""
     cells = case_index.select("index", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"), F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(v).alias("value")) for v in variables])).alias("c")).select("replicate", "index", "c.*")
-    order = Window.partitionBy("replicate", "v").orderBy(key_hash(str(seed), "perm", F.col("replicate"), F.col("v"), F.col("index")), "index")
-    moved = cells.withColumn("index", (F.row_number().over(order) - 1).cast("bigint"))
+    shuffled = [key_hash(str(seed), "perm", F.col("replicate"), F.col("v"), F.col("index")), "index"]
+    moved = ranked(cells, ("replicate", "v"), shuffled, "_rank").withColumn("index", (F.col("_rank") - 1).cast("bigint"))
     return moved.groupBy("replicate", "index").pivot("v", variables).agg(F.first("value"))
 
 
@@ -162,12 +163,15 @@ def gap(cases: DataFrame, k_max: int, replicates: int, seed: int = 2026, nstart:
 
 
 def halves(cases: DataFrame, n: int, seed: int = 2026) -> DataFrame:
-    """(id, half): floor(n / 2) cases of smallest hash in A, the rest in B. The cut is found by an exact
-    percentile of the hash, not by ranking all cases in one task."""
-    h = key_hash(str(seed), "half", F.col("id"))
-    keyed = cases.select("id", h.alias("_h"))
-    cut = keyed.agg(F.percentile("_h", F.lit((n // 2 - 1) / max(n - 1, 1))).alias("_cut"))
-    return keyed.crossJoin(F.broadcast(cut)).select("id", F.when(F.col("_h") <= F.col("_cut") + 0.5, "A").otherwise("B").alias("half"))
+    """(id, half): floor(n / 2) cases of smallest hash in A, the rest in B. The cut is an exact order statistic, of equal hashes
+    at the cut the smaller ids are in A."""
+    keyed = cases.select("id", key_hash(str(seed), "half", F.col("id")).alias("_h"))
+    last = {"_cut": lambda _: F.lit(n // 2 - 1)}
+    cut = order_statistics(keyed, (), max(0.0, (n // 2 - 1) / max(n - 1, 1)), last, "_h").select("_cut", F.col("before__cut").alias("_less"))
+    met = keyed.crossJoin(F.broadcast(materialize(cut)))
+    at = met.where(F.col("_h") == F.col("_cut")).withColumn("_r", F.row_number().over(Window.partitionBy("_h").orderBy("id")))
+    half = lambda first: F.when(first, "A").otherwise("B").alias("half")
+    return met.where(F.col("_h") != F.col("_cut")).select("id", half(F.col("_h") < F.col("_cut"))).unionByName(at.select("id", half(F.col("_less") + F.col("_r") <= n // 2)))
 
 
 def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rounds: int = 30, refit: Refit | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.order import ranked
 from tessella.session import indexed, materialize
 
 WARD = ("ward.D2", "ward_relocate")
@@ -64,14 +65,14 @@ def last_stages(schedule: DataFrame, how_many: int = 15) -> DataFrame:
 def silhouette_order(widths: DataFrame, gap_share: float = 0.02) -> DataFrame:
     """Adds Position: by cluster, width descending, id; clusters stand apart by max(1, round(share * n)).
 
-    Positions are counted within clusters and shifted by the sizes of the clusters before.
+    Positions are counted within clusters by ranges and shifted by the sizes of the clusters before.
     """
     sizes = widths.groupBy("Cluster").agg(F.count(F.lit(1)).alias("_n"))
     gap = widths.agg(F.greatest(F.lit(1), F.round(F.count(F.lit(1)) * gap_share)).cast("bigint").alias("_gap"))
     by = Window.orderBy("Cluster")
     shift = sizes.crossJoin(F.broadcast(gap)).select("Cluster", (F.sum("_n").over(by) - F.col("_n") + (F.row_number().over(by) - 1) * F.col("_gap")).alias("_shift"))
-    within = Window.partitionBy("Cluster").orderBy(F.desc("Silhouette_width"), "ID")
-    return widths.join(F.broadcast(shift), "Cluster").select(*widths.columns, (F.row_number().over(within) + F.col("_shift")).alias("Position"))
+    within = ranked(widths, ("Cluster",), [-F.col("Silhouette_width"), "ID"], "_rank")
+    return within.join(F.broadcast(shift), "Cluster").select(*widths.columns, (F.col("_rank") + F.col("_shift")).alias("Position"))
 
 
 def cut_height(merges: DataFrame, k: int) -> DataFrame:
