@@ -122,3 +122,71 @@ def _sums(group: np.ndarray, values: np.ndarray) -> Callable[[Iterator[pa.Record
         yield pa.RecordBatch.from_arrays(columns, names=["cell", "n", "ss", "s"])
 
     return run
+
+
+def _uniform(h: np.ndarray, start: np.ndarray, step: int, seed: int) -> np.ndarray:
+    """Numbers above 0 and below 1 from a 64-bit hash of each case, for each start (columns): a mixing of the bits of all four."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        z = h[:, None] + odd * (np.uint64(seed) * np.uint64(1_000_003) + np.uint64(step) * np.uint64(10_007) + start.astype(np.uint64)[None] + np.uint64(1))
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+        z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def plus_plus(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...], size: int) -> DataFrame:
+    """k-means++ seeds (keys, start, cluster, center) of all groups and starts, one pass over the cases per centre: a task
+    draws, for each start, the case of smallest -ln(u) / d2 of its own, and the smallest of all tasks is taken. The
+    driver holds the k centres of every start."""
+    spark = cases.sparkSession
+    names = [tuple(r) for r in cases.select(*keys).distinct().collect()] if keys else [()]
+    rows = cases.select(*keys, "id", "x", F.xxhash64(*keys, F.col("id").cast("string")).alias("_h"))
+    kinds = dict(rows.dtypes)
+    key_kinds = "".join(f"`{c}` {kinds[c]}, " for c in keys)
+    if keys:
+        rows = rows.join(F.broadcast(spark.createDataFrame([(*n, g) for g, n in enumerate(names)], f"{key_kinds}_g int")), list(keys))
+    rows = rows.select("_g" if keys else F.lit(0).alias("_g"), "id", "x", "_h")
+    rows = materialize(rows)
+    chosen = np.full((len(names), starts, k, size), np.inf)
+
+    def draw(step: int, centres: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        every = np.arange(1, starts + 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple] = {}
+            kind = None
+            for batch in batches:
+                kind = batch.schema.field("id").type
+                x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
+                of, h = batch.column("_g").to_numpy(zero_copy_only=False), batch.column("_h").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+                ids = batch.column("id")
+                for g in np.unique(of):
+                    at = np.flatnonzero(of == g)
+                    u = _uniform(h[at], every, step, seed)
+                    score = -np.log(u)
+                    if step:
+                        d = np.full((len(at), starts), np.inf)
+                        for c in range(step):
+                            d = np.minimum(d, sum((x[at, j, None] - centres[g, None, :, c, j]) ** 2 for j in range(size)))
+                        score = np.where(d > 0, score / np.where(d > 0, d, 1.0), 1e300 * (1 + u))
+                    low = score.min(0)
+                    for s in range(starts):
+                        for i in np.flatnonzero(score[:, s] == low[s]):
+                            mine = (float(low[s]), ids[int(at[i])].as_py())
+                            slot = int(g) * starts + s
+                            if slot not in best or mine < best[slot][:2]:
+                                best[slot] = (*mine, x[at[i]].tolist())
+            if best:
+                slots = list(best)
+                columns = [pa.array(slots, pa.int32()), pa.array([best[s][0] for s in slots]), pa.array([best[s][1] for s in slots], kind), pa.array([best[s][2] for s in slots], pa.list_(pa.float64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["slot", "score", "id", "x"])
+
+        return run
+
+    for step in range(k):
+        parts = rows.mapInArrow(draw(step, chosen), f"slot int, score double, id {kinds['id']}, x array<double>")
+        for slot, x in parts.groupBy("slot").agg(F.min_by("x", F.struct("score", "id"))).collect():
+            chosen[slot // starts, slot % starts, step] = x
+    made = [(*name, s + 1, c + 1, list(map(float, chosen[g, s, c]))) for g, name in enumerate(names) for s in range(starts) for c in range(k) if np.isfinite(chosen[g, s, c]).all()]
+    return spark.createDataFrame(made, f"{key_kinds}start int, cluster int, center array<double>")

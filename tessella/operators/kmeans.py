@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_uniform
 from tessella.functions.vectors import squared_distance
-from tessella.operators.centre_passes import CentrePasses
+from tessella.operators.centre_passes import CentrePasses, plus_plus
 from tessella.session import materialize
 
 #: Centres are sent to all tasks up to this many numbers (rows times dimensions).
@@ -37,8 +37,7 @@ def nearest(cases: DataFrame, centres: DataFrame, keys: tuple[str, ...] = (), st
     """
     by = (*keys, "start") if starts else keys
     packed = centres.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("_centres"))
-    side = packed if keys else F.broadcast(packed)
-    met = cases.join(side, list(keys)) if keys else cases.crossJoin(side)
+    met = cases.join(packed, list(keys)) if keys else cases.crossJoin(F.broadcast(packed))
     best = F.array_min(F.transform("_centres", lambda c: F.struct(squared_distance(F.col("x"), c["center"]).alias("d2"), c["cluster"].alias("cluster"))))
     return met.withColumn("_best", best).withColumns({"cluster": F.col("_best.cluster"), "d2": F.col("_best.d2")}).drop("_best", "_centres")
 
@@ -104,8 +103,17 @@ def random_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[s
 
 def plus_plus_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
     """k-means++: each next centre drawn with probability proportional to the squared distance to the
-    nearest so far (uniform if all are zero). One aggregation per centre, all starts together: the
-    draw is the case of smallest -ln(u) / d2."""
+    nearest so far (uniform if all are zero). One pass per centre, all starts together: the draw is the case of
+    smallest -ln(u) / d2. The driver holds the centres up to ``BROADCAST_NUMBERS`` numbers; beyond, rounds are joins."""
+    size = dimensions(cases)
+    groups = cases.select(*keys).distinct().limit(BROADCAST_NUMBERS).count() if keys else 1
+    if groups * starts * k * size <= BROADCAST_NUMBERS:
+        return plus_plus(cases, k, starts, seed, keys, size)
+    return _plus_plus_by_joins(cases, k, starts, seed, keys)
+
+
+def _plus_plus_by_joins(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``plus_plus_seeds`` for more centres than the driver should hold: an aggregation per centre."""
     by = [*keys, "start"]
     every = cases.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts))))
     made: DataFrame | None = None

@@ -340,3 +340,23 @@ def test_passes_and_joins_give_the_same_centres(spark, example, monkeypatch):
     joins = of()
     assert len(passes) == len(rows) and np.allclose(passes, joins)
     assert any(row[3:] == (99.0, 99.0, 99.0) for row in passes)
+
+
+def test_plus_plus_seeds_are_spread(spark, example):
+    """Seeds are cases of their own key, differ while cases do, and are drawn far apart; the deal does not matter."""
+    cases = materialize(_in_two_keys(spark, example).select("replicate", "id", "x"))
+    made = kmeans.plus_plus_seeds(cases, 3, 30, 5, ("replicate",))
+    again = kmeans.plus_plus_seeds(cases.repartition(5), 3, 30, 5, ("replicate",))
+    rows = {(r["replicate"], r["start"], r["cluster"]): tuple(r["center"]) for r in made.collect()}
+    assert len(rows) == 180 and rows == {(r["replicate"], r["start"], r["cluster"]): tuple(r["center"]) for r in again.collect()}
+    own = {k: {tuple(r["x"]) for r in cases.where(F.col("replicate") == k).collect()} for k in (1, 2)}
+    assert all(x in own[k] for (k, _, _), x in rows.items())
+    assert all(len({rows[k, s, c] for c in (1, 2, 3)}) == 3 for k in (1, 2) for s in range(1, 31))
+    x = np.array(sorted(own[1]))
+    reach = lambda c: ((x[:, None] - np.array(c)[None]) ** 2).sum(2).min(1).mean()
+    spread = np.mean([reach([rows[1, s, c] for c in (1, 2, 3)]) for s in range(1, 31)])
+    rng = np.random.default_rng(0)
+    assert spread < np.mean([reach(x[rng.choice(len(x), 3, replace=False)]) for _ in range(300)])
+    few = spark.createDataFrame([(i, [float(i % 2)]) for i in range(6)], "id bigint, x array<double>")
+    seeds = kmeans.plus_plus_seeds(few, 3, 4, 1).collect()
+    assert len(seeds) == 12 and all({r["center"][0] for r in seeds if r["start"] == s} == {0.0, 1.0} for s in range(1, 5))
