@@ -48,7 +48,7 @@ def numbered_turns(rows: DataFrame) -> DataFrame:
     turns by role, then text. Null role and text are empty; repeated rows are turns of their own; rows with a null
     conv_id belong to no conversation and are left out."""
     clean = rows.where("conv_id is not null").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # The sort moves digests, not texts; equal turn numbers are rare, their order is by the texts.
+    # Texts are moved once, here, as equal turn numbers are ordered by them; from here on a turn is its digest.
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", "text")
     return clean.withColumn("pos", F.row_number().over(order) - 1).select(
         "conv_id", "pos", turn_key(F.col("role"), F.col("text")).alias("key"), F.regexp_count("text", F.lit(WORD)).cast("bigint").alias("words")

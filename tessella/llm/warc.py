@@ -41,8 +41,8 @@ from tessella.session import shared_dir
 HOT_LEAST, HOT_SHARE = 100, 10_000
 #: Size at which a task begins another member, and another package.
 MEMBER_BYTES, PACKAGE_BYTES = 64 << 20, 512 << 20
-#: Ranges of one package that follow each other are read together, up to this size.
-READ_BYTES = 4 << 20
+#: Ranges of one package that follow each other are read together, up to this size; a task reads about TASK_BYTES.
+READ_BYTES, TASK_BYTES = 4 << 20, 32 << 20
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "indexes/index.cdxj"
@@ -306,7 +306,8 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
     """The records at ``located(package, offset, length)``: record_id, record_type, url, payload_digest, payload_bytes,
     refers_to, payload (null for revisits, and for all if ``payloads`` is off; digests are checked all the same).
 
-    Places are dealt by ranges, so a large package is read by many tasks; each reads runs of neighbouring records.
+    Places are dealt by ranges, so a large package is read by many tasks; each reads runs of neighbouring records. The number
+    of tasks follows from the bytes to read, of which the places themselves say nothing.
     """
 
     def parsed(source: fs.FileSystem, path: str, run: list[tuple[int, int]]) -> list[dict[str, Any]]:
@@ -329,7 +330,9 @@ def read_records(located: DataFrame, payloads: bool = True) -> DataFrame:
                     held.append((at, n))
                 yield pd.DataFrame(parsed(source, path, held))
 
-    dealt = located.select("package", "offset", "length").repartitionByRange("package", "offset").sortWithinPartitions("package", "offset")
+    located = materialize(located.select("package", "offset", "length"))
+    tasks = 1 + (located.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES
+    dealt = located.repartitionByRange(tasks, "package", "offset").sortWithinPartitions("package", "offset")
     return dealt.mapInPandas(run, RECORDS)
 
 
