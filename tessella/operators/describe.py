@@ -7,7 +7,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions import matrices
+from tessella.functions.hashing import key_uniform
 from tessella.functions.tails import f_tail, tukey_tail
+from tessella.operators import groups
 from tessella.operators.order import ranked
 from tessella.session import materialize
 
@@ -137,7 +140,7 @@ def scaling_2d(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
     gram = materialize(full.select("i", "j", (-0.5 * (F.col("q") - F.col("r") - F.col("rj") + grand)).alias("g")))
     out, found = ids.select("id"), []
     for c in range(2):
-        v = materialize(ids.select(F.col("id").alias("j"), (F.rand(seed=11 + c) - 0.5).alias("v")))
+        v = materialize(ids.select(F.col("id").alias("j"), (key_uniform("scaling", str(c), F.col("id")) - 0.5).alias("v")))
         value = 0.0
         for _ in range(rounds):
             w = gram.join(v, "j").groupBy("i").agg(F.sum(F.col("g") * F.col("v")).alias("v"))
@@ -155,6 +158,41 @@ def scaling_2d(pairs: DataFrame, ids: DataFrame, rounds: int = 30) -> DataFrame:
     return out
 
 
+def landmark_scaling(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, count: int = 500, seed: int = 2026) -> DataFrame:
+    """(id, Dim1, Dim2): classical multidimensional scaling of ``cases(id, x)`` to two dimensions by landmarks.
+
+    Up to ``count`` cases, drawn by hash, are scaled on the driver from their distances; every case is then placed by its
+    squared distances to them, in one pass. If all cases are landmarks, this is the classical solution. A dimension without
+    extent is zero; the landmark farthest out has a positive coordinate. Pairs without a common variable have the largest distance.
+    """
+    _, chosen = groups.place_cases(cases.select("id", "x"), name, count, weights, ranges, (), seed)
+    x = matrices.points([r["x"] for r in chosen.orderBy("rep").collect()])
+    if not len(x):
+        return cases.select("id", F.lit(0.0).alias("Dim1"), F.lit(0.0).alias("Dim2"))
+    d = matrices.square(name, x, weights, ranges)
+    most, q = max(1.0, float(d.max())), d * d
+    centred = -0.5 * (q - q.mean(0) - q.mean(1)[:, None] + q.mean())
+    values, vectors = np.linalg.eigh((centred + centred.T) / 2)
+    values, vectors = values[::-1][:2], vectors[:, ::-1][:, :2]
+    live = values > 1e-9 * max(float(np.abs(values).max()), 1e-300)
+    sign = np.sign(vectors[np.abs(vectors).argmax(0), range(vectors.shape[1])])
+    place = np.where(live, vectors * sign / np.sqrt(np.where(live, values, 1.0)), 0.0)
+    mean = q.mean(0)
+
+    def run(column: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(column), 2))
+        for i in range(0, len(column), 1000):
+            far = matrices.matrix(name, matrices.points(column.iloc[i : i + 1000]), x, weights, ranges)
+            far = np.where(np.isnan(far), most, far)
+            if name == "russell_rao":  # a case and itself are at zero
+                same = (matrices.points(column.iloc[i : i + 1000])[:, None] == x[None]).all(2)
+                far = np.where(same, 0.0, far)
+            out[i : i + 1000, : place.shape[1]] = -0.5 * (far * far - mean) @ place
+        return pd.DataFrame(out, columns=["Dim1", "Dim2"])
+
+    return cases.select("id", F.pandas_udf(run, "Dim1 double, Dim2 double")("x").alias("_d")).select("id", "_d.*")
+
+
 def heat_map(cases: DataFrame, variables: list[str]) -> DataFrame:
     """(cluster, Position, id, z of every variable clipped to 2.5): cases in order of the first component within
     their cluster."""

@@ -309,6 +309,9 @@ def solution_tables(p: prepare.Prepared, df: DataFrame, memberships: DataFrame,
         shares = [F.lit(v).alias(f"Explained_{i + 1}") for i, v in enumerate(explained)]
         tables["Projection"] = scored.select("id", "cluster", *[f"PC{i + 1}" for i in range(len(explained))], *shares)
         tables["Heat_map"] = describe.heat_map(cases, variables)
+    else:
+        placed = describe.landmark_scaling(cases.select("id", "x"), *metric(p), seed=p.config.seed)
+        tables["Projection"] = placed.join(chosen, "id")
     return tables | {
         "Top_variables": describe.top_eta(tests.where(F.col("Variable").isin(*variables))),
         "Centroids": evaluate.centres_and_spread(cases, variables),

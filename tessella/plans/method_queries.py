@@ -106,6 +106,11 @@ def _(spark, d):
     return describe.scaling_2d(materialize(dist.pairs(v, "cosine")), v.select("id"), rounds=8)
 
 
+@query("x9_landmark_scaling", digits=5)
+def _(spark, d):
+    return describe.landmark_scaling(fx.vectors(spark, d).select("id", "x"), "cosine")
+
+
 def _mixed(spark, d):
     """Prepared cases of two numbers, a 0/1 and an ordered variable under Gower distance."""
     variables = ("mean_total", "n_orders", "building", "last_priority")

@@ -301,3 +301,90 @@ def test_consensus_of_classes_expands_to_that_of_cases(spark):
     assert classes.agg(F.sum("Cases")).first()[0] == len(of) == members.count()
     assert classes.count() == len({tuple(sorted(v.items())) for v in of.values()})
     assert pairs.where("a = b").count() == classes.count() and pairs.where("a = b and Consensus <> 1").isEmpty()
+
+
+def test_text_is_read_by_its_bytes(spark, tmp_path):
+    """Windows-1252, a byte-order mark, and a quoted line break; alone and as files of one folder."""
+    rows = {"w": "name;x\nM\u00fcller \u20ac;1,5\nb;2,5\n".encode("cp1252"), "bom": b"\xef\xbb\xbf" + "name;x\nJos\u00e9;3,5\n".encode(), "quote": 'name;x\n"two\nlines; one field";4,5\n"say ""so""";5,5\n'.encode()}
+    want = {"w": [("M\u00fcller \u20ac", 1.5), ("b", 2.5)], "bom": [("Jos\u00e9", 3.5)], "quote": [('say "so"', 5.5), ("two\nlines; one field", 4.5)]}
+    folder = tmp_path / "all"
+    folder.mkdir()
+    for name, data in rows.items():
+        (tmp_path / f"{name}.csv").write_bytes(data)
+        (folder / f"{name}.csv").write_bytes(data)
+        df = delimited.read_delimited(spark, str(tmp_path / f"{name}.csv"))
+        assert df.columns == ["name", "x"] and sorted(tuple(r) for r in df.collect()) == want[name], name
+    every = delimited.read_delimited(spark, str(folder))
+    assert sorted(tuple(r) for r in every.collect()) == sorted(r for rows in want.values() for r in rows)
+    spaced = tmp_path / "s.dat"
+    spaced.write_bytes("1.5 \u00e9\n2.5 b\n".encode("cp1252"))
+    assert sorted(tuple(r) for r in delimited.read_delimited(spark, str(spaced), header=False).collect()) == [(1.5, "\u00e9"), (2.5, "b")]
+
+
+@pytest.mark.parametrize("name", ["manhattan", "gower"])
+def test_landmark_scaling_of_all_cases_is_the_classical_one(spark, name):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 4)) * [5, 2, 1, 1]
+    ranges = [float(v) for v in x.max(0) - x.min(0)] if name == "gower" else None
+    df = materialize(spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "id bigint, x array<double>"))
+    d = np.array([[np.sum(np.abs(a - b) / (ranges or 1)) / (4 if ranges else 1) for b in x] for a in x])
+    j = np.eye(60) - 1 / 60
+    values, vectors = np.linalg.eigh(-0.5 * j @ (d * d) @ j)
+    want = vectors[:, ::-1][:, :2] * np.sqrt(values[::-1][:2])
+    made = sorted(describe.landmark_scaling(df, name, None, ranges).collect())
+    for c in (1, 2):
+        got = np.array([r[c] for r in made])
+        assert np.allclose(got * np.sign(got @ want[:, c - 1]), want[:, c - 1], atol=1e-8)
+    few = np.array([tuple(r)[1:] for r in sorted(describe.landmark_scaling(df, name, None, ranges, count=25).collect())])
+    assert abs(np.corrcoef(few[:, 0], want[:, 0])[0, 1]) > 0.95 and len(few) == 60
+
+
+def test_components_and_heat_map_by_numpy(spark, example):
+    cases = example.select(F.col("n").alias("id"), F.col("g").alias("cluster"), *VARIABLES)
+    rows = sorted(cases.collect())
+    x = np.array([tuple(r)[2:] for r in rows])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    _, values, v = np.linalg.svd(z, full_matrices=False)
+    scored, explained = describe.principal_components(cases, VARIABLES)
+    assert explained == pytest.approx([100 * s * s / 149 / 3 for s in values[:2]])
+    got = np.array([[r["PC1"], r["PC2"]] for r in sorted(scored.collect())])
+    want = z @ v[:2].T
+    assert np.allclose(np.abs((got * want).sum(0)), (want * want).sum(0)) and np.allclose(np.abs(got), np.abs(want))
+    heat = describe.heat_map(cases, VARIABLES).collect()
+    by = {r["id"]: r for r in heat}
+    for i, r in enumerate(rows):
+        assert [by[r["id"]][c] for c in VARIABLES] == pytest.approx(list(np.clip(z[i], -2.5, 2.5)))
+    for g in (1, 2, 3):
+        order = sorted((r for r in heat if r["cluster"] == g), key=lambda r: r["Position"])
+        at = [got[r["id"] - 1, 0] for r in order]
+        assert [r["Position"] for r in order] == list(range(1, 51)) and at == sorted(at)
+
+
+def test_gaussian_null_has_the_moments_of_the_cases(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 3)) @ np.array([[2, 0, 0], [1, 1, 0], [0, 0.5, 0.3]]) + [5, -1, 0]
+    df = materialize(spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double, c double"))
+    made = np.array([tuple(r) for r in resample.gaussian(df, ["a", "b", "c"], 2).where("replicate = 2").select("a", "b", "c").collect()])
+    assert len(made) == 4000 and np.allclose(made.mean(0), x.mean(0), atol=0.15) and np.allclose(np.cov(made.T), np.cov(x.T), atol=0.35)
+
+
+def test_compare_centroids_by_hand(spark, example):
+    a = example.select(F.col("g").alias("cluster"), *VARIABLES)
+    b = example.withColumn("cluster", F.when(F.col("g") == 1, 7).when(F.col("g") == 2, 5).otherwise(F.when(F.col("n") % 2 == 0, 6).otherwise(8))).select("cluster", *VARIABLES)
+    made = agreement.compare_centroids(a, b, VARIABLES)
+    table = made.toPandas() if hasattr(made, "toPandas") else made
+    text = table.to_string()
+    assert len(table) == 4 and table["ASED"].notna().sum() == 3, text
+    x, y = a.toPandas(), b.toPandas()
+    m, s = x[VARIABLES].mean(), x[VARIABLES].std(ddof=1)
+    gap = ((((x[x.cluster == 1][VARIABLES] - m) / s).mean() - ((y[y.cluster == 7][VARIABLES] - m) / s).mean()) ** 2).mean()
+    assert gap == pytest.approx(0.0, abs=1e-12) and table["ASED"].min() == pytest.approx(0.0, abs=1e-9)
+
+
+def test_findings_and_close_second(spark):
+    from tessella.operators import select
+
+    row = spark.createDataFrame([(3, 100, 4, 0.55, 0.8, 0.04, 0.7, 0.9)], "K int, N int, Minimum_N int, Silhouette double, Bootstrap_min_Jaccard double, Simulation_p_Silhouette double, Invariance double, Relative_entropy double")
+    assert {r["Topic"]: r["Grade"] for r in select.findings(row).collect()} == {"Smallest cluster": "small", "Separation": "reasonable", "Stability": "stable", "Structure beyond chance": "supported", "Replication": "replicated", "Classification certainty": "high"}
+    votes = spark.createDataFrame([(2, 1.0, 3), (3, 2.0, 4), (4, 0.5, 1)], "K int, Votes double, Criteria int")
+    assert [tuple(r) for r in select.close_second(votes, 3).collect()] == [(2, 3)] and select.close_second(votes.where("K <> 2"), 3).count() == 0
