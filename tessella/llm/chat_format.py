@@ -110,7 +110,8 @@ def format_conversations(rows: DataFrame, template: ChatTemplate = ChatTemplate(
     role count as empty; an unknown role is formatted, without loss, and named in ``problem``, as is
     any turn out of order. Repeated rows are turns of their own. Rows with a null conv_id form one
     conversation. An empty table gives an empty result. A conversation is one text, so its turns meet
-    in one task; nothing else does.
+    in one task; nothing else does. Texts of any length are formatted whole. Other columns are ignored,
+    whatever their names.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

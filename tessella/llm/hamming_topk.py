@@ -139,7 +139,8 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     ``queries(id, code)``, itself left out; equal distances by neighbour_id.
 
     Rows with a null code or id are neither found nor answered. Repeated rows are one row. With fewer
-    than k other rows, all of them are returned. Empty tables give an empty result.
+    than k other rows, all of them are returned. Empty tables give an empty result. Other columns are
+    ignored, whatever their names.
     """
     known = codes.where("code is not null and id is not null").select("id", "code")
     asked = materialize(queries.where("code is not null and id is not null").select("id", "code").distinct())

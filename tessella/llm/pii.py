@@ -123,7 +123,8 @@ def personal_data(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and ``spans`` (array of kind, start, end, score) for every row of ``docs(doc_id, text, ...)``.
 
     A null text counts as empty and has no span. Repeated rows get a row each; doc_id may be null.
-    An empty table gives an empty result; other columns are ignored.
+    An empty table gives an empty result; other columns are ignored, whatever their names. Texts of any
+    length are searched whole.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

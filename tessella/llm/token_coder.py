@@ -281,7 +281,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = E
     doc_id order: part, segment (numbers in that order), n_tokens, data.
 
     Ranges of doc_id are dealt by Spark and sorted; each document ends with ``end_id``. Null texts
-    count as empty; a null doc_id comes first; rows with one doc_id follow each other by text.
+    count as empty; a null doc_id comes first; rows with one doc_id follow each other by text. A text of
+    any length is a document of one segment. Other columns are ignored. No rows give no segments.
     """
     path = vocabulary or default_vocabulary()
 
