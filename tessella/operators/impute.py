@@ -93,13 +93,13 @@ def _shares(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return eta / eta.sum(1, keepdims=True)
 
 
-def fit_logits(rows: DataFrame, levels: int, keys: list[int], ridge: float = 1e-6, rounds: int = 50) -> Logits:
+def fit_logits(rows: DataFrame, levels: int, keys: list[int], ridge: float = 1e-6, rounds: int = 50, start: dict[int, np.ndarray] | None = None) -> Logits:
     """Newton's method for every key at once on ``rows(key, y, x)``, y from 0 to levels - 1.
 
     A round is one pass: tasks add up the gradient, the information and the log-likelihood of each key under its
     coefficients, Spark adds the parts, and the driver solves the (levels - 1) * terms equations of each key. Keys that
     have come to rest take no further part; a step that lowers the likelihood is halved. The ridge (per row) keeps levels
-    that the terms tell apart perfectly at finite coefficients.
+    that the terms tell apart perfectly at finite coefficients. ``start`` holds coefficients to begin with, of an earlier sweep.
     """
     p = rows.select(F.size("x").alias("p")).first()["p"]
     free = levels - 1
@@ -134,7 +134,7 @@ def fit_logits(rows: DataFrame, levels: int, keys: list[int], ridge: float = 1e-
 
         return run
 
-    beta = {k: np.zeros((free, p)) for k in keys}
+    beta = {k: (start or {}).get(k, np.zeros((free, p))) for k in keys}
     best: dict[int, tuple[float, np.ndarray, np.ndarray]] = {}  # log-likelihood, coefficients, step from there
     covariance: dict[int, np.ndarray] = {}
     active, step = list(keys), 0
@@ -239,6 +239,7 @@ def multiple_impute(df: DataFrame, variables: list[str], m: int = 5, sweeps: int
     copies = coded.withColumn("imputation", F.explode(F.sequence(F.lit(1), F.lit(m))))
     state = materialize(copies.withColumns({f"_gap_{v}": missing[v] for v in incomplete}).withColumns({v: F.coalesce(F.col(v), begun(v)) for v in incomplete}))
     rng = np.random.default_rng(seed)
+    fitted: dict[str, dict[int, np.ndarray]] = {}
     for sweep in range(sweeps):
         for v in incomplete:
             if v in text:
@@ -246,7 +247,8 @@ def multiple_impute(df: DataFrame, variables: list[str], m: int = 5, sweeps: int
                 if len(text[v]) > 1:
                     x = F.array(*terms_for(v, scaled=True)).alias("x")
                     observed = materialize(state.where(~F.col(f"_gap_{v}")).select(F.col("imputation").alias("key"), F.col(v).cast("int").alias("y"), x))
-                    models = fit_logits(observed, len(text[v]), list(range(1, m + 1)))
+                    models = fit_logits(observed, len(text[v]), list(range(1, m + 1)), start=fitted.get(v))
+                    fitted[v] = models.beta
                     filled = drawn_levels(state.where(F.col(f"_gap_{v}")).select("imputation", "id", x), models, seed, sweep, v)
             else:
                 filled = _matched(state, v, terms_for(v), rng, seed, sweep, donors)
