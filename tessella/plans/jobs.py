@@ -184,13 +184,13 @@ def _reason(e: Exception) -> str:
     return next((line for line in str(e).splitlines() if line.strip()), type(e).__name__)[:300]
 
 
-def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, validation: bool = False) -> Analysis:
+def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, validation: bool = False, describe_solution: bool = True) -> Analysis:
     """Prepare the cases, cluster them for k_min..k_max, evaluate and compare the solutions, and suggest a k.
 
     A k that fails is recorded with its message and the others go on. ``validation`` adds bootstrap (or subsampling), null
     simulation, replication and the gap statistic, with refits by the configured method. Indices over pairs
-    are left out, with a warning, beyond MAX_PAIRS pairs; C-index, Gamma and G-plus beyond EXACT_PAIRS. With
-    ``missing="multiple"`` see ``analyse_imputations``.
+    are left out, with a warning, beyond MAX_PAIRS pairs; C-index, Gamma and G-plus beyond EXACT_PAIRS. Without
+    ``describe_solution`` there are no tables but the comparison. With ``missing="multiple"`` see ``analyse_imputations``.
     """
     if config.missing == "multiple":
         return analyse_imputations(df, config, pair_indices, validation)
@@ -256,6 +256,8 @@ def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, val
         voted = materialize(resample.gap_candidate(gap))
         gap = gap.crossJoin(F.broadcast(voted.select(F.col("K").alias("candidate"))))
     suggested = select.suggested_k(best, done, voted).first()["K"]
+    if not describe_solution:
+        return Analysis(config, p, memberships, comparison, {"Comparison": comparison}, suggested)
     tables = {
         "Descriptives": profile.describe(df, list(config.variables)),
         "Missingness": profile.missingness(df, list(config.variables)),
@@ -363,7 +365,7 @@ def analyse_imputations(df: DataFrame, config: ClusterConfig, pair_indices: bool
     each, rows, members = replace(config, missing="complete"), [], []
     for i in range(1, config.mi_m + 1):
         copy = completed.where(F.col("imputation") == i).drop("imputation").withColumnRenamed("id", config.id)
-        made = analyse(materialize(others.join(copy, config.id).select(*df.columns)), each, pair_indices, validation)
+        made = analyse(materialize(others.join(copy, config.id).select(*df.columns)), each, pair_indices, validation, describe_solution=i == config.mi_m)
         rows.append(made.comparison.select(F.lit(i).alias("Imputation"), "*"))
         top = made.memberships.agg(F.max("k")).first()[0]
         members.append(made.memberships.where(F.col("k") == top).select(F.lit(i).alias("imputation"), "id", "cluster"))

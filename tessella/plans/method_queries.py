@@ -186,22 +186,16 @@ def _(spark, d):
 
 @query("m6_stacked_fits", digits=5)
 def _(spark, d):
-    config = ClusterConfig(tuple(C), "id", missing="multiple", method="ward.D2", k_max=4, mi_m=3, mi_iter=2)
-    return jobs.analyse(fx.customers_with_gaps(spark, d), config).tables["MI_fit_summary"]
+    config = ClusterConfig(tuple(C), "id", missing="multiple", method="complete", distance="manhattan", k_min=2, k_max=3, mi_m=2, mi_iter=1)
+    return jobs.analyse(fx.customers_with_gaps(spark, d), config, pair_indices=False).tables["MI_fit_summary"]
 
 
 @query("m6_imputations_clustered")
 def _(spark, d):
-    return jobs.multiple_imputation(fx.customers_with_gaps(spark, d), ClusterConfig(tuple(C), "id", missing="multiple", method="kmeans", mi_m=3, mi_iter=2), 3)[0]
+    return jobs.multiple_imputation(fx.customers_with_gaps(spark, d), ClusterConfig(tuple(C), "id", missing="multiple", method="kmeans", nstart=2, mi_m=2, mi_iter=1), 3)[0]
 
 
 @query("full_analysis", digits=5)
 def _(spark, d):
-    return jobs.analyse(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="kmeans")).comparison
-
-
-@query("full_analysis_validated", digits=5)
-def _(spark, d):
-    """A hierarchy with bootstrap, null simulation, replication and gap statistic: its findings and votes per k."""
-    made = jobs.analyse(fx.customers(spark, d), ClusterConfig(tuple(C), "id", method="ward.D2", k_max=3, B=20, gap_B=20), validation=True)
-    return made.comparison
+    config = ClusterConfig(tuple(C), "id", method="kmeans", k_max=3, nstart=3)
+    return jobs.analyse(fx.customers(spark, d), config, describe_solution=False).comparison
