@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.config import HIERARCHICAL, ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import describe, evaluate, groups, impute, kmeans, linkage, mixture, prepare, profile, refit, resample, schedule, select
+from tessella.operators import describe, evaluate, groups, impute, kmeans, linkage, mixture, prepare, profile, refit, resample, schedule, select, spanning
 from tessella.session import materialize
 
 #: Pair jobs refuse more pairs than this; ``max_pairs`` raises it.
@@ -53,6 +54,22 @@ def _in_rounds(p: prepare.Prepared, method: str) -> bool:
     return n > c.representatives and n * (n - 1) // 2 <= EXACT_PAIRS
 
 
+def _by_blocks(p: prepare.Prepared, method: str) -> bool:
+    """Whether single linkage is made exactly without pairs: more cases than representatives, and a distance that boxes bound."""
+    if method != "single" or p.config.missing == "available" or _box_name(p) not in spanning.BOXED:
+        return False
+    return p.cases.count() > p.config.representatives
+
+
+def _box_name(p: prepare.Prepared) -> str:
+    return "euclidean" if metric(p)[0] == "minkowski" else metric(p)[0]
+
+
+def tree_edges(p: prepare.Prepared) -> DataFrame:
+    """(i, j, d): the edges of the spanning tree, whose single linkage is that of all pairs."""
+    return spanning.block_tree(p.cases.select("id", "x"), _box_name(p)).withColumnRenamed("height", "d")
+
+
 def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None, criteria: dict[int, DataFrame] | None = None, notes: list[tuple[int | None, str]] | None = None, starts: dict[int, float] | None = None) -> DataFrame:
     """(k, id, cluster) for each k by the configured method; one hierarchy serves every k. k = 1 is one cluster, except
     for mixtures, which are fitted and leave one row of their criteria for each k in ``criteria``.
@@ -84,7 +101,7 @@ def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None, crit
             placed = cases.join(ward.where(F.col("k") == k).select("id", "cluster"), "id")
             extra = kmeans.centroids(placed, kmeans.dimensions(cases)).select(F.lit(0).alias("start"), "cluster", "center")
             parts.append(kmeans.kmeans(cases, k, c.nstart, c.max_iter, c.seed, extra=materialize(extra), plus_plus=c.nstart).select(F.lit(k).alias("k"), "id", "cluster"))
-    elif _in_rounds(p, c.method):
+    elif _by_blocks(p, c.method) or _in_rounds(p, c.method):
         parts.append(tree_cuts(p, many, c.method, pairs))
     elif many:
         made = materialize(groups.grouped_fit(cases, c.method, many, metric(p)[0], c.representatives, *metric(p)[1:], beta=c.beta, hybrid_start=c.hybrid_start, max_iter=c.max_iter, seed=c.seed, algorithm=c.hybrid_algorithm, starts=True))
@@ -103,8 +120,14 @@ def fit(p: prepare.Prepared, ks: list[int], pairs: DataFrame | None = None, crit
 
 
 def tree_cuts(p: prepare.Prepared, ks: list[int], method: str, pairs: DataFrame | None = None) -> DataFrame:
-    """Exact hierarchy on the pairs of any distance, cut at each k."""
-    matrix, ids = materialize(pairs if pairs is not None else pairs_of(p)), p.cases.select("id")
+    """Exact hierarchy on the pairs of any distance, or on the edges of a spanning tree, cut at each k."""
+    ids = p.cases.select("id")
+    if _by_blocks(p, method):
+        matrix = pairs if pairs is not None else tree_edges(p)
+        merges, ends = materialize(matrix.withColumnRenamed("d", "height")), ("i", "j")
+        cuts = [linkage.cut(ids, merges, k, ends).select(F.lit(k).alias("k"), "id", "cluster") for k in ks]
+        return reduce(DataFrame.unionByName, cuts)
+    matrix = materialize(pairs if pairs is not None else pairs_of(p))
     if method == "single":
         merges, ends = linkage.spanning_tree(matrix, ids), ("i", "j")
     else:
@@ -126,7 +149,10 @@ def tree_of(config: ClusterConfig) -> str | None:
 def merges_of(p: prepare.Prepared, pairs: DataFrame | None = None) -> DataFrame:
     """(stage, a, b, height, first_a, first_b, n) of the tree of the configured method, written."""
     c, method = p.config, tree_of(p.config)
-    if _in_rounds(p, method):
+    if _by_blocks(p, method):
+        edges = pairs if pairs is not None and c.method == "single" else tree_edges(p)
+        merges = spanning.last_merges(edges.withColumnRenamed("d", "height"), p.cases.select("id"), c.representatives)
+    elif _in_rounds(p, method):
         merges = linkage.mutual_merges(pairs if pairs is not None else pairs_of(p), p.cases.select("id"), method, c.beta)
     else:
         merges = groups.grouped_tree(p.cases.select("id", "x"), method, metric(p)[0], c.representatives, *metric(p)[1:], beta=c.beta, seed=c.seed)
@@ -207,7 +233,7 @@ def analyse(df: DataFrame, config: ClusterConfig, pair_indices: bool = True, val
     if pair_indices and size > MAX_PAIRS:
         pair_indices = False
         notes.append((None, f"indices over pairs left out: {n} cases make more than {MAX_PAIRS} pairs"))
-    pairs = materialize(pairs_of(p)) if _in_rounds(p, config.method) else None
+    pairs = materialize(tree_edges(p)) if _by_blocks(p, config.method) else materialize(pairs_of(p)) if _in_rounds(p, config.method) else None
     rows, fitted, checks = [], [], {}
     criteria: dict[int, DataFrame] = {}
     starts: dict[int, float] = {}
