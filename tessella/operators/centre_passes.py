@@ -25,11 +25,13 @@ class CentrePasses:
     """Centres of ``centres(keys, [start], cluster, center)`` and the cases they are for.
 
     A slot is a group and start. Slots with fewer clusters than others are filled up with centres at infinity.
+    With ``copies``, a column of the cases, each counts so many times.
     """
 
-    def __init__(self, cases: DataFrame, centres: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], size: int):
+    def __init__(self, cases: DataFrame, centres: DataFrame, keys: tuple[str, ...], by: tuple[str, ...], size: int, copies: str | None = None):
         self.keys, self.by, self.size = keys, by, size
         kept = centres.select(*by, "cluster", "center")
+        times = [F.col(copies).cast("bigint").alias("_n")] if copies else []
         self.schema, self.spark = kept.schema, centres.sparkSession
         found: dict[tuple, list] = {}
         for *name, cluster, center in kept.orderBy(*by, "cluster").collect():
@@ -44,12 +46,12 @@ class CentrePasses:
         self.group = np.array([numbers.setdefault(s[: len(keys)], len(numbers)) for s in self.slots], np.int64)
         if keys and numbers:
             named = self.spark.createDataFrame([(*name, g) for name, g in numbers.items()], f"{', '.join(f'`{k}` {t}' for k, t in kept.select(*keys).dtypes)}, _g int")
-            met = cases.join(F.broadcast(named), list(keys)).select("_g", "x")
+            met = cases.join(F.broadcast(named), list(keys)).select("_g", "x", *times)
             parts = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
             # Ranges keep a group in few tasks, and a large group in several.
             self.cases = materialize(met.repartitionByRange(parts, "_g", F.xxhash64("x")))
         else:
-            self.cases = cases.select(F.lit(0).alias("_g"), "x")
+            self.cases = cases.select(F.lit(0).alias("_g"), "x", *times)
 
     def add_up(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Number of cases, sum of their squared distances and sum of their vectors, by slot and cluster."""
@@ -98,8 +100,10 @@ def _sums(group: np.ndarray, values: np.ndarray) -> Callable[[Iterator[pa.Record
         for batch in batches:
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, size)
             of = batch.column("_g").to_numpy(zero_copy_only=False)
+            times = batch.column("_n").to_numpy(zero_copy_only=False) if "_n" in batch.schema.names else None
             for g in np.unique(of):
                 mine, at = x[of == g], own.get(g)
+                often = times[of == g] if times is not None else None
                 if at is None:
                     continue
                 centres = values[at]
@@ -111,8 +115,13 @@ def _sums(group: np.ndarray, values: np.ndarray) -> Callable[[Iterator[pa.Record
                         d += (part[:, j, None, None] - centres[None, :, :, j]) ** 2
                     near = d.argmin(2)
                     cell = (near + width * np.arange(len(at))).ravel()
-                    count = lambda w=None: np.bincount(cell, w, len(at) * width).reshape(len(at), width)  # noqa: B023, E731
-                    n[at] += count()
+                    each = np.repeat(often[i : i + rows], len(at)) if often is not None else None
+
+                    def count(w=None):
+                        w = w if each is None else each if w is None else w * each  # noqa: B023
+                        return np.bincount(cell, w, len(at) * width).reshape(len(at), width)  # noqa: B023
+
+                    n[at] += count().astype(np.int64)
                     ss[at] += count(np.take_along_axis(d, near[:, :, None], 2).ravel())
                     for j in range(size):
                         sums[at, :, j] += count(np.repeat(part[:, j], len(at)))
@@ -135,18 +144,19 @@ def _uniform(h: np.ndarray, start: np.ndarray, step: int, seed: int) -> np.ndarr
     return ((z >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
 
 
-def plus_plus(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...], size: int) -> DataFrame:
+def plus_plus(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...], size: int, copies: str | None = None) -> DataFrame:
     """k-means++ seeds (keys, start, cluster, center) of all groups and starts, one pass over the cases per centre: a task
     draws, for each start, the case of smallest -ln(u) / d2 of its own, and the smallest of all tasks is taken. The
     driver holds the k centres of every start."""
     spark = cases.sparkSession
     names = [tuple(r) for r in cases.select(*keys).distinct().collect()] if keys else [()]
-    rows = cases.select(*keys, "id", "x", F.xxhash64(*keys, F.col("id").cast("string")).alias("_h"))
+    times = [F.col(copies).cast("double").alias("_n")] if copies else []
+    rows = cases.select(*keys, "id", "x", F.xxhash64(*keys, F.col("id").cast("string")).alias("_h"), *times)
     kinds = dict(rows.dtypes)
     key_kinds = "".join(f"`{c}` {kinds[c]}, " for c in keys)
     if keys:
         rows = rows.join(F.broadcast(spark.createDataFrame([(*n, g) for g, n in enumerate(names)], f"{key_kinds}_g int")), list(keys))
-    rows = rows.select("_g" if keys else F.lit(0).alias("_g"), "id", "x", "_h")
+    rows = rows.select("_g" if keys else F.lit(0).alias("_g"), "id", "x", "_h", *(["_n"] if copies else []))
     rows = materialize(rows)
     chosen = np.full((len(names), starts, k, size), np.inf)
 
@@ -165,6 +175,8 @@ def plus_plus(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str,
                     at = np.flatnonzero(of == g)
                     u = _uniform(h[at], every, step, seed)
                     score = -np.log(u)
+                    if copies:
+                        score = score / batch.column("_n").to_numpy(zero_copy_only=False)[at, None]
                     if step:
                         d = np.full((len(at), starts), np.inf)
                         for c in range(step):

@@ -82,18 +82,19 @@ def _blocks(cases: DataFrame, keys: tuple[str, ...], least: int = 1) -> int:
     return max(least, math.ceil(most / BLOCK_CASES))
 
 
-def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, blocks: int = 4, keys: tuple[str, ...] = ()) -> DataFrame:
+def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None = None, ranges: list[float] | None = None, blocks: int = 4, keys: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
     """(keys, id, cluster, other, n, d, d2, low, high): for each case of ``cases(keys, id, cluster, x)`` and each
     cluster ``other``, number, sum, sum of squares, minimum and maximum of distances to its other cases.
 
     A task takes two blocks of cases and gives, for each case of the first and each cluster of the second, the five
     sums: no pair leaves it. There are at least ``blocks`` blocks. Pairs without a common variable (Gower) are left out, see ``with_unknown``.
+    With ``copies``, a column of whole numbers, a case counts so many times, and the sums are those of one of its copies.
     """
     blocks = _blocks(cases, keys, 1 if keys else blocks)
-    keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"))
+    keyed = cases.select(*keys, "id", "cluster", "x", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b"), *([F.col(copies).cast("bigint").alias("times")] if copies else []))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     rows = keyed.select(*keys, "id", "cluster", "x", F.col("b").alias("row"), every.alias("col"))
-    cols = keyed.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), F.col("b").alias("col2"), every.alias("row2"))
+    cols = keyed.select(*[F.col(k).alias(f"{k}2") for k in keys], F.col("id").alias("id2"), F.col("cluster").alias("other"), F.col("x").alias("y"), *(["times"] if copies else []), F.col("b").alias("col2"), every.alias("row2"))
     kinds = dict(cases.dtypes)
     least = -1 if name == "gower" else 0
 
@@ -101,13 +102,17 @@ def case_cluster_sums(cases: DataFrame, name: str, weights: list[float] | None =
         out = []
         if len(a) and len(b):
             d = matrices.matrix(name, matrices.points(a["x"]), matrices.points(b["y"]), weights, ranges)
-            d[a["id"].to_numpy()[:, None] == b["id2"].to_numpy()[None]] = np.nan  # a case and itself
+            itself = a["id"].to_numpy()[:, None] == b["id2"].to_numpy()[None]
+            times = np.ones(d.shape, np.int64) if not copies else np.tile(b["times"].to_numpy(), (len(a), 1))
+            times[itself] -= 1
+            d[itself] = np.where(times[itself] > 0, 0.0, np.nan)  # a case and its other copies
             for other, at in b.groupby("other").indices.items():
-                part = d[:, at]
+                part, often = d[:, at], times[:, at]
                 known = ~np.isnan(part)
+                often = np.where(known, often, 0)
                 zero = np.where(known, part, 0.0)
                 low, high = np.where(known, part, np.inf).min(1), np.where(known, part, -np.inf).max(1)
-                out.append(pd.DataFrame({**{k: a[k] for k in keys}, "id": a["id"], "cluster": a["cluster"], "other": other, "n": known.sum(1), "d": zero.sum(1), "d2": (zero * zero).sum(1), "low": low, "high": high}))
+                out.append(pd.DataFrame({**{k: a[k] for k in keys}, "id": a["id"], "cluster": a["cluster"], "other": other, "n": often.sum(1), "d": (often * zero).sum(1), "d2": (often * zero * zero).sum(1), "low": low, "high": high}))
         made = pd.concat(out) if out else pd.DataFrame(columns=[*keys, "id", "cluster", "other", "n", "d", "d2", "low", "high"])
         return made[made["n"] > least]
 

@@ -87,29 +87,32 @@ def within_ss(assigned: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return assigned.groupBy(*by).agg(F.sum("d2").alias("ss"), F.count_distinct("cluster").alias("clusters"))
 
 
-def random_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def random_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
     """(keys, start, cluster, center): k cases per start, by smallest hash; a map-side top k per start.
 
     A case enters the ranking of a start only if its hash is small enough for k of the cases to do so
-    with near certainty, so that the ranking is not over all cases.
+    with near certainty, so that the ranking is not over all cases. Cases with ``copies``, small numbers, are as much likelier
+    to be drawn, each once.
     """
     n = cases.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else cases.agg(F.count(F.lit(1)).alias("_n"))
     met = cases.join(n, list(keys)) if keys else cases.crossJoin(F.broadcast(n))
     drawn = met.withColumn("start", F.explode(F.sequence(F.lit(1), F.lit(starts)))).withColumn("_u", key_uniform(str(seed), *[F.col(c) for c in keys], F.col("start"), F.col("id")))
+    if copies:  # the smallest of so many uniform numbers
+        drawn = drawn.withColumn("_u", 1 - F.pow(1 - F.col("_u"), 1.0 / F.col(copies)))
     likely = drawn.where(F.col("_u") * F.col("_n") <= 20 * k + 60)
     first = Window.partitionBy(*keys, "start").orderBy("_u", "id")
     return likely.withColumn("cluster", F.row_number().over(first)).where(F.col("cluster") <= k).select(*keys, "start", "cluster", F.col("x").alias("center"))
 
 
-def plus_plus_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
+def plus_plus_seeds(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = (), copies: str | None = None) -> DataFrame:
     """k-means++: each next centre drawn with probability proportional to the squared distance to the
     nearest so far (uniform if all are zero). One pass per centre, all starts together: the draw is the case of
     smallest -ln(u) / d2. The driver holds the centres up to ``BROADCAST_NUMBERS`` numbers; beyond, rounds are joins."""
     size = dimensions(cases)
     groups = cases.select(*keys).distinct().limit(BROADCAST_NUMBERS).count() if keys else 1
     if groups * starts * k * size <= BROADCAST_NUMBERS:
-        return plus_plus(cases, k, starts, seed, keys, size)
-    return _plus_plus_by_joins(cases, k, starts, seed, keys)
+        return plus_plus(cases, k, starts, seed, keys, size, copies)
+    return _plus_plus_by_joins(repeated(cases, copies), k, starts, seed, keys)
 
 
 def _plus_plus_by_joins(cases: DataFrame, k: int, starts: int, seed: int, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -132,25 +135,32 @@ def _plus_plus_by_joins(cases: DataFrame, k: int, starts: int, seed: int, keys:
     return made
 
 
-def kmeans(cases: DataFrame, k: int, nstart: int = 20, rounds: int = 20, seed: int = 2026, keys: tuple[str, ...] = (), extra: DataFrame | None = None, plus_plus: int = 0) -> DataFrame:
+def repeated(cases: DataFrame, copies: str | None) -> DataFrame:
+    """A row for each of the ``copies`` of a case, as the rounds by joins take them. A case's own copies are few."""
+    return cases if copies is None else cases.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(copies).cast("bigint")))).drop("_copy")
+
+
+def kmeans(cases: DataFrame, k: int, nstart: int = 20, rounds: int = 20, seed: int = 2026, keys: tuple[str, ...] = (), extra: DataFrame | None = None, plus_plus: int = 0, copies: str | None = None) -> DataFrame:
     """(keys, id, cluster, d2): the best of all starts by within-cluster sum of squares.
 
     ``extra(keys, start, cluster, center)`` adds starts of the caller's, e.g. from a hierarchy; their numbers are
-    below 1. Solutions with fewer than k clusters are taken only if no start gives k.
+    below 1. Solutions with fewer than k clusters are taken only if no start gives k. ``copies`` is a column with the
+    number of times that a case counts.
     """
-    seeds = random_seeds(cases, k, nstart, seed, keys)
+    seeds = random_seeds(cases, k, nstart, seed, keys, copies)
     if plus_plus:
-        seeds = seeds.unionByName(plus_plus_seeds(cases, k, plus_plus, seed + 1, keys).withColumn("start", F.col("start") + nstart))
+        seeds = seeds.unionByName(plus_plus_seeds(cases, k, plus_plus, seed + 1, keys, copies).withColumn("start", F.col("start") + nstart))
     if extra is not None:
         seeds = seeds.unionByName(extra.select(*seeds.columns))
     seeds = materialize(seeds)
     if _few(seeds):
-        passes = CentrePasses(cases, seeds, keys, (*keys, "start"), dimensions(cases))
+        passes = CentrePasses(cases, seeds, keys, (*keys, "start"), dimensions(cases), copies)
         passes.settle(rounds, STILL)
         passes.best()
         return renumbered(nearest(cases, passes.table().drop("start"), keys), keys)
-    centres = _lloyd_by_joins(cases, seeds, rounds, keys, True, dimensions(cases))
-    scored = within_ss(nearest(cases, centres, keys, starts=True), (*keys, "start"))
+    every = repeated(cases, copies)
+    centres = _lloyd_by_joins(every, seeds, rounds, keys, True, dimensions(cases))
+    scored = within_ss(nearest(every, centres, keys, starts=True), (*keys, "start"))
     order = F.struct(-F.col("clusters"), F.col("ss"), F.col("start"))
     best = scored.groupBy(*keys).agg(F.min_by("start", order).alias("start")) if keys else scored.agg(F.min_by("start", order).alias("start"))
     chosen = centres.join(F.broadcast(best) if not keys else best, [*keys, "start"]).drop("start")

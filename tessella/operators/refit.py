@@ -12,7 +12,8 @@ from tessella.functions import distance
 from tessella.operators import groups, kmeans, mixture
 from tessella.session import materialize
 
-#: From cases(keys, id, x), k and the keys to (keys, id, cluster, x): only of keys with a solution of k clusters.
+#: From cases(keys, id, x), k and the keys to (keys, id, cluster, x): only of keys with a solution of k clusters. One with
+#: the attribute ``takes_copies`` also takes a column n, the number of times that a case counts, and hands it on.
 Refit = Callable[[DataFrame, int, tuple[str, ...]], DataFrame]
 
 
@@ -25,8 +26,10 @@ def whole(fitted: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
 
 def of_kmeans(nstart: int = 5, rounds: int = 30, seed: int = 2026) -> Refit:
     def run(cases: DataFrame, k: int, keys: tuple[str, ...]) -> DataFrame:
-        return whole(kmeans.kmeans(cases, k, nstart, rounds, seed, keys=keys), k, keys)
+        copies = "n" if "n" in cases.columns else None
+        return whole(kmeans.kmeans(cases, k, nstart, rounds, seed, keys=keys, copies=copies), k, keys)
 
+    run.takes_copies = True
     return run
 
 

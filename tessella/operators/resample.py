@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.hashing import key_hash, key_uniform
@@ -21,12 +21,26 @@ from tessella.session import indexed, materialize
 LOWER_IS_BETTER = ("DB", "C_index", "G_plus", "WB", "Negative_silhouette_pct")
 
 
+def _slots(case_index: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(replicate, slot, index): the draws, as rows of a range that tasks make by themselves."""
+    every = case_index.sparkSession.range(n * replicates)
+    slots = every.select(F.expr(f"id div {max(n, 1)} + 1").alias("replicate"), (F.col("id") % max(n, 1)).cast("int" if n < 2**31 else "bigint").alias("slot"))
+    return slots.withColumn("index", F.pmod(key_hash(str(seed), "boot", F.col("replicate"), F.col("slot")), F.lit(n)))
+
+
 def bootstrap(case_index: DataFrame, n: int, replicates: int, seed: int = 2026) -> DataFrame:
     """(replicate, slot, id): n draws with replacement per replicate from ``case_index(index, id)``."""
-    spark = case_index.sparkSession
-    slots = spark.range(replicates).select((F.col("id") + 1).alias("replicate")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    drawn = slots.withColumn("index", F.pmod(key_hash(str(seed), "boot", F.col("replicate"), F.col("slot")), F.lit(n)))
-    return drawn.join(case_index.select("index", "id"), "index").select("replicate", "slot", "id")
+    return _slots(case_index, n, replicates, seed).join(case_index.select("index", "id"), "index").select("replicate", "slot", "id")
+
+
+def bootstrap_counts(case_index: DataFrame, n: int, replicates: int, seed: int = 2026) -> DataFrame:
+    """(replicate, index, n): how often each case is drawn by ``bootstrap``, added up where the draws are made."""
+    return _slots(case_index, n, replicates, seed).groupBy("replicate", "index").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _copies(refits: DataFrame) -> Column:
+    """The number of drawn cases behind rows of refits: of column n, if they have one."""
+    return F.sum("n") if "n" in refits.columns else F.count(F.lit(1))
 
 
 def subsample_size(n: int, k_max: int, fraction: float) -> int:
@@ -41,9 +55,9 @@ def subsample(cases: DataFrame, size: int, replicates: int, seed: int = 2026) ->
 
 def cluster_jaccard(original: DataFrame, refits: DataFrame) -> DataFrame:
     """(replicate, cluster, Jaccard): best overlap of each cluster of ``original(id, cluster)`` with one of
-    ``refits(replicate, id, cluster)``, drawn copies counted; clusters that were not drawn have no row."""
-    met = refits.select("replicate", "id", F.col("cluster").alias("new")).join(original.select("id", F.col("cluster").alias("old")), "id")
-    cells = met.groupBy("replicate", "old", "new").agg(F.count(F.lit(1)).alias("n"))
+    ``refits(replicate, id, cluster[, n])``, drawn copies (rows, or n of a row) counted; clusters that were not drawn have no row."""
+    met = refits.withColumnRenamed("cluster", "new").join(original.select("id", F.col("cluster").alias("old")), "id")
+    cells = met.groupBy("replicate", "old", "new").agg(_copies(refits).alias("n"))
     olds = cells.groupBy("replicate", "old").agg(F.sum("n").alias("no"))
     news = cells.groupBy("replicate", "new").agg(F.sum("n").alias("nn"))
     both = cells.join(olds, ["replicate", "old"]).join(news, ["replicate", "new"])
@@ -54,7 +68,7 @@ def cluster_jaccard(original: DataFrame, refits: DataFrame) -> DataFrame:
 def replicate_agreement(original: DataFrame, refits: DataFrame) -> DataFrame:
     """(replicate, ARI, Rand) on distinct cases; a case drawn several times takes its most frequent new
     label, the lowest on ties."""
-    votes = refits.groupBy("replicate", "id", "cluster").agg(F.count(F.lit(1)).alias("v"))
+    votes = refits.groupBy("replicate", "id", "cluster").agg(_copies(refits).alias("v"))
     label = votes.groupBy("replicate", "id").agg(F.min_by("cluster", F.struct(-F.col("v"), F.col("cluster"))).alias("y"))
     table = label.join(original.select("id", F.col("cluster").alias("x")), "id").groupBy("replicate", "x", "y").agg(F.count(F.lit(1)).alias("n"))
     return agreement.agreement(table, ("replicate",)).select("replicate", "ARI", "Rand")
@@ -191,9 +205,13 @@ def split_half(cases: DataFrame, k: int, seed: int = 2026, nstart: int = 10, rou
 
 
 def replicate_silhouettes(refits: DataFrame, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None) -> DataFrame:
-    """(replicate, Silhouette): mean silhouette of ``refits(replicate, id, cluster, x)`` under the distance.
-    A case drawn several times is as many cases; replicates with one cluster have no row."""
-    sums = materialize(evaluate.case_cluster_sums(refits, name, weights, ranges, keys=("replicate",)))
+    """(replicate, Silhouette): mean silhouette of ``refits(replicate, id, cluster, x[, n])`` under the distance.
+    A case drawn several times, in rows of its own or n times in one, is as many cases; replicates with one cluster have no row."""
+    copies = "n" if "n" in refits.columns else None
+    sums = materialize(evaluate.case_cluster_sums(refits, name, weights, ranges, keys=("replicate",), copies=copies))
+    if copies:
+        widths = evaluate.silhouette(sums, ("replicate",)).join(refits.select("replicate", F.col("id").alias("ID"), "n"), ["replicate", "ID"])
+        return widths.groupBy("replicate").agg((F.sum(F.col("Silhouette_width") * F.col("n")) / F.sum("n")).alias("Silhouette"))
     return evaluate.silhouette_summary(evaluate.silhouette(sums, ("replicate",)), ("replicate",)).select("replicate", "Silhouette")
 
 
@@ -208,17 +226,28 @@ def drawn_replicates(cases: DataFrame, replicates: int, seed: int = 2026, size:
     return kmeans.materialize(drawn.select("replicate", F.concat_ws("-", "slot", "id").alias("id"), F.col("_id").alias("case"), "x"))
 
 
+def counted_replicates(cases: DataFrame, replicates: int, seed: int = 2026) -> DataFrame:
+    """(replicate, id, n, x), written: the bootstrap samples of ``drawn_replicates`` with a row for each case that was drawn and
+    the number of its draws."""
+    index = kmeans.materialize(indexed(cases.select("id", "x")))
+    return kmeans.materialize(bootstrap_counts(index, index.count(), replicates, seed).join(index, "index").select("replicate", "id", "n", "x"))
+
+
 def bootstrap_refits(cases: DataFrame, original: DataFrame, k: int, replicates: int, refit: Refit, seed: int = 2026, size: int | None = None, pair_indices: bool = False, name: str = "euclidean", weights: list[float] | None = None, ranges: list[float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Stability of a partition under refits of all replicates together: (per cluster, agreement, by replicate).
 
     The last has a row per replicate with ARI and Rand, with ``pair_indices`` the mean silhouette of each refit, and Error where a
     refit gave fewer than k clusters: such replicates count as failed, and nowhere else. With ``size`` the replicates are
-    subsamples.
+    subsamples. A refit that takes copies gets the draws of a case as one row with their number.
     """
-    rows = drawn_replicates(cases, replicates, seed, size)
-    fitted = kmeans.materialize(refit(rows, k, ("replicate",)))
-    fitted = fitted if "case" in fitted.columns else kmeans.materialize(fitted.join(rows.select("replicate", "id", "case"), ["replicate", "id"]))
-    refits = fitted.select("replicate", F.col("case").alias("id"), "cluster")
+    if size is None and getattr(refit, "takes_copies", False):
+        fitted = kmeans.materialize(refit(counted_replicates(cases, replicates, seed), k, ("replicate",)))
+        refits = fitted.select("replicate", "id", "cluster", "n")
+    else:
+        rows = drawn_replicates(cases, replicates, seed, size)
+        fitted = kmeans.materialize(refit(rows, k, ("replicate",)))
+        fitted = fitted if "case" in fitted.columns else kmeans.materialize(fitted.join(rows.select("replicate", "id", "case"), ["replicate", "id"]))
+        refits = fitted.select("replicate", F.col("case").alias("id"), "cluster")
     each = kmeans.materialize(replicate_agreement(original, refits))
     failed = replicates - each.count()
     every = cases.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"))

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from tessella.config import ClusterConfig
 from tessella.functions import distance as dist
-from tessella.operators import describe, fuzzy, groups, linkage, medoids, mixture, prepare, refit, resample, schedule
+from tessella.operators import describe, fuzzy, groups, linkage, medoids, mixture, prepare, refit, resample, schedule, spanning
 from tessella.plans import fixtures as fx
 from tessella.plans import jobs
 from tessella.plans.evaluate_queries import standardised
-from tessella.plans.registry import query
+from tessella.plans.registry import R, query
 from tessella.session import materialize
 
 C = fx.CUSTOMER
@@ -26,6 +26,17 @@ def _(spark, d):
     return linkage.spanning_tree(dist.pairs(v, "euclidean"), v.select("id"))
 
 
+@query("c8_block_tree", f"""WITH v AS ({fx.PARTS_SQL})
+SELECT a.id, {R('min(sqrt((a.size - b.size) ** 2 + (a.price - b.price) ** 2))')} AS nearest, (SELECT count(*) - 1 FROM v) AS edges
+FROM v a JOIN v b ON a.id <> b.id GROUP BY a.id""")
+def _(spark, d):
+    """The spanning tree by blocks: the shortest edge at a case is the distance to its nearest neighbour."""
+    tree = materialize(spanning.block_tree(fx.parts(spark, d).select("id", F.array("size", "price").alias("x"))))
+    ends = tree.select(F.explode(F.array("i", "j")).alias("id"), "height")
+    edges = F.broadcast(tree.agg(F.count(F.lit(1)).alias("edges")))
+    return ends.groupBy("id").agg(F.min("height").alias("nearest")).crossJoin(edges)
+
+
 def _in_rounds(code: str, method: str, name: str = "euclidean") -> None:
     @query(f"{code}_{method.replace('.', '_').lower()}_linkage")
     def _(spark, d):
