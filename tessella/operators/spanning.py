@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -113,6 +114,23 @@ def _answer(name: str) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _joined(best: DataFrame) -> DataFrame:
+    """(c, root) of components that have met by their lightest edges ``best(c, cj)``.
+
+    Every component points to one other. As edges have a strict order, the only circles are of two that point to each
+    other; the smaller becomes the root, and pointers are doubled until all are at roots.
+    """
+    back = best.select(F.col("c").alias("cj"), F.col("cj").alias("_back"))
+    up = best.select("c", "cj").join(back, "cj")
+    up = materialize(up.select("c", F.when(F.col("_back") == F.col("c"), F.least("c", "cj")).otherwise(F.col("cj")).alias("root")))
+    while True:
+        above = up.select(F.col("c").alias("root"), F.col("root").alias("_next"))
+        further = materialize(up.join(above, "root").select("c", F.col("_next").alias("root"), (F.col("_next") != F.col("root")).alias("_moved")))
+        up = further.select("c", "root")
+        if further.where("_moved").isEmpty():
+            return up
+
+
 def block_tree(cases: DataFrame, name: str = "euclidean", block: int = BLOCK_CASES, trace: list[dict] | None = None) -> DataFrame:
     """(i, j, height): the tree that ``linkage.spanning_tree`` gives for all pairs of ``cases(id, x)``, without those pairs.
 
@@ -127,9 +145,9 @@ def block_tree(cases: DataFrame, name: str = "euclidean", block: int = BLOCK_CAS
     # Edges of length zero from the first of equal cases to the others.
     copies = rows.join(heads.select(F.col("id").alias("i"), "x"), "x").where("id > i").select("i", F.col("id").alias("j"), F.lit(0.0).alias("height"))
     n = heads.count()
-    tree = materialize(copies)
+    parts = [materialize(copies)]
     if n < 2:
-        return tree
+        return parts[0]
     block = max(block, math.ceil(n / MAX_BOXES))
     placed = ranked(heads.withColumn("_z", curve_position(heads)), (), ["_z", "id"], "_r")
     points = materialize(placed.select("id", "x", F.floor((F.col("_r") - 1) / block).cast("int").alias("block")))
@@ -162,10 +180,9 @@ def block_tree(cases: DataFrame, name: str = "euclidean", block: int = BLOCK_CAS
         best = materialize(lightest(near.unionByName(told)))
         if trace is not None:
             trace.append({"components": best.count(), "asked": asks.count(), "all": n * (len(low) - 1)})
-        tree = materialize(tree.unionByName(best.select("i", "j", F.col("d").alias("height")).distinct()))
-        roots = connected(label.select(F.col("c").alias("id")).distinct(), best.select(F.col("c").alias("i"), F.col("cj").alias("j")))
-        label = materialize(label.join(roots.select(F.col("id").alias("c"), "root"), "c").select("id", F.col("root").alias("c")))
-    return tree
+        parts.append(best.select("i", "j", F.col("d").alias("height")).distinct())
+        label = materialize(label.join(_joined(best), "c").select("id", F.col("root").alias("c")))
+    return materialize(reduce(DataFrame.unionByName, parts))
 
 
 def last_merges(tree: DataFrame, ids: DataFrame, count: int) -> DataFrame:
