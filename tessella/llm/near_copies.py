@@ -11,8 +11,9 @@ how many candidates there are, not which links are found.
 
 The order is that of the hashes, with frequent shingles last. Which those are follows from exact counts:
 shingles that more than ``pair_cap`` documents hold near their prefix are put behind all others, the most
-frequent last, and the prefixes they stood in are drawn anew. So a passage that many documents share
-leads to no bucket unless a document consists of such passages.
+frequent last, and the prefixes that this leaves too short are drawn anew, once: how often the table is read
+does not depend on what it holds. So a passage that many documents share leads to no bucket unless a
+document consists of such passages.
 
 Buckets with the same members are one bucket, at their first shingle. Buckets of up to ``pair_cap``
 documents list their pairs. In larger ones the documents meet a leader, and then only documents that
@@ -22,7 +23,7 @@ open, or little is open, and then all open pairs are compared. So links have the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -40,8 +41,6 @@ SIMILARITY = 0.8
 PAIR_CAP = 16
 #: All open pairs of large buckets are compared at once if there are at most so many per place in a bucket.
 OPEN_PAIRS = 4 * PAIR_CAP
-#: Rounds in which frequent shingles are put last; more rounds mean fewer candidates, never other links.
-ORDER_ROUNDS = 4
 #: So many frequent shingles at most are sent to all tasks; more of them are joined.
 SENT_KEYS = 1_000_000
 #: Rows that a Python task works on at a time.
@@ -175,17 +174,16 @@ def _less_frequent(sketches: DataFrame, frequent: DataFrame) -> DataFrame:
     return met.withColumn("reach", F.when(F.col("_hits").isNull(), F.col("reach")).otherwise(F.array_except("reach", "_hits"))).drop("_hits")
 
 
-def _all_places(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return sets_of(docs, ids).select("doc_id", F.explode(F.transform("s", lambda h: F.shiftrightunsigned(h, 64 - _HASH_BITS))).alias("key"))
+def _all_places(sets: DataFrame) -> DataFrame:
+    return sets.select("doc_id", F.explode(F.transform("s", lambda h: F.shiftrightunsigned(h, 64 - _HASH_BITS))).alias("key"))
 
 
-def _drawn_anew(sketches: DataFrame, docs: DataFrame, ids: DataFrame, frequent: DataFrame, similarity: float) -> DataFrame:
-    """``sketches`` with prefixes from the whole texts for the documents in ``ids``; only those are written."""
+def _drawn(sets: DataFrame, sketches: DataFrame, frequent: DataFrame, similarity: float) -> DataFrame:
+    """The rows of ``sketches`` of the documents in ``sets(doc_id, s)``, with prefixes drawn from their whole sets."""
     place = F.col("key") + F.shiftleft(F.coalesce("level", F.lit(0)).cast("bigint"), _HASH_BITS)
-    drawn = _all_places(docs, ids).join(frequent, "key", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("_all"))
-    own = sketches.join(ids, "doc_id", "left_semi").join(drawn, "doc_id")
-    changed = materialize(own.withColumn("prefix", F.slice("_all", F.lit(1), _prefix_length(similarity))).drop("_all"))
-    return sketches.join(ids, "doc_id", "left_anti").unionByName(changed)
+    drawn = _all_places(sets).join(frequent, "key", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(place)).alias("_all"))
+    own = sketches.join(sets.select("doc_id"), "doc_id", "left_semi").join(drawn, "doc_id")
+    return own.withColumn("prefix", F.slice("_all", F.lit(1), _prefix_length(similarity))).drop("_all")
 
 
 def _frequency_level() -> Column:
@@ -207,24 +205,21 @@ def _first_order(sketches: DataFrame, cap: int, similarity: float) -> tuple[Data
 def _frequent_last(sketches: DataFrame, frequent: DataFrame, docs: DataFrame, cap: int, similarity: float) -> DataFrame:
     """``sketches`` with whole prefixes in the order with frequent shingles last.
 
-    Where the reach left too little, or a bucket is still large, whole texts are counted and drawn from. The
-    order is one for all documents: whoever has a frequent shingle in the prefix gets a new one.
+    Where the reach left too little, the prefix is drawn from the whole text. Shingles of more than ``cap`` of
+    those texts are frequent too, and as the order is one for all documents, whoever has one of them in the prefix
+    gets a new one. That is done once: the passes over the table are the same for any input.
     """
     short = materialize(sketches.where(F.size("prefix") < _prefix_length(similarity)).select("doc_id"))
-    if short.isEmpty() and frequent.isEmpty():
+    if short.isEmpty():
         return sketches
-    sketches = _drawn_anew(sketches, docs, short, frequent, similarity)
-    for _ in range(ORDER_ROUNDS):
-        placed = _placed(sketches)
-        crowded = materialize(_counted(placed.where(F.col("key") < F.lit(1 << _HASH_BITS))).where(F.col("c") > cap))
-        if crowded.isEmpty():
-            break
-        ids = materialize(placed.join(crowded, "key", "left_semi").select("doc_id").distinct())
-        new = _counted(_all_places(docs, ids)).where(F.col("c") > cap).select("key", _frequency_level())
-        frequent = materialize(new.join(frequent, "key", "left_anti").unionByName(frequent))
-        ids = materialize(placed.join(frequent, "key", "left_semi").select("doc_id").union(ids).distinct())
-        sketches = _drawn_anew(sketches, docs, ids, frequent, similarity)
-    return sketches
+    sets = materialize(sets_of(docs, short))
+    crowded = _counted(_all_places(sets)).where(F.col("c") > cap).select("key", _frequency_level())
+    new = materialize(crowded.join(frequent, "key", "left_anti"))
+    whole = sketches.join(short, "doc_id", "left_anti")
+    met = materialize(_placed(whole).join(new, "key", "left_semi").select("doc_id").distinct())
+    sets = sets.unionByName(materialize(sets_of(docs, met)))
+    changed = materialize(_drawn(sets, sketches, frequent.unionByName(new), similarity))
+    return whole.join(met, "doc_id", "left_anti").unionByName(changed)
 
 
 def _possible(x: str, y: str, similarity: float) -> Column:
@@ -249,6 +244,12 @@ def _leaders(large: DataFrame, rank: Column) -> DataFrame:
     return materialize(large.groupBy("key").agg(top).select("key", "top.*"))
 
 
+def _rooted(large: DataFrame, links: DataFrame) -> DataFrame:
+    """``large`` with the roots of ``root`` in the components of ``links(a, b)``, which are links of such roots."""
+    tops = materialize(components(links)).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(large.join(tops, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"))
+
+
 def _simhash_candidates(sketches: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of documents whose fingerprints are alike or within two bits, by operator 8's method:
     each document with the first of its fingerprint, and the first ones of close fingerprints."""
@@ -259,6 +260,24 @@ def _simhash_candidates(sketches: DataFrame) -> DataFrame:
     return same.unionByName(close.select(F.least("fa", "fb").alias("a"), F.greatest("fa", "fb").alias("b")))
 
 
+def _ordered(named: DataFrame, cap: int, similarity: float, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(``sketches(doc_id, n, fp, prefix)`` of one document of each large class of equal sets, the links (a, b) of the
+    others to it, the documents with one row for each doc_id), written by ``keep``."""
+    with scratch(named.sparkSession) as keep_order:
+        sketches = materialize(_sketches(named, similarity))
+        if not sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
+            named = keep(named.groupBy("doc_id").agg(F.min("text").alias("text")))
+            sketches = materialize(_sketches(named, similarity))
+
+        # Of many equal sets the first stands for all.
+        classes = sketches.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("first")).where(F.col("m") > cap)
+        equal = sketches.select("doc_id", "digest").join(materialize(classes), "digest").where("doc_id <> first")
+        equal = keep(equal.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
+        alone = sketches.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").drop("digest")
+        alone, frequent = (keep_order(df) for df in _first_order(alone, cap, similarity))
+    return keep(_frequent_last(alone, frequent, named, cap, similarity)), equal, named
+
+
 def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: int = PAIR_CAP) -> DataFrame:
     """Links (a, b), a < b, between documents of ``docs(doc_id, text, ...)`` of at least that similarity.
 
@@ -270,18 +289,7 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
     named = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     text_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as keep:
-        sketches = materialize(_sketches(named, similarity))
-        if not sketches.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").isEmpty():
-            named = keep(named.groupBy("doc_id").agg(F.min("text").alias("text")))
-            sketches = materialize(_sketches(named, similarity))
-
-        # Of many equal sets the first stands for all.
-        classes = sketches.groupBy("digest").agg(F.count(F.lit(1)).alias("m"), F.min("doc_id").alias("first")).where(F.col("m") > pair_cap)
-        equal = sketches.select("doc_id", "digest").join(materialize(classes), "digest").where("doc_id <> first")
-        equal = keep(equal.select(F.col("first").alias("a"), F.col("doc_id").alias("b")))
-        alone = sketches.join(equal.select(F.col("b").alias("doc_id")), "doc_id", "left_anti").drop("digest")
-        alone, frequent = (keep(df) for df in _first_order(alone, pair_cap, similarity))
-    alone = materialize(_frequent_last(alone, frequent, named, pair_cap, similarity))
+        alone, equal, named = _ordered(named, pair_cap, similarity, keep)
     close = materialize(_simhash_candidates(alone.select("doc_id", "fp")).distinct())
 
     placed = _placed(alone)
@@ -300,10 +308,9 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
     company = materialize(large.groupBy("doc_id").agg(F.sum("c").alias("company")))
     large = large.join(company, "doc_id")
     open_before = None
+    if not large.isEmpty():
+        large = _rooted(large, materialize(reduce(DataFrame.union, found)))
     while not large.isEmpty():
-        rooted = materialize(components(materialize(reduce(DataFrame.union, found))))
-        large = large.drop("root").join(rooted.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-        large = materialize(large)
         parts = large.groupBy("key", "root").agg(F.count(F.lit(1)).alias("size"))
         main = parts.groupBy("key").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.max("size").alias("size"), F.sum("size").alias("c")).where("size < c")
         main = materialize(main)
@@ -319,10 +326,13 @@ def near_copy_links(docs: DataFrame, similarity: float = SIMILARITY, pair_cap: i
             rank = F.col("company") if open_before is None else F.xxhash64("doc_id", F.lit(len(found)))
             candidates = _met(large, _leaders(large, rank), similarity)
         open_before = work["pairs"]
-        large = large.drop("main")
         found.append(verified(materialize(candidates.distinct()), alone, named, similarity))
         if every:
             break
+        roots = materialize(large.select("doc_id", "root").distinct())
+        of = lambda x: roots.select(F.col("doc_id").alias(x), F.col("root").alias(f"r{x}"))
+        between = found[-1].join(of("a"), "a").join(of("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        large = _rooted(large.drop("main"), materialize(between.where("a <> b").distinct()))
     return reduce(DataFrame.union, found).distinct()
 
 

@@ -189,3 +189,34 @@ def test_join_instead_of_a_list_gives_the_same(spark, monkeypatch):
     one = {tuple(r) for r in near_copies.near_copy_links(df, pair_cap=4).collect()}
     monkeypatch.setattr(near_copies, "SENT_KEYS", 0)
     assert {tuple(r) for r in near_copies.near_copy_links(df, pair_cap=4).collect()} == one == alike(texts)
+
+
+def test_passes_do_not_follow_from_what_is_frequent(spark, monkeypatch):
+    """Documents of nothing but shared passages: their texts are read for the order once or twice, and what follows
+    reads written prefixes, not the steps that led to them."""
+    rng = random.Random(21)
+    passages = [rng.choices(WORDS, k=40) for _ in range(12)]
+    texts = {i: " ".join(w for j in rng.sample(range(12), 3) for w in passages[j]) + f" end{i}" for i in range(90)}
+    for i in range(30):
+        texts[len(texts)] = " ".join(rng.choices(WORDS, k=100) + passages[i % 12] + rng.choices(WORDS, k=100))
+    reads, orders = [], []
+    read, order, placed = near_copies.sets_of, near_copies._frequent_last, near_copies._placed
+
+    def ordered(*args):
+        before = len(reads)
+        out = order(*args)
+        orders.append(len(reads) - before)
+        return out
+
+    def from_files(sketches, *args):
+        if orders:
+            assert "LeftAnti" not in sketches._jdf.queryExecution().optimizedPlan().toString()
+        return placed(sketches, *args)
+
+    monkeypatch.setattr(near_copies, "sets_of", lambda *args: reads.append(1) or read(*args))
+    monkeypatch.setattr(near_copies, "_frequent_last", ordered)
+    monkeypatch.setattr(near_copies, "_placed", from_files)
+    want = alike(texts)
+    got = {tuple(r) for r in near_copies.near_copy_links(docs(spark, list(texts.items())), pair_cap=4).collect()}
+    assert orders and max(orders) <= 2
+    assert got <= want and groups(got, texts) == groups(want, texts)
