@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import distance as dist
 from tessella.functions import matrices
-from tessella.operators import blocks, centre_passes, kmeans, linkage
+from tessella.operators import blocks, centre_passes, evaluate, fuzzy, kmeans, linkage, medoids
 
 
 @pytest.fixture(autouse=True)
@@ -76,3 +76,43 @@ def test_relocation_in_passes(spark, monkeypatch):
     far = {c: ((x - x[at == c].mean(0)) ** 2).sum(1) for c in n}
     for i, a in enumerate(at):
         assert all(n[b] / (n[b] + 1) * far[b][i] >= n[a] / (n[a] - 1) * far[a][i] - 1e-9 for b in n if b != a)
+
+
+def test_silhouettes_do_not_copy_the_cases(spark):
+    """Sums by case and cluster against all distances; the plan has no row for each case and block."""
+    x = points()
+    cases = table(spark, x).withColumn("cluster", (F.col("id") % 5).cast("int"))
+    sums = evaluate.case_cluster_sums(cases, "euclidean")
+    assert "generate" not in sums._jdf.queryExecution().optimizedPlan().toString().lower()
+    d, at = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), np.array([(3 * i + 1) % 5 for i in range(len(x))])
+    rows = {(r["id"], r["other"]): r for r in sums.collect()}
+    assert len(rows) == len(x) * 5
+    for (i, other), r in rows.items():
+        own = (i - 1) // 3
+        far = d[own, (at == other) & (np.arange(len(x)) != own)]
+        assert (r["cluster"], r["n"]) == (at[own], len(far))
+        assert (r["d"], r["d2"], r["low"], r["high"]) == pytest.approx((far.sum(), (far**2).sum(), far.min(), far.max()))
+
+
+@pytest.mark.parametrize("name", ["jaccard", "russell_rao", "manhattan", "gower"])
+def test_sums_over_later_cases(spark, name):
+    x = np.random.default_rng(7).integers(0, 2, (130, 4)).astype(float)
+    extra = {"ranges": [1.0] * 4} if name == "gower" else {}
+    cases = table(spark, x)
+    made = [evaluate.later_sums(cases, name, **extra)] + ([] if extra else [evaluate.later_sums_of_profiles(cases, name)])
+    d = matrices.matrix(name, x, x, **extra)
+    for sums in made:
+        rows = {(r["id"] - 1) // 3: r for r in sums.collect()}
+        assert sorted(rows) == list(range(len(x) - 1))
+        assert all((r["n"], r["total"], r["low"], r["high"]) == (len(x) - 1 - i, pytest.approx(d[i, i + 1 :].sum()), d[i, i + 1 :].min(), d[i, i + 1 :].max()) for i, r in rows.items())
+
+
+def test_medoids_and_fuzzy_of_blocks_are_those_of_pairs(spark):
+    x = np.random.default_rng(9).normal(size=(70, 3)) + np.repeat([[0.0], [4.0]], 35, 0)
+    cases = table(spark, x)
+    pairs = dist.pairs(cases, "manhattan", blocks=2)
+    made, want = medoids.block_pam(cases, "manhattan", 3), medoids.pam(pairs, cases.select("id"), 3)
+    assert made[1] == want[1] and made[2] == pytest.approx(want[2]) and sorted(made[0].collect()) == sorted(want[0].select(*made[0].columns).collect())
+    (a, t), (b, u) = fuzzy.block_fuzzy(cases, "manhattan", 2, rounds=6), fuzzy.fuzzy(pairs, cases.select("id"), 2, rounds=6)
+    assert t == pytest.approx(u)
+    assert [r["u"] for r in a.orderBy("id", "cluster").collect()] == pytest.approx([r["u"] for r in b.orderBy("id", "cluster").collect()])
