@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import distance as dist
 from tessella.functions import matrices
-from tessella.operators import blocks, centre_passes, evaluate, fuzzy, kmeans, linkage, medoids
+from tessella.operators import blocks, centre_passes, evaluate, fuzzy, impute, kmeans, linkage, medoids
 
 
 @pytest.fixture(autouse=True)
@@ -116,3 +116,23 @@ def test_medoids_and_fuzzy_of_blocks_are_those_of_pairs(spark):
     (a, t), (b, u) = fuzzy.block_fuzzy(cases, "manhattan", 2, rounds=6), fuzzy.fuzzy(pairs, cases.select("id"), 2, rounds=6)
     assert t == pytest.approx(u)
     assert [r["u"] for r in a.orderBy("id", "cluster").collect()] == pytest.approx([r["u"] for r in b.orderBy("id", "cluster").collect()])
+
+
+def test_donors_of_blocks_by_definition(spark, monkeypatch):
+    """Nearest complete cases over the variables that a case has, among equal ones the smallest id, within the threshold."""
+    monkeypatch.setattr(impute, "DONOR_BLOCK", 20)
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (200, 4)).astype(float)
+    holes = rng.random((200, 4)) < 0.15
+    rows = [(i, *[None if h else float(v) for v, h in zip(r, hole)]) for i, (r, hole) in enumerate(zip(x, holes))]
+    z = spark.createDataFrame(rows, "id bigint, a double, b double, c double, d double")
+    report = impute.nearest_donors(z, ["a", "b", "c", "d"], (1.0, 2.0, 1.0, 0.5), 0.4)
+    assert "generate" not in report._jdf.queryExecution().optimizedPlan().toString().lower()  # no donor is copied
+    w, want = np.array([1.0, 2.0, 1.0, 0.5]), {}
+    full = np.flatnonzero(~holes.any(1))
+    for i in np.flatnonzero(holes.any(1) & (holes.sum(1) <= 2)):
+        has = ~holes[i]
+        d = ((x[full][:, has] - x[i, has]) ** 2 * w[has]).sum(1) / w[has].sum()
+        if d.min() <= 0.4:
+            want[int(i)] = (int(full[d.argmin()]), pytest.approx(d.min()))
+    assert {r["ID"]: (r["Donor_ID"], r["ASED"]) for r in report.collect()} == want
